@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from tidewell.llm import topk, urlfilter, warc
+from tidewell.llm.hilbert import op3_hilbert_shards
 from tidewell.llm.langid import op1_language_id
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_url_filter": urlfilter.op2_url_filter,
+    "op3_hilbert_shards": op3_hilbert_shards,
+    "op6_top_k": topk.op6_top_k,
+    "op8_warc": warc.op8_warc,
+}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": urlfilter.ORACLE,
+    "op6_top_k": topk.ORACLE,
+    "op8_warc": warc.ORACLE,
 }
-ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict:
