@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import topk, urlfilter, warc
+from tidewell.llm import jaccard, topk, urlfilter, warc
 from tidewell.llm.hilbert import op3_hilbert_shards
 from tidewell.llm.langid import op1_language_id
 
@@ -10,6 +10,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": urlfilter.op2_url_filter,
     "op3_hilbert_shards": op3_hilbert_shards,
+    "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op6_top_k": topk.op6_top_k,
     "op8_warc": warc.op8_warc,
 }
