@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import jaccard, topk, urlfilter, warc
+from tidewell.llm import jaccard, linededup, topk, urlfilter, warc
 from tidewell.llm.hilbert import op3_hilbert_shards
 from tidewell.llm.langid import op1_language_id
 
@@ -13,6 +13,7 @@ QUERIES = {
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op6_top_k": topk.op6_top_k,
     "op8_warc": warc.op8_warc,
+    "op9_line_dedup": linededup.op9_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_url_filter": urlfilter.ORACLE,
