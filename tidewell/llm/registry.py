@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidewell.llm import jaccard, linededup, topk, urlfilter, warc
+import corpus_pipeline
+from tidewell.llm import decontam, jaccard, linededup, packing, tokenbin, topk, urlfilter, warc
 from tidewell.llm.hilbert import op3_hilbert_shards
 from tidewell.llm.langid import op1_language_id
 
@@ -11,9 +12,13 @@ QUERIES = {
     "op2_url_filter": urlfilter.op2_url_filter,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
+    "op5_decontamination": decontam.op5_decontamination,
     "op6_top_k": topk.op6_top_k,
+    "op7_packing": packing.op7_packing,
     "op8_warc": warc.op8_warc,
     "op9_line_dedup": linededup.op9_line_dedup,
+    "op10_token_matrix": tokenbin.op10_token_matrix,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_url_filter": urlfilter.ORACLE,
