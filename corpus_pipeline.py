@@ -12,32 +12,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import decontam, jaccard, langid, linededup, packing
-from tidewell.llm.common import read, shared_dir
+from tidewell.llm.common import read, shared_dir, ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the network knows; those without text or letters, or that it is unsure of, go."""
+    ship(spark)
     known = langid.predict(docs, langid.fit(langid.labelled_documents(docs)))
     return known.filter((known.lang_pred != "und") & (known.score >= langid.LEAST_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later of repeated runs of lines; those of which nothing is left go."""
+    ship(spark)
     return linededup.dedup_lines(docs, gone=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near duplicates."""
+    ship(spark)
     return jaccard.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
+    ship(spark)
     return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of the documents' ids lies in sequences of 1024."""
+    ship(spark)
     return packing.pack(docs)
 
 

@@ -4,14 +4,30 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MASK = (1 << 64) - 1
+#: Spark then drops an execution's shuffle files when it ends; nothing reads them after a cut.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewell_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    into = os.path.realpath(tempfile.mkdtemp(prefix="tidewell-"))
+    atexit.register(shutil.rmtree, into, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(f"{into}/tidewell", "zip", root, "tidewell"))
+    sc._tidewell_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,12 +56,18 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -46,7 +46,7 @@ LEAF = 32
 #: Members of a bucket that one task compares; larger buckets are dealt out as pairs of slices.
 BUCKET = 20_000
 #: Rounds that link bucket members to one of them, before the R-tree compares the rest.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -200,8 +200,10 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(work, "id long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets link."""
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets link; sets are made anew from the texts of the documents named."""
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = cut(_sets(docs, ids))
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
     met = pairs.join(one, "a").join(two, "b")
@@ -290,39 +292,33 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = cut(_analyse(docs))
     real = seen.filter("n > 0")
-    reps = cut(
-        real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"), F.first("counts").alias("counts"))
-    )
-    points = reps.select("rep", "n", "counts")
+    reps = cut(real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
     membership = (
         real.select("doc_id", "h1", "h2", "n")
-        .join(reps.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"])
+        .join(reps, ["h1", "h2", "n"])
         .select("doc_id", F.col("n").alias("n_shingles"), "rep")
         .union(seen.filter("n = 0").select("doc_id", "n", "doc_id"))
     )
-    # buckets of two at least: counting is combined before the shuffle, and hot signatures meet only as counts
-    single = reps.select("rep", F.explode("sigs").alias("sig"))
+    chosen = real.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    points = chosen.select("rep", "n", "counts")
     by = Window.partitionBy("sig")
+    single = chosen.select("rep", F.explode("sigs").alias("sig"))
     buckets = cut(
         single.withColumns({"m": F.count("*").over(by), "centre": F.min("rep").over(by)}).filter("m > 1").select("sig", "rep", "centre")
     )
-    ids = buckets.select(F.col("rep").alias("id")).distinct()
-    sets = cut(_sets(docs, ids))
     pairs = buckets.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     tested = cut(_bounded(pairs, points))
-    links = cut(_verified(tested, sets))
+    links = cut(_verified(tested, docs))
     for turn in range(STAR_ROUNDS):
         open_ = _open_buckets(buckets, links, turn)
         new = open_.filter("comp != other").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         new = cut(_bounded(new.join(tested, ["a", "b"], "left_anti"), points))
-        found = cut(_verified(new, sets))
+        found = cut(_verified(new, docs))
         tested, links = tested.union(new), links.union(found)
-        if found.isEmpty():
-            break
     # what no star has settled
-    open_ = _open_buckets(buckets, links, STAR_ROUNDS)
-    new = _tree_pairs(open_.join(points, "rep")).distinct().join(tested, ["a", "b"], "left_anti")
-    return membership, cut(links.union(_verified(new, sets)))
+    open_ = _open_buckets(buckets, links, STAR_ROUNDS).drop("centre", "other")
+    new = cut(_tree_pairs(open_.join(points, "rep")).distinct().join(tested, ["a", "b"], "left_anti"))
+    return membership, cut(links.union(_verified(new, docs)))
 
 
 def _open_buckets(buckets: DataFrame, links: DataFrame, turn: int) -> DataFrame:
