@@ -1,4 +1,9 @@
 """Every registered query with, where SQL can express it, the SQL that checks it."""
 
+from tidewell.plans import audience, pages, ranking
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _module in (ranking, audience, pages):
+    QUERIES |= _module.CATALOGUE.queries
+    ORACLES |= _module.CATALOGUE.oracles
