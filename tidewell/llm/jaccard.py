@@ -20,8 +20,10 @@ few links a member and not all pairs; what is left goes through the R-tree.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import (
@@ -41,6 +43,8 @@ WORDS = 5
 SMALL = 64
 #: Ids of candidates up to this number are sent to all executors to pick their texts; beyond it a join shuffles texts.
 MAX_IDS = 500_000
+#: Ratio of sizes that a band spans; sets that link differ by a ratio of 1.25 at most.
+BAND = 1.26
 #: Points in a leaf of the R-tree.
 LEAF = 32
 #: Members of a bucket that one task compares; larger buckets are dealt out as pairs of slices.
@@ -106,9 +110,16 @@ def signatures(u: np.ndarray) -> np.ndarray:
 
 
 def count_vector(u: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by hash group; larger classes have more groups, each a refinement."""
+    """Counts of a set's shingles by hash group, four a group at most on average; larger classes have more groups, each a refinement."""
     dims = 16 << _class(len(u))
-    return np.bincount((mix(u ^ _MIXERS[63]) % np.uint64(dims)).astype(np.int64), minlength=dims).astype(np.int32)
+    counts = np.bincount((mix(u ^ _MIXERS[63]) % np.uint64(dims)).astype(np.int64), minlength=dims)
+    if counts.max() > 0xFFFF:
+        raise OverflowError("a hash group holds more shingles than 16 bits count")
+    return counts.astype("<u2")
+
+
+def _counts(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u2").astype(np.int32)
 
 
 def folded(counts: np.ndarray, dims: int) -> np.ndarray:
@@ -167,13 +178,13 @@ def _analyse(docs: DataFrame) -> DataFrame:
                     h1.append(int(mix(u ^ _MIXERS[40]).sum().view(np.int64)) if len(u) else 0)
                     h2.append(int(mix(u ^ _MIXERS[41]).sum().view(np.int64)) if len(u) else 0)
                     sigs.append(signatures(u))
-                    counts.append(count_vector(u) if len(u) > 3 else np.zeros(0, np.int32))
+                    counts.append(count_vector(u).tobytes() if len(u) > 3 else b"")
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists(sigs, pa.int64()), _lists(counts, pa.int32())],
+                [ids, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists(sigs, pa.int64()), pa.array(counts, pa.binary())],
                 ["doc_id", "n", "h1", "h2", "sigs", "counts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, h1 long, h2 long, sigs array<long>, counts array<int>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, h1 long, h2 long, sigs array<long>, counts binary")
 
 
 def _lists(rows: list[np.ndarray], kind):
@@ -224,9 +235,8 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
             n1, n2 = batch.column("n1").to_numpy(), batch.column("n2").to_numpy()
             keep = np.ones(len(n1), bool)
             c1, c2 = batch.column("c1"), batch.column("c2")
-            f1, o1, f2, o2 = c1.values.to_numpy(), c1.offsets.to_numpy(), c2.values.to_numpy(), c2.offsets.to_numpy()
             for r in range(len(n1)):
-                x, y = f1[o1[r] : o1[r + 1]], f2[o2[r] : o2[r + 1]]
+                x, y = _counts(c1[r].as_py()), _counts(c2[r].as_py())
                 dims = min(len(x), len(y))
                 keep[r] = 180 * int(np.minimum(folded(x, dims), folded(y, dims)).sum()) >= 80 * int(n1[r] + n2[r])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
@@ -247,8 +257,8 @@ def _tree_pairs(open_: DataFrame) -> DataFrame:
     by = ["sig", "lo", "hi"]
 
     def bucket(rep, comp, n, counts):
-        dims = min(len(c) for c in counts)
-        points = np.array([folded(c, dims) for c in counts])
+        dims = min(len(c) for c in counts) // 2
+        points = np.array([folded(_counts(c), dims) for c in counts])
         for i, j in CountTree(points, n).pairs():
             apart = comp[i] != comp[j]
             if apart.any():
@@ -268,18 +278,36 @@ def _tree_pairs(open_: DataFrame) -> DataFrame:
 
         for batch in batches:
             sig, lo, hi, rep, comp, n = (batch.column(i).to_numpy() for i in range(6))
-            lists = batch.column(6)
-            flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            packed = batch.column(6)
             for r in range(len(sig)):
                 if (sig[r], lo[r], hi[r]) != last:
                     yield from flush()
                     held, last = [], (sig[r], lo[r], hi[r])
-                held.append((rep[r], comp[r], n[r], flat[offsets[r] : offsets[r + 1]].copy()))
+                held.append((rep[r], comp[r], n[r], packed[r].as_py()))
         yield from flush()
 
     return dealt.repartition(*map(F.col, by)).sortWithinPartitions(*by).select(*by, "rep", "comp", "n", "counts").mapInArrow(work, "a long, b long")
 
 
+def _buckets(chosen: DataFrame) -> DataFrame:
+    """(sig, rep, centre): sets that share a group and are of near sizes, from rows (rep, n, sigs).
+
+    Sizes fall into bands so wide that sets which link are in the same or in
+    neighbouring ones; a set goes to the buckets of its own band and of the next.
+    Of buckets with the same members one is kept. All counts are combined before
+    their shuffles, and the rows themselves meet their counts in joins only.
+    """
+    single = chosen.select("rep", "n", F.explode("sigs").alias("sig"))
+    shared = cut(single.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig"))
+    near = single.join(shared, "sig", "left_semi")
+    band = F.floor(F.log("n") / math.log(BAND))
+    banded = cut(near.select(F.explode(F.array(F.xxhash64("sig", band), F.xxhash64("sig", band + 1))).alias("sig"), "rep"))
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    filled = banded.groupBy("sig").agg(F.count("*").alias("m"), F.min("rep").alias("centre"), *marks).filter("m > 1")
+    kept = filled.groupBy("m", "centre", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig", "centre")
+    return cut(banded.join(kept, "sig").select("sig", "rep", "centre"))
+
+
 def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership is doc_id, n_shingles, rep; links (a, b) connect representatives of different sets.
 
@@ -301,11 +329,7 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     chosen = real.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
     points = chosen.select("rep", "n", "counts")
-    by = Window.partitionBy("sig")
-    single = chosen.select("rep", F.explode("sigs").alias("sig"))
-    buckets = cut(
-        single.withColumns({"m": F.count("*").over(by), "centre": F.min("rep").over(by)}).filter("m > 1").select("sig", "rep", "centre")
-    )
+    buckets = _buckets(chosen)
     pairs = buckets.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     tested = cut(_bounded(pairs, points))
     links = cut(_verified(tested, docs))
