@@ -110,32 +110,32 @@ def signatures(u: np.ndarray) -> np.ndarray:
 
 
 def count_vector(u: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by hash group, four a group at most on average; larger classes have more groups, each a refinement."""
-    dims = 16 << _class(len(u))
+    """Counts of a set's shingles by hash group, one a group at most on average; larger classes have more groups, each a refinement."""
+    dims = 64 << _class(len(u))
     counts = np.bincount((mix(u ^ _MIXERS[63]) % np.uint64(dims)).astype(np.int64), minlength=dims)
-    if counts.max() > 0xFFFF:
-        raise OverflowError("a hash group holds more shingles than 16 bits count")
-    return counts.astype("<u2")
-
-
-def _counts(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, "<u2").astype(np.int32)
+    if counts.max() > 0xFF:
+        raise OverflowError("a hash group holds more shingles than 8 bits count")
+    return counts.astype(np.uint8)
 
 
 def folded(counts: np.ndarray, dims: int) -> np.ndarray:
     """Rows of counts over a multiple of ``dims`` groups, summed to ``dims``."""
-    return counts.reshape(*counts.shape[:-1], -1, dims).sum(axis=-2)
+    return counts.reshape(*counts.shape[:-1], -1, dims).sum(axis=-2, dtype=np.uint16)
 
 
 class CountTree:
-    """R-tree over points of equal length, packed by size; two levels of boxes of least sizes and greatest coordinates."""
+    """R-tree over points of equal length, packed by size; two levels of boxes of least sizes and greatest coordinates.
+
+    Boxes and leaves compare groups folded by four, and pairs that these leave all groups.
+    """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, whole: np.ndarray, sizes: np.ndarray):
+        points = folded(whole, whole.shape[-1] // 4)
         spread = points.astype(np.float64)
         spread -= spread.mean(axis=0)
         lead = spread[:, int(spread.var(axis=0).argmax())] if len(points) else spread
         self.order = np.lexsort((lead, sizes)) if len(points) else np.zeros(0, np.int64)
-        self.points, self.sizes = points[self.order], sizes[self.order]
+        self.whole, self.points, self.sizes = whole[self.order], points[self.order], sizes[self.order]
         self.begin = np.arange(0, len(points), LEAF)
         self.high = np.maximum.reduceat(self.points, self.begin, axis=0) if len(points) else points
         self.low_size = np.minimum.reduceat(self.sizes, self.begin) if len(points) else sizes
@@ -149,15 +149,17 @@ class CountTree:
             others = np.arange(a, leaves)
             # sizes rise along leaves: a link needs the larger to be at most 1.25 times the smaller
             others = others[4 * self.low_size[others] <= 5 * self.high_size[a]]
-            bound = np.minimum(self.high[a], self.high[others]).sum(axis=1)
+            bound = np.minimum(self.high[a], self.high[others]).sum(axis=1, dtype=np.int64)
             others = others[180 * np.minimum(bound, self.high_size[a]) >= 80 * (self.low_size[a] + self.low_size[others])]
             for b in others:
                 t, f = self.begin[b], min(self.begin[b] + LEAF, len(self.points))
-                overlap = np.minimum(self.points[s:e, None], self.points[None, t:f]).sum(axis=2)
+                overlap = np.minimum(self.points[s:e, None], self.points[None, t:f]).sum(axis=2, dtype=np.int64)
                 near = 180 * overlap >= 80 * (self.sizes[s:e, None] + self.sizes[None, t:f])
                 i, j = np.nonzero(near)
                 i, j = i + s, j + t
-                keep = i < j
+                i, j = i[i < j], j[i < j]
+                overlap = np.minimum(self.whole[i], self.whole[j]).sum(axis=1, dtype=np.int64)
+                keep = 180 * overlap >= 80 * (self.sizes[i] + self.sizes[j])
                 if keep.any():
                     yield self.order[i[keep]], self.order[j[keep]]
 
@@ -236,7 +238,7 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
             keep = np.ones(len(n1), bool)
             c1, c2 = batch.column("c1"), batch.column("c2")
             for r in range(len(n1)):
-                x, y = _counts(c1[r].as_py()), _counts(c2[r].as_py())
+                x, y = (np.frombuffer(c[r].as_py(), np.uint8) for c in (c1, c2))
                 dims = min(len(x), len(y))
                 keep[r] = 180 * int(np.minimum(folded(x, dims), folded(y, dims)).sum()) >= 80 * int(n1[r] + n2[r])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
@@ -257,8 +259,8 @@ def _tree_pairs(open_: DataFrame) -> DataFrame:
     by = ["sig", "lo", "hi"]
 
     def bucket(rep, comp, n, counts):
-        dims = min(len(c) for c in counts) // 2
-        points = np.array([folded(_counts(c), dims) for c in counts])
+        dims = min(len(c) for c in counts)
+        points = np.array([folded(np.frombuffer(c, np.uint8), dims) for c in counts])
         for i, j in CountTree(points, n).pairs():
             apart = comp[i] != comp[j]
             if apart.any():
