@@ -109,13 +109,25 @@ def signatures(u: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def count_vector(u: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by hash group, one a group at most on average; larger classes have more groups, each a refinement."""
+def count_vector(u: np.ndarray) -> bytes:
+    """Counts of a set's shingles by hash group, one a group at most on average, in two bits each: 3 stands for 3 and more.
+
+    Larger classes have more groups, each a refinement. What counts above 3 leave
+    out is the set's excess, which bounds add: two sets share no more of it than
+    the smaller excess.
+    """
     dims = 64 << _class(len(u))
     counts = np.bincount((mix(u ^ _MIXERS[63]) % np.uint64(dims)).astype(np.int64), minlength=dims)
-    if counts.max() > 0xFF:
-        raise OverflowError("a hash group holds more shingles than 8 bits count")
-    return counts.astype(np.uint8)
+    four = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
+    return (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
+
+
+_QUARTERS = (np.arange(256, dtype=np.uint8)[:, None] >> np.arange(0, 8, 2, dtype=np.uint8)) & np.uint8(3)
+
+
+def unpacked(packed: bytes, dims: int) -> np.ndarray:
+    """A count vector over ``dims`` groups; of finer ones the sums, 3 standing for 3 and more again."""
+    return np.minimum(folded(_QUARTERS[np.frombuffer(packed, np.uint8)].ravel(), dims), 3)
 
 
 def folded(counts: np.ndarray, dims: int) -> np.ndarray:
@@ -136,10 +148,14 @@ class CountTree:
         lead = spread[:, int(spread.var(axis=0).argmax())] if len(points) else spread
         self.order = np.lexsort((lead, sizes)) if len(points) else np.zeros(0, np.int64)
         self.whole, self.points, self.sizes = whole[self.order], points[self.order], sizes[self.order]
+        self.excess = self.sizes - self.points.sum(axis=1, dtype=np.int64)
         self.begin = np.arange(0, len(points), LEAF)
-        self.high = np.maximum.reduceat(self.points, self.begin, axis=0) if len(points) else points
-        self.low_size = np.minimum.reduceat(self.sizes, self.begin) if len(points) else sizes
-        self.high_size = np.maximum.reduceat(self.sizes, self.begin) if len(points) else sizes
+
+        def boxed(how, of):
+            return how.reduceat(of, self.begin, axis=0) if len(points) else of
+
+        self.high, self.high_excess = boxed(np.maximum, self.points), boxed(np.maximum, self.excess)
+        self.low_size, self.high_size = boxed(np.minimum, self.sizes), boxed(np.maximum, self.sizes)
 
     def pairs(self):
         """Yield index arrays (i, j), i before j, of points whose summed coordinate minima allow a link."""
@@ -150,15 +166,18 @@ class CountTree:
             # sizes rise along leaves: a link needs the larger to be at most 1.25 times the smaller
             others = others[4 * self.low_size[others] <= 5 * self.high_size[a]]
             bound = np.minimum(self.high[a], self.high[others]).sum(axis=1, dtype=np.int64)
+            bound += np.minimum(self.high_excess[a], self.high_excess[others])
             others = others[180 * np.minimum(bound, self.high_size[a]) >= 80 * (self.low_size[a] + self.low_size[others])]
             for b in others:
                 t, f = self.begin[b], min(self.begin[b] + LEAF, len(self.points))
                 overlap = np.minimum(self.points[s:e, None], self.points[None, t:f]).sum(axis=2, dtype=np.int64)
+                overlap += np.minimum(self.excess[s:e, None], self.excess[None, t:f])
                 near = 180 * overlap >= 80 * (self.sizes[s:e, None] + self.sizes[None, t:f])
                 i, j = np.nonzero(near)
                 i, j = i + s, j + t
                 i, j = i[i < j], j[i < j]
                 overlap = np.minimum(self.whole[i], self.whole[j]).sum(axis=1, dtype=np.int64)
+                overlap += np.minimum(self.excess[i], self.excess[j])
                 keep = 180 * overlap >= 80 * (self.sizes[i] + self.sizes[j])
                 if keep.any():
                     yield self.order[i[keep]], self.order[j[keep]]
@@ -180,7 +199,7 @@ def _analyse(docs: DataFrame) -> DataFrame:
                     h1.append(int(mix(u ^ _MIXERS[40]).sum().view(np.int64)) if len(u) else 0)
                     h2.append(int(mix(u ^ _MIXERS[41]).sum().view(np.int64)) if len(u) else 0)
                     sigs.append(signatures(u))
-                    counts.append(count_vector(u).tobytes() if len(u) > 3 else b"")
+                    counts.append(count_vector(u) if len(u) > 3 else b"")
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists(sigs, pa.int64()), pa.array(counts, pa.binary())],
                 ["doc_id", "n", "h1", "h2", "sigs", "counts"],
@@ -238,9 +257,11 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
             keep = np.ones(len(n1), bool)
             c1, c2 = batch.column("c1"), batch.column("c2")
             for r in range(len(n1)):
-                x, y = (np.frombuffer(c[r].as_py(), np.uint8) for c in (c1, c2))
-                dims = min(len(x), len(y))
-                keep[r] = 180 * int(np.minimum(folded(x, dims), folded(y, dims)).sum()) >= 80 * int(n1[r] + n2[r])
+                packed = [c[r].as_py() for c in (c1, c2)]
+                x, y = (unpacked(p, 4 * min(map(len, packed))) for p in packed)
+                overlap = int(np.minimum(x, y).sum(dtype=np.int64))
+                overlap += min(int(n1[r]) - int(x.sum(dtype=np.int64)), int(n2[r]) - int(y.sum(dtype=np.int64)))
+                keep[r] = 180 * overlap >= 80 * int(n1[r] + n2[r])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     return met.mapInArrow(work, "a long, b long")
@@ -259,8 +280,8 @@ def _tree_pairs(open_: DataFrame) -> DataFrame:
     by = ["sig", "lo", "hi"]
 
     def bucket(rep, comp, n, counts):
-        dims = min(len(c) for c in counts)
-        points = np.array([folded(np.frombuffer(c, np.uint8), dims) for c in counts])
+        dims = 4 * min(len(c) for c in counts)
+        points = np.array([unpacked(c, dims) for c in counts])
         for i, j in CountTree(points, n).pairs():
             apart = comp[i] != comp[j]
             if apart.any():
