@@ -11,6 +11,10 @@ fingerprint in it: the run has a heavy line, or at least WINDOW + 1 lines. Each
 fingerprint's later occurrences are joined to its first one (by doc_id, then
 line), the match is extended both ways while lines are equal, and runs of at
 least MIN_WORDS words are deleted where they come later.
+
+A fingerprint may come first in a document that shares less around it than
+another does. Documents that the fingerprints join are therefore joined once
+more, by the hashes of their shortest runs of MIN_WORDS words from each line on.
 """
 
 from __future__ import annotations
@@ -51,25 +55,45 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     light = F.expr(f"if(size(p) > 0, transform({chosen}, i -> struct(p[i] as f, i as at)), cast(array() as array<struct<f: bigint, at: int>>))")
     heavy = F.expr(f"filter(transform(h, (x, i) -> struct(xxhash64(x, 1) as f, i as at)), x -> w[x.at] >= {HEAVY})")
     prints = pairs.select("doc_id", F.explode(F.concat(light, heavy)).alias("x")).select("doc_id", "x.f", "x.at")
+    met = cut(_extended(table, _joined(prints)))
+    again = met.select("doc_id").union(met.select("of_doc")).distinct()
+    # the lines of the shortest run from line i, 0 where the rest of the document is shorter
+    size = f"aggregate(slice(w, i + 1, {min_words}), struct(0 as n, 0 as t), (a, x) -> struct(if(a.t < {min_words}, a.n + 1, a.n) as n, int(a.t + x) as t), a -> if(a.t < {min_words}, 0, a.n))"
+    spans = F.expr(f"filter(transform(sequence(0, size(w) - 1), i -> struct(i as at, {size} as n)), x -> x.n > 0)")
+    runs = table.filter("size(w) > 0").join(again, "doc_id", "left_semi").withColumn("s", spans)
+    whole = F.explode(F.expr("transform(s, x -> struct(xxhash64(slice(h, x.at + 1, x.n)) as f, x.at as at))"))
+    second = _joined(runs.select("doc_id", whole.alias("x")).select("doc_id", "x.f", "x.at"))
+    second = second.join(met, ["doc_id", "of_doc", "shift"], "left_anti")
+    both = met.unionByName(_extended(table, second)).select("doc_id", "of_doc", F.explode("runs").alias("run"))
+    return both.filter(F.col("run.words") >= min_words).select(
+        "doc_id", *(F.col(f"run.{c}").alias(c) for c in ("first_line", "last_line", "words")), "of_doc", "run.of_line"
+    )
+
+
+def _joined(prints: DataFrame) -> DataFrame:
+    """(doc_id, of_doc, shift): alignments of later occurrences of fingerprints (doc_id, f, at) to the first one."""
     firsts = prints.groupBy("f").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    shifts = (
+    return (
         prints.join(firsts.select("f", "first"), "f")
         .select("doc_id", F.col("first.doc_id").alias("of_doc"), (F.col("first.at") - F.col("at")).alias("shift"))
         .filter("doc_id > of_doc or (doc_id = of_doc and shift < 0)")
         .distinct()
     )
-    # extend each match both ways: all lines that are equal at its shift
+
+
+def _extended(table: DataFrame, shifts: DataFrame) -> DataFrame:
+    """``shifts`` with ``runs``: the runs of lines that are equal at the shift, with their words."""
     source = table.select(F.col("doc_id").alias("of_doc"), F.col("h").alias("g"), F.col("line").alias("of_line"))
-    met = shifts.join(table, "doc_id").join(source, "of_doc")
     equal = F.expr("filter(sequence(greatest(0, -shift), least(size(h), size(g) - shift) - 1), i -> h[i] = g[i + shift])")
-    met = met.withColumn("m", equal).filter(F.expr("aggregate(m, 0L, (s, i) -> s + w[i])") >= min_words)
+    met = shifts.join(table, "doc_id").join(source, "of_doc").withColumn("m", equal)
     # a line of a run starts it unless the line before it is equal too
     starts = F.expr("filter(m, (x, i) -> i = 0 or m[i - 1] != x - 1)")
     ends = F.expr("filter(m, (x, i) -> i = size(m) - 1 or m[i + 1] != x + 1)")
-    runs = met.withColumn("run", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))))
-    words = F.expr("aggregate(slice(w, run.s + 1, run.e - run.s + 1), 0L, (a, b) -> a + b)")
-    runs = runs.withColumn("words", words).filter(F.col("words") >= min_words)
-    return runs.select("doc_id", F.expr("line[run.s]").alias("first_line"), F.expr("line[run.e]").alias("last_line"), "words", "of_doc", F.expr("of_line[run.s + shift]").alias("of_line"))
+    runs = F.expr(
+        "transform(r, x -> struct(line[x.s] as first_line, line[x.e] as last_line, "
+        "aggregate(slice(w, x.s + 1, x.e - x.s + 1), 0L, (a, b) -> a + b) as words, of_line[x.s + shift] as of_line))"
+    )
+    return met.withColumn("r", F.arrays_zip(starts.alias("s"), ends.alias("e"))).select(*shifts.columns, runs.alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, gone: bool = False) -> DataFrame:
