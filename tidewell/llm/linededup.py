@@ -14,7 +14,8 @@ least MIN_WORDS words are deleted where they come later.
 
 A fingerprint may come first in a document that shares less around it than
 another does. Documents that the fingerprints join are therefore joined once
-more, by the hashes of their shortest runs of MIN_WORDS words from each line on.
+more, by the hashes of their shortest runs of MIN_WORDS words from each line on
+and up to each line.
 """
 
 from __future__ import annotations
@@ -57,9 +58,15 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     prints = pairs.select("doc_id", F.explode(F.concat(light, heavy)).alias("x")).select("doc_id", "x.f", "x.at")
     met = cut(_extended(table, _joined(prints)))
     again = met.select("doc_id").union(met.select("of_doc")).distinct()
-    # the lines of the shortest run from line i, 0 where the rest of the document is shorter
-    size = f"aggregate(slice(w, i + 1, {min_words}), struct(0 as n, 0 as t), (a, x) -> struct(if(a.t < {min_words}, a.n + 1, a.n) as n, int(a.t + x) as t), a -> if(a.t < {min_words}, 0, a.n))"
-    spans = F.expr(f"filter(transform(sequence(0, size(w) - 1), i -> struct(i as at, {size} as n)), x -> x.n > 0)")
+    # the lines of the shortest run from line i on, and of the shortest up to it; 0 where there is none
+    total = f"struct(0 as n, 0 as t), (a, x) -> struct(if(a.t < {min_words}, a.n + 1, a.n) as n, int(a.t + x) as t), a -> if(a.t < {min_words}, 0, a.n)"
+    onward = f"aggregate(slice(w, i + 1, {min_words}), {total})"
+    upward = f"aggregate(reverse(slice(w, greatest(i + 2 - {min_words}, 1), least(i + 1, {min_words}))), {total})"
+    each = "transform(sequence(0, size(w) - 1), i -> {})"
+    spans = F.expr(
+        f"filter(array_distinct(concat({each.format(f'struct(i as at, {onward} as n)')}, "
+        f"transform({each.format(f'struct(i as at, {upward} as n)')}, x -> struct(x.at - x.n + 1 as at, x.n as n)))), x -> x.n > 0)"
+    )
     runs = table.filter("size(w) > 0").join(again, "doc_id", "left_semi").withColumn("s", spans)
     whole = F.explode(F.expr("transform(s, x -> struct(xxhash64(slice(h, x.at + 1, x.n)) as f, x.at as at))"))
     second = _joined(runs.select("doc_id", whole.alias("x")).select("doc_id", "x.f", "x.at"))
