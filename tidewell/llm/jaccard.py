@@ -50,7 +50,9 @@ LEAF = 32
 #: Members of a bucket that one task compares; larger buckets are dealt out as pairs of slices.
 BUCKET = 20_000
 #: Rounds that link bucket members to one of them, before the R-tree compares the rest.
-STAR_ROUNDS = 1
+STAR_ROUNDS = 2
+#: Buckets with the same members draw up to so many different centres in a round.
+CENTRES = 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -362,6 +364,8 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = cut(_bounded(new.join(tested, ["a", "b"], "left_anti"), points))
         found = cut(_verified(new, docs))
         tested, links = tested.union(new), links.union(found)
+        if not found.head(1):
+            break
     # what no star has settled
     open_ = _open_buckets(buckets, links, STAR_ROUNDS).drop("centre", "other")
     new = cut(_tree_pairs(open_.join(points, "rep")).distinct().join(tested, ["a", "b"], "left_anti"))
@@ -376,7 +380,7 @@ def _open_buckets(buckets: DataFrame, links: DataFrame, turn: int) -> DataFrame:
         F.min("comp").alias("c1"),
         F.max("comp").alias("c2"),
         F.count("*").alias("m"),
-        F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "comp")).alias("x"),
+        F.min(F.struct(F.xxhash64("rep", F.pmod("sig", F.lit(CENTRES)), F.lit(turn)).alias("h"), "rep", "comp")).alias("x"),
     )
     spread = spread.filter("c1 < c2").select("sig", "m", F.col("x.rep").alias("centre"), F.col("x.comp").alias("other"))
     return cut(labelled.join(spread, "sig"))
