@@ -13,7 +13,9 @@ from tidewell.sources.adapters import NOW, items, registry, table
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
-now = F.expr(NOW)
+def now():
+    return F.expr(NOW)
+
 
 _PROBIT = """
 CASE WHEN q < 0.02425 THEN
@@ -68,13 +70,13 @@ def probit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_HOT + "SELECT id, source, round(norm, 4) AS norm, round(confidence, 4) AS confidence, round(hot, 6) AS hot FROM hot", "items")
 def hot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = hot.hot_scores(items(spark, sf_dir), now)
+    scored = hot.hot_scores(items(spark, sf_dir), now())
     return scored.select("id", "source", F.round("norm", 4).alias("norm"), F.round("confidence", 4).alias("confidence"), F.round("hot", 6).alias("hot"))
 
 
 @query(_HOT + "SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY hot DESC, ord) - 1 AS rank FROM hot", "items")
 def hot_rank_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hot.rank_in_group(hot.hot_scores(items(spark, sf_dir), now), "source").select("id", "source", F.col("rank").cast("long").alias("rank"))
+    return hot.rank_in_group(hot.hot_scores(items(spark, sf_dir), now()), "source").select("id", "source", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -82,7 +84,7 @@ def hot_rank_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     "items",
 )
 def hot_top_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = hot.top_per_group(hot.hot_scores(items(spark, sf_dir), now), "source", 6)
+    best = hot.top_per_group(hot.hot_scores(items(spark, sf_dir), now()), "source", 6)
     return best.select("id", "source", F.round("hot", 6).alias("hot"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -98,7 +100,7 @@ FROM p WHERE top <= 0 OR rank < greatest(1, ceil(n * 0.6))""",
     "items",
 )
 def hot_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hot.hot_gate(items(spark, sf_dir), now).select("id", "source", "percentile", "hot_score")
+    return hot.hot_gate(items(spark, sf_dir), now()).select("id", "source", "percentile", "hot_score")
 
 
 @query(
@@ -108,7 +110,7 @@ FROM items""",
     "items",
 )
 def deal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hot.deal_rank(items(spark, sf_dir), now).select("id", F.round("deal_rank", 5).alias("deal_rank"))
+    return hot.deal_rank(items(spark, sf_dir), now()).select("id", F.round("deal_rank", 5).alias("deal_rank"))
 
 
 @query(
@@ -120,7 +122,7 @@ SELECT id, source, round(value, 4) AS value FROM c WHERE r <= 2 ORDER BY c.value
     "items",
 )
 def ranking_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hot.hot_scores(items(spark, sf_dir), now).filter("raw >= 30 or coverage >= 3")
+    rows = hot.hot_scores(items(spark, sf_dir), now()).filter("raw >= 30 or coverage >= 3")
     rows = rows.withColumn("value", F.col("hot") + F.least("coverage", F.lit(5)) * 0.05)
     best = hot.capped_top(rows, 2, 30, order=(F.desc("value"), F.asc("ord")))
     return best.select("id", "source", F.round("value", 4).alias("value"))
@@ -193,4 +195,4 @@ def fresh_gate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = items(spark, sf_dir).filter("category != 'c6'")
     known = registry(spark, sf_dir)
-    return fresh_only(rows, known, now).filter("enabled and not adult").select("id", "source")
+    return fresh_only(rows, known, now()).filter("enabled and not adult").select("id", "source")
