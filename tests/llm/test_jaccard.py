@@ -11,6 +11,17 @@ def test_components_match_all_pairs(odd):
     assert got == {(d, n, c) for d, (n, c) in components(rows).items()}
 
 
+def test_components_of_a_doubled_table(spark):
+    # the whole text links with each of its ends, which don't link with each other: both links are needed
+    rows = []
+    for i in range(120):
+        text = [f"t{i}w{j}" for j in range(9)]
+        rows += [(3 * i, " ".join(text)), (3 * i + 1, " ".join(text[1:])), (3 * i + 2, " ".join(text[:-1]))]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(5)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()]
+    assert sorted(got) == sorted((d, n, c) for d, (n, c) in components(rows).items() for _ in range(2))
+
+
 def test_keep_first(odd):
     rows, docs = odd
     kept = jaccard.keep_first(docs.withColumnRenamed("source", "rep"))

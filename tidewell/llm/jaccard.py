@@ -186,7 +186,7 @@ class CountTree:
 
 
 def _analyse(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, h1, h2, sigs, counts) of every document."""
+    """(doc_id, n, h1, h2, sigs, counts, row) of every document; row differs from row to row."""
 
     def work(batches):
         import pyarrow as pa
@@ -207,7 +207,8 @@ def _analyse(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n", "h1", "h2", "sigs", "counts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, h1 long, h2 long, sigs array<long>, counts binary")
+    seen = docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, h1 long, h2 long, sigs array<long>, counts binary")
+    return seen.withColumn("row", F.monotonically_increasing_id())
 
 
 def _lists(rows: list[np.ndarray], kind):
@@ -327,9 +328,10 @@ def _buckets(chosen: DataFrame) -> DataFrame:
     near = single.join(shared, "sig", "left_semi")
     band = F.floor(F.log("n") / math.log(BAND))
     banded = cut(near.select(F.explode(F.array(F.xxhash64("sig", band), F.xxhash64("sig", band + 1))).alias("sig"), "rep"))
-    marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    # sums of 32-bit hashes: unlike bit_xor they don't cancel where a member stands twice
+    marks = [F.sum(F.xxhash64("rep", F.lit(i)).bitwiseAND(0xFFFFFFFF)).alias(f"x{i}") for i in range(4)]
     filled = banded.groupBy("sig").agg(F.count("*").alias("m"), F.min("rep").alias("centre"), *marks).filter("m > 1")
-    kept = filled.groupBy("m", "centre", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig", "centre")
+    kept = filled.groupBy("m", "centre", *(f"x{i}" for i in range(4))).agg(F.min("sig").alias("sig")).select("sig", "centre")
     return cut(banded.join(kept, "sig").select("sig", "rep", "centre"))
 
 
@@ -352,7 +354,10 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("doc_id", F.col("n").alias("n_shingles"), "rep")
         .union(seen.filter("n = 0").select("doc_id", "n", "doc_id"))
     )
-    chosen = real.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    # a row that stands more than once is one point
+    once = real.groupBy("doc_id", "h1", "h2", "n").agg(F.min("row").alias("row"))
+    picked = cut(once.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("row"))
+    chosen = real.join(picked, "row", "left_semi").withColumnRenamed("doc_id", "rep")
     points = chosen.select("rep", "n", "counts")
     buckets = _buckets(chosen)
     pairs = buckets.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
