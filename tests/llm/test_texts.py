@@ -10,7 +10,7 @@ import pytest
 from helpers import words
 from tokenizers import Tokenizer
 
-from tidewell.llm import decontam, packing, tokenbin
+from tidewell.llm import decontam, packing, tokenbin, tokens
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +42,15 @@ def test_packing(odd, none, plain):
     assert packing.pack(none).count() == 0
 
 
+def test_ids_of_added_tokens():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"a  {end}  b\n{end}\n\n", f"x{end}y", "<|endoftext|", f"<|{end}|>", f"é{end}日本", "<|ENDOFTEXT|>", ""]
+    for text in texts:
+        assert tokens.token_ids(tokens.default_path(), text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert tokens.token_ids(tokens.default_path(), texts[0]).tolist() == [64, 220, 50256, 275]
+
+
 def test_open_windows_are_bounded_and_best_fit():
     windows = packing.OpenWindows(10, 2)
     assert windows.place(6) == (0, 0, None) and windows.place(8) == (1, 0, None)
