@@ -29,6 +29,15 @@ def test_keep_first(odd):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, (_, c) in components(rows).items() if d == c}
 
 
+def test_keep_first_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (7, a + " more"), (7, a + " more"), (8, a), (None, b), (None, b + " more"), (None, c), (3, ""), (3, ""), (4, None), (None, ""), (None, None)]
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept if r["doc_id"]) == [(3, ""), (4, ""), (7, a + " more")]
+    texts = sorted((r["text"] or "") for r in kept if not r["doc_id"])
+    assert texts[:2] == ["", ""] and texts[2] in (b, b + " more") and texts[3:] == [c]
+
+
 def test_empty(none):
     assert jaccard.jaccard_components(none).count() == 0
 

@@ -44,5 +44,18 @@ def test_dedup_deletes_later_runs_alone(spark):
     assert {r["doc_id"] for r in linededup.dedup_lines(docs, gone=True).collect()} == {1, 2, 4, 5}
 
 
+def test_rows_without_doc_id(spark):
+    passage = "\n".join(f"alpha beta gamma delta epsilon line {i}" for i in range(10))
+    other = passage.replace("alpha", "omega")
+    rows = [(None, f"a\n{passage}"), (1, f"b\n{passage}"), (2, f"c\n{passage}"), (None, f"d\n{other}"), (None, f"e\n{other}"), (2, f"c\n{passage}"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in linededup.dedup_lines(docs).collect())
+    assert left[:2] == [(0, ""), (0, "a")] and left[4:] == [(1, f"b\n{passage}"), (2, "c"), (2, "c")]
+    assert left[2:4] in ([(0, "d"), (0, f"e\n{other}")], [(0, f"d\n{other}"), (0, "e")])
+    runs = {(r["doc_id"], r["of_doc"]) for r in linededup.repeated_runs(docs).collect()}
+    # a fingerprint may come first in document 2
+    assert runs - {(None, 2)} == {(2, 1), (None, 1), (None, None)}
+
+
 def test_empty(spark):
     assert linededup.repeated_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0

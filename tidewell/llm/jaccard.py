@@ -342,7 +342,8 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     it has no words. The links hold every connection between sets, if not every
     single pair: a pair whose ends others connect already is left out. Null and
     empty texts have no shingles and no links. Rows with equal doc_id are taken
-    as one document.
+    as one document. Rows without doc_id can't be named: they have the rep of an
+    equal set or null, and no links; keep_first gives them keys.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = cut(_analyse(docs))
@@ -400,7 +401,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, that of the smallest doc_id, of each group of near duplicates."""
+    """``docs`` with one row, that of the smallest doc_id, of each group of near duplicates.
+
+    Rows without doc_id count as documents of their own and come after all that
+    have one; without words too, they all stay. Of rows with equal doc_id and no
+    words one stays. Where doc_id is null or repeats, a numbered copy is compared.
+    """
+    if not docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+        found = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__row")
+        named = found.join(rows.select("__row", F.col("doc_id").alias("id")), "__row")
+        worded = F.col("n_shingles") > 0
+        group = [F.when(worded, F.col("component_id")), F.when(~worded, F.col("id")), F.when(~worded & F.col("id").isNull(), F.col("__row"))]
+        firsts = named.groupBy(*(g.alias(f"g{i}") for i, g in enumerate(group))).agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("x"))
+        return rows.join(firsts.select("x.__row"), "__row", "left_semi").select(*docs.columns)
     firsts = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(firsts, "doc_id", "left_semi").select(*docs.columns)
 

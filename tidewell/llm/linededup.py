@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewell.llm.common import cut, read
 
@@ -40,13 +41,36 @@ def _parsed(text: Column) -> Column:
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __key: doc_id, or where some rows have none (number, doc_id), number being 0 for the rows that have one.
+
+    The others are numbered in a copy, so that both reads of them agree; they come last.
+    """
+    nameless = docs.filter("doc_id is null")
+    if nameless.isEmpty():
+        return docs.withColumn("__key", F.col("doc_id"))
+    numbered = cut(nameless.withColumn("__no", F.monotonically_increasing_id() + 1))
+    both = docs.filter("doc_id is not null").withColumn("__no", F.lit(0).cast("long")).unionByName(numbered)
+    return both.withColumn("__key", F.struct("__no", "doc_id")).drop("__no")
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, first_line, last_line, words, of_doc, of_line): later occurrences of repeated runs, lines from 0.
 
     Blank lines neither match nor break a run. A run may repeat one in the same
-    document that begins earlier. Rows of equal doc_id are taken for one document.
+    document that begins earlier. Rows of equal doc_id are taken for one document;
+    each row without doc_id is a document of its own, later than all with one.
     Null and empty texts have no lines that repeat.
     """
+    keyed = _keyed(docs.select("doc_id", "text")).select(F.col("__key").alias("doc_id"), "text")
+    runs = _runs(keyed, min_words)
+    if isinstance(keyed.schema["doc_id"].dataType, StructType):
+        runs = runs.withColumns({c: F.col(c)["doc_id"] for c in ("doc_id", "of_doc")})
+    return runs
+
+
+def _runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """repeated_runs of documents whose doc_id is a key."""
     parsed = docs.filter("text is not null").select("doc_id", _parsed(F.col("text")).alias("x"))
     table = cut(parsed.select("doc_id", F.col("x.h").alias("h"), F.col("x.w").alias("w"), F.col("x.at").alias("line")))
     none = "cast(array() as array<bigint>)"
@@ -109,8 +133,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, gone: bool = False)
     All other columns stay as they are. A document of which nothing but blank
     lines is left has text ''; with ``gone`` it is dropped, unless it had none before.
     """
-    runs = repeated_runs(docs, min_words).groupBy("doc_id").agg(F.collect_set(F.struct("first_line", "last_line")).alias("__runs"))
-    met = docs.join(runs, "doc_id", "left")
+    keyed = _keyed(docs)
+    runs = _runs(keyed.select(F.col("__key").alias("doc_id"), "text"), min_words)
+    runs = runs.groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set(F.struct("first_line", "last_line")).alias("__runs"))
+    met = keyed.join(runs, "__key", "left")
     left = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not exists(__runs, r -> i between r.first_line and r.last_line)), '\\n')")
     text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.when(F.trim(F.translate(left, "\n\t\r", "   ")) == "", F.lit("")).otherwise(left))
     out = met.withColumn("__text", text)
