@@ -26,6 +26,20 @@ def test_query(spark, sf):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_cells_of_many_values_keep_order(spark):
+    # as many distinct texts, and a third of the rows null or of one value
+    n = 90_000
+    value = F.when(F.col("id") < n // 9, None).when(F.col("id") < n // 3, "v05").otherwise(F.format_string("v%08d", F.col("id") * 7919 % n))
+    rows = spark.range(n).select(value.alias("v"), F.col("id").alias("w")).repartition(5)
+    got = [(r["v"] or "", r["__cell_0"], r["w"], r["__cell_1"]) for r in hilbert.quantise(rows, ["v", "w"]).collect()]
+    assert len(got) == n and all(c == w * 16 // n for _, _, w, c in got)
+    below, first = {}, None
+    for at, v in enumerate(sorted(r[0] for r in got)):
+        if v != first:
+            below[v], first = at, v
+    assert all(c == below[v] * 16 // n for v, c, _, _ in got)
+
+
 def test_odd_rows(odd, none):
     rows, docs = odd
     out = hilbert.hilbert_shards(docs.withColumn("slot", F.lit("old")).drop("text"), "doc_id", ["source", "lang", "n_chars"], 3)

@@ -14,28 +14,35 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import cut, read
 
 BITS = 4
-#: A dimension with more distinct values than this is quantised by hash, which needs no table of values.
-MAX_VALUES = 1 << 16
 
 
-def quantise(rows: DataFrame, dims: list[str], bits: int = BITS, most: int = MAX_VALUES) -> DataFrame:
+def quantise(rows: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     """``rows`` with one cell column ``__cell_<i>`` per dimension, 0 to 2^bits - 1.
 
     A value's cell is the share of rows with smaller values, so cells hold near
     equal counts; a value of which there are many fills several cells' room but
-    lies in one. Nulls form the lowest value. Only per-value counts (at most
-    ``most`` rows) are windowed and broadcast.
+    lies in one. Nulls form the lowest value. Per-value counts are summed in a
+    range partitioning with offsets, whatever their number; only the least value
+    of each cell is broadcast.
     """
     cells = 1 << bits
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
     for i, dim in enumerate(dims):
         counts = cut(rows.groupBy(F.col(dim).alias("v")).agg(F.count("*").alias("n")))
-        if counts.count() > most:
-            rows = rows.withColumn(f"__cell_{i}", F.pmod(F.xxhash64(dim), F.lit(cells)).cast("int"))
-            continue
-        total = F.sum("n").over(Window.partitionBy())
-        below = F.coalesce(F.sum("n").over(Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        table = counts.select("v", F.floor(below * cells / total).cast("int").alias(f"__cell_{i}"))
-        rows = rows.join(F.broadcast(table), F.col(dim).eqNullSafe(F.col("v")), "left").drop("v")
+        by = F.col("v").asc_nulls_first()
+        ordered = counts.repartitionByRange(parts, by).sortWithinPartitions(by).withColumn("__id", F.monotonically_increasing_id())
+        ordered = cut(ordered).select("v", "n", part.alias("__part"), place.alias("__place"))
+        sums = ordered.groupBy("__part").agg(F.sum("n").alias("__sum"))
+        offset = F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = sums.select("__part", offset.alias("__before"), F.sum("__sum").over(Window.partitionBy()).alias("__n"))
+        inside = F.sum("n").over(Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1))
+        below = F.coalesce(inside, F.lit(0)) + F.col("__before")
+        placed = ordered.join(F.broadcast(offsets), "__part").select("v", F.floor(below * cells / F.col("__n")).cast("int").alias("c"))
+        least = placed.filter("v is not null").groupBy("c").agg(F.min("v").alias("v"))
+        bounds = least.agg(F.collect_list(F.struct("c", "v")).alias("__bounds"))
+        cell = F.expr(f"coalesce(array_max(transform(filter(__bounds, x -> x.v <= `{dim}`), x -> x.c)), 0)")
+        rows = rows.crossJoin(F.broadcast(bounds)).withColumn(f"__cell_{i}", cell).drop("__bounds")
     return rows
 
 
