@@ -180,6 +180,16 @@ def url_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hot.url_winners(rows, F.col("url"), F.col("value")).select("page_id", "url")
 
 
+@query()
+def url_canonical_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per canonical url of all pages, that of the greatest value, as url_dedupe has it; pages without url all stay."""
+    from tidewell.functions.text import canonical_url
+
+    rows = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("ord"), "url", F.expr("page_id * 37 % 101 AS value"))
+    winners = hot.url_winners(rows, canonical_url(F.col("url")), F.col("value"))
+    return winners.select("page_id", F.col("__url").alias("url"))
+
+
 @query(
     """
 SELECT i.id, i.source FROM items i LEFT JOIN registry r ON i.source = r.source
