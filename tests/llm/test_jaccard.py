@@ -1,6 +1,6 @@
 import numpy as np
 import pyarrow as pa
-from helpers import components, documents
+from helpers import components, documents, shingles
 
 from tidewell.llm import jaccard
 
@@ -56,9 +56,45 @@ def test_bounds_and_groups_lose_no_link():
                 continue
             seen += 1
             assert np.array_equal(a, b) or signs[i] & signs[j]
-            dims = 4 * min(len(packed[i]), len(packed[j]))
-            x, y = jaccard.unpacked(packed[i], dims), jaccard.unpacked(packed[j], dims)
-            assert int(np.minimum(x, y).sum()) + min(len(a) - int(x.sum()), len(b) - int(y.sum())) >= both
-            tree = jaccard.CountTree(np.array([x, y]), np.array([len(a), len(b)]))
+            n = np.array([len(a), len(b)])
+            points = jaccard.Points(pa.array([packed[i], packed[j]], pa.binary()), n)
+            assert points.allowed(np.array([0]), np.array([1])).all()
+            tree = jaccard.CountTree(points.matrix(np.arange(2)), n)
             assert [sorted(map(int, np.concatenate(p))) for p in tree.pairs()] == [[0, 1]]
+            assert tree.around(0).tolist() == [1]
     assert seen > 30
+
+
+def test_tree_search_is_its_self_join():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 4, (6, 64))
+    whole = np.minimum(np.repeat(base, 30, axis=0) + (rng.random((180, 64)) < 0.1), 3).astype(np.uint16)
+    sizes = whole.sum(axis=1).astype(np.int64) + rng.integers(0, 9, 180)
+    tree = jaccard.CountTree(whole, sizes)
+    both = {tuple(sorted((int(i), int(j)))) for a, b in tree.pairs() for i, j in zip(a, b, strict=True)}
+    around = {tuple(sorted((i, int(j)))) for i in range(180) for j in tree.around(i)}
+    assert both == around and len(both) > 500
+
+
+def test_limits_change_nothing(odd):
+    rows, docs = odd
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(docs, bucket=3, slice_bytes=2000, max_ids=0).collect()}
+    assert got == {(d, c) for d, (_, c) in components(rows).items()}
+
+
+def test_batches_of_few_words(spark):
+    texts = [None, "", "one", "one two", "other text here", "a b c d", "a b c d e", "a b c d e f", "a b c d e"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows), "doc_id")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {(d, n, c) for d, (n, c) in components(rows).items()}
+    for n in range(len(texts)):
+        assert [len(u) for _, u in jaccard.shingle_sets(pa.array(texts[n : n + 1], pa.string()))] == [len(shingles(texts[n]))]
+
+
+def test_ids_near_both_ends_of_long(spark):
+    top = 2**63 - 1
+    text = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*text[:30], f"x{i}", *text[30:]])) for i in (top, top - 1, top - 2, -top, -top - 1, 0)]
+    got = {r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {-top - 1}

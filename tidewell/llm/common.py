@@ -31,11 +31,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Only a session whose executors are threads of the driver gets a temporary one
+    where that is unset; on a cluster rows would be lost in it, so it fails there.
+    """
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewell-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tidewell-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
@@ -48,6 +54,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what stands there goes when the Python process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -55,14 +68,13 @@ def cut(df: DataFrame) -> DataFrame:
     recomputation. Files go when the Python process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}"
+    path = scratch(spark, "tidewell")
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -102,7 +114,7 @@ def connected_components(links: DataFrame, limit: int = 60) -> DataFrame:
     seen = None
     for _ in range(limit):
         edges = cut(star(star(edges, True), False))
-        state = edges.agg(F.count("*"), F.sum("v"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first()
         if state == seen:
             break
         seen = state
@@ -159,6 +171,19 @@ def utf8_batches(array, most: int = 1 << 20):
         first = last
 
 
+def binary_parts(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an Arrow binary column without nulls."""
+    import pyarrow as pa
+
+    array = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    if isinstance(array, pa.ChunkedArray):
+        array = pa.concat_arrays(array.chunks)
+    width = np.int64 if pa.types.is_large_binary(array.type) else np.int32
+    _, where, data = array.buffers()
+    offsets = np.frombuffer(where, dtype=width)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray):
     """(start, end, row) of each maximal run of bytes that ``separator`` doesn't mark, never across rows."""
     if not len(data):

@@ -13,9 +13,10 @@ steps of the join:
    the overlap of any two points or boxes by the sum of coordinate minima, which
    leaves few pairs; these are verified on the whole sets.
 
-A bucket first links its members to one of them. Members already known to be
-connected need no further links, so a group of thousands of near copies takes a
-few links a member and not all pairs; what is left goes through the R-tree.
+A bucket's tree is first searched around one member, which links the others to
+it. Members already known to be connected need no further links, so a group of
+thousands of near copies takes a few links a member and not all pairs; the trees
+of buckets that are still apart are then joined with themselves.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import (
+    binary_parts,
     connected_components,
     cut,
     lowered,
@@ -47,9 +49,10 @@ MAX_IDS = 500_000
 BAND = 1.26
 #: Points in a leaf of the R-tree.
 LEAF = 32
-#: Members of a bucket that one task compares; larger buckets are dealt out as pairs of slices.
+#: Members of a bucket, and bytes of their points, that one task holds; larger buckets are dealt out in slices.
 BUCKET = 20_000
-#: Rounds that link bucket members to one of them, before the R-tree compares the rest.
+SLICE_BYTES = 64 << 20
+#: Rounds that search around one member of each bucket, before its tree is joined with itself.
 STAR_ROUNDS = 2
 #: Buckets with the same members draw up to so many different centres in a round.
 CENTRES = 16
@@ -69,7 +72,7 @@ def shingle_sets(array):
             n = len(words)
             runs = np.zeros(max(n - WORDS + 1, 0), np.uint64)
             for i in range(WORDS):
-                runs += words[i : n - WORDS + 1 + i] * weights[i]
+                runs += words[i : i + len(runs)] * weights[i]
             runs = mix(runs)
             at = np.searchsorted(row, np.arange(len(offsets)))
             for r in range(len(offsets) - 1):
@@ -127,16 +130,50 @@ def count_vector(u: np.ndarray) -> bytes:
 _QUARTERS = (np.arange(256, dtype=np.uint8)[:, None] >> np.arange(0, 8, 2, dtype=np.uint8)) & np.uint8(3)
 
 
-def unpacked(packed: bytes, dims: int) -> np.ndarray:
-    """A count vector over ``dims`` groups; of finer ones the sums, 3 standing for 3 and more again."""
-    return np.minimum(folded(_QUARTERS[np.frombuffer(packed, np.uint8)].ravel(), dims), 3)
-
-
 def folded(counts: np.ndarray, dims: int) -> np.ndarray:
     """Rows of counts over a multiple of ``dims`` groups, summed to ``dims``."""
     return counts.reshape(*counts.shape[:-1], -1, dims).sum(axis=-2, dtype=np.uint16)
 
 
+class Points:
+    """Rows of packed count vectors over Arrow's buffers, with their sets' sizes."""
+
+    def __init__(self, packed, n: np.ndarray):
+        self.data, self.offsets = binary_parts(packed)
+        self.length, self.n = np.diff(self.offsets), n
+
+    def unpacked(self, rows: np.ndarray, length: int, dims: int) -> np.ndarray:
+        """Vectors of equal packed length over ``dims`` groups; of finer ones the sums, 3 standing for 3 and more again."""
+        packed = self.data[self.offsets[rows][:, None] + np.arange(length)]
+        return np.minimum(folded(_QUARTERS[packed].reshape(len(rows), 4 * length), dims), 3)
+
+    def matrix(self, rows: np.ndarray) -> np.ndarray:
+        """Vectors of any lengths over the groups of the shortest."""
+        dims = 4 * int(self.length[rows].min())
+        out = np.empty((len(rows), dims), np.uint16)
+        for length in np.unique(self.length[rows]):
+            at = np.flatnonzero(self.length[rows] == length)
+            out[at] = self.unpacked(rows[at], int(length), dims)
+        return out
+
+    def allowed(self, i: np.ndarray, j: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+        """Whether sizes and summed coordinate minima allow rows i and j a link; ``most`` bounds the bytes at once."""
+        small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        keep = 5 * small >= 4 * large
+        kinds = self.length[i] << 32 | self.length[j]
+        for kind in np.unique(kinds[keep]):
+            at = np.flatnonzero(keep & (kinds == kind))
+            a, b = int(kind) >> 32, int(kind) & 0xFFFFFFFF
+            step = max(1, most // (8 * max(a, b)))
+            for s in range(0, len(at), step):
+                p = at[s : s + step]
+                x, y = self.unpacked(i[p], a, 4 * min(a, b)), self.unpacked(j[p], b, 4 * min(a, b))
+                overlap = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                overlap += np.minimum(self.n[i[p]] - x.sum(axis=1, dtype=np.int64), self.n[j[p]] - y.sum(axis=1, dtype=np.int64))
+                keep[p] = 180 * overlap >= 80 * (self.n[i[p]] + self.n[j[p]])
+        return keep
+
+
 class CountTree:
     """R-tree over points of equal length, packed by size; two levels of boxes of least sizes and greatest coordinates.
 
@@ -159,6 +196,20 @@ class CountTree:
         self.high, self.high_excess = boxed(np.maximum, self.points), boxed(np.maximum, self.excess)
         self.low_size, self.high_size = boxed(np.minimum, self.sizes), boxed(np.maximum, self.sizes)
 
+    def around(self, at: int) -> np.ndarray:
+        """Points that boxes, then folded and whole coordinates, allow a link with point ``at``."""
+        c = int(np.flatnonzero(self.order == at)[0])
+        size = self.sizes[c]
+        bound = np.minimum(self.high, self.points[c]).sum(axis=1, dtype=np.int64) + np.minimum(self.high_excess, self.excess[c])
+        fits = (4 * self.low_size <= 5 * size) & (4 * size <= 5 * self.high_size)
+        leaves = np.flatnonzero(fits & (180 * np.minimum(bound, size) >= 80 * (size + self.low_size)))
+        near = (self.begin[leaves][:, None] + np.arange(LEAF)).ravel()
+        near = near[(near < len(self.points)) & (near != c)]
+        for counts in (self.points, self.whole):
+            overlap = np.minimum(counts[near], counts[c]).sum(axis=1, dtype=np.int64) + np.minimum(self.excess[near], self.excess[c])
+            near = near[180 * overlap >= 80 * (size + self.sizes[near])]
+        return self.order[near]
+
     def pairs(self):
         """Yield index arrays (i, j), i before j, of points whose summed coordinate minima allow a link."""
         leaves = len(self.begin)
@@ -220,10 +271,9 @@ def _lists(rows: list[np.ndarray], kind):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, max_ids: int) -> DataFrame:
     """(id, shingles) of the documents named, from their texts."""
-    n = ids.count()
-    few = F.broadcast(ids) if n <= MAX_IDS else ids
+    few = F.broadcast(ids) if ids.count() <= max_ids else ids
 
     def work(batches):
         import pyarrow as pa
@@ -235,10 +285,10 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(work, "id long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, max_ids: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets link; sets are made anew from the texts of the documents named."""
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    sets = cut(_sets(docs, ids))
+    sets = cut(_sets(docs, ids, max_ids))
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
     met = pairs.join(one, "a").join(two, "b")
@@ -246,77 +296,112 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return met.filter(180 * both >= 80 * (F.size("s") + F.size("t"))).select("a", "b")
 
 
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose sizes and summed coordinate minima allow a link."""
-    one = points.select(F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("counts").alias("c1"))
-    two = points.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("counts").alias("c2"))
-    met = pairs.join(one, "a").join(two, "b").filter("5 * least(n1, n2) >= 4 * greatest(n1, n2)")
+def _by_group(batches, keys: int):
+    """Tables of whole groups from batches sorted by their first ``keys`` columns, with each row's group number."""
+    import pyarrow as pa
+
+    def numbered(table):
+        columns = [table.column(i).to_numpy() for i in range(keys)]
+        new = np.zeros(table.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        return np.cumsum(new)
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # a group that fills whole batches is gathered before it is looked at again
+        if held and all(held[-1].column(i)[-1] == batch.column(i)[-1] for i in range(keys)):
+            held.append(batch)
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        group = numbered(table)
+        last = int(np.searchsorted(group, group[-1]))
+        held = table.slice(last).combine_chunks().to_batches()
+        if last:
+            yield table.slice(0, last), group[:last]
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, numbered(table)
+
+
+def _pair_batch(rep: np.ndarray, i: np.ndarray, j: np.ndarray):
+    import pyarrow as pa
 
-    def work(batches):
-        import pyarrow as pa
+    a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        for batch in batches:
-            n1, n2 = batch.column("n1").to_numpy(), batch.column("n2").to_numpy()
-            keep = np.ones(len(n1), bool)
-            c1, c2 = batch.column("c1"), batch.column("c2")
-            for r in range(len(n1)):
-                packed = [c[r].as_py() for c in (c1, c2)]
-                x, y = (unpacked(p, 4 * min(map(len, packed))) for p in packed)
-                overlap = int(np.minimum(x, y).sum(dtype=np.int64))
-                overlap += min(int(n1[r]) - int(x.sum(dtype=np.int64)), int(n2[r]) - int(y.sum(dtype=np.int64)))
-                keep[r] = 180 * overlap >= 80 * int(n1[r] + n2[r])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    return met.mapInArrow(work, "a long, b long")
+def _star_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) that a search around each bucket's centre leaves, from rows (sig, slices, rep, centre, n, counts).
+
+    A bucket of several slices has its centre in each of them. Buckets of up to
+    LEAF points are trees of one leaf, of which many are searched at once.
+    """
+    own = F.array(F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
+    dealt = rows.withColumn("at", F.explode(F.when(F.col("rep") == F.col("centre"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(own)))
+
+    def work(batches):
+        for table, group in _by_group(batches, 2):
+            rep, centre, n = (table.column(c).to_numpy() for c in ("rep", "centre", "n"))
+            points = Points(table.column("counts"), n)
+            middle = np.full(group[-1] + 1, -1)
+            middle[group[rep == centre]] = np.flatnonzero(rep == centre)
+            size = np.bincount(group)
+            j = np.flatnonzero((rep != centre) & (size[group] <= LEAF))
+            i = middle[group[j]]
+            keep = points.allowed(i, j)
+            yield _pair_batch(rep, i[keep], j[keep])
+            for g in np.flatnonzero(size > LEAF):
+                at = np.arange(*np.searchsorted(group, [g, g + 1]))
+                found = CountTree(points.matrix(at), n[at]).around(int(middle[g] - at[0]))
+                yield _pair_batch(rep, np.full(len(found), middle[g]), at[found])
+
+    ordered = dealt.repartition("sig", "at").sortWithinPartitions("sig", "at")
+    return ordered.select("sig", "at", "rep", "centre", "n", "counts").mapInArrow(work, "a long, b long").distinct()
 
 
 def _tree_pairs(open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in the same bucket that the R-tree leaves, from rows (sig, m, rep, comp, n, counts).
+    """Pairs (a, b) of different components in the same bucket that the R-tree leaves, from rows (sig, slices, rep, comp, n, counts).
 
-    A bucket of more than BUCKET members is cut into slices; tasks compare two slices each.
+    Of a bucket of several slices each task compares two, or one with itself.
     """
-    slices = F.ceil(F.col("m") / BUCKET).cast("int")
-    own = F.pmod(F.xxhash64("rep"), slices).cast("int")
-    other = F.explode(F.sequence(F.lit(0), slices - 1))
+    own = F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     dealt = open_.withColumn("own", own).withColumn("other", other)
     dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     by = ["sig", "lo", "hi"]
 
-    def bucket(rep, comp, n, counts):
-        dims = 4 * min(len(c) for c in counts)
-        points = np.array([unpacked(c, dims) for c in counts])
-        for i, j in CountTree(points, n).pairs():
-            apart = comp[i] != comp[j]
-            if apart.any():
-                yield np.minimum(rep[i], rep[j])[apart], np.maximum(rep[i], rep[j])[apart]
-
     def work(batches):
-        import pyarrow as pa
-
-        held: list = []
-        last = None
-
-        def flush():
-            if len(held) > 1:
-                rep, comp, n, counts = zip(*held, strict=True)
-                for a, b in bucket(np.array(rep), np.array(comp), np.array(n), counts):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            sig, lo, hi, rep, comp, n = (batch.column(i).to_numpy() for i in range(6))
-            packed = batch.column(6)
-            for r in range(len(sig)):
-                if (sig[r], lo[r], hi[r]) != last:
-                    yield from flush()
-                    held, last = [], (sig[r], lo[r], hi[r])
-                held.append((rep[r], comp[r], n[r], packed[r].as_py()))
-        yield from flush()
-
-    return dealt.repartition(*map(F.col, by)).sortWithinPartitions(*by).select(*by, "rep", "comp", "n", "counts").mapInArrow(work, "a long, b long")
-
-
-def _buckets(chosen: DataFrame) -> DataFrame:
-    """(sig, rep, centre): sets that share a group and are of near sizes, from rows (rep, n, sigs).
+        for table, group in _by_group(batches, 3):
+            lo, hi, own, rep, comp, n = (table.column(c).to_numpy() for c in ("lo", "hi", "own", "rep", "comp", "n"))
+            points = Points(table.column("counts"), n)
+            size = np.bincount(group)
+
+            def due(i, j, lo=lo, hi=hi, own=own, comp=comp):
+                return (comp[i] != comp[j]) & ((lo[i] == hi[i]) | (own[i] != own[j]))
+
+            # trees of one leaf, all at once: rows of a group so many places apart
+            for far in range(1, min(LEAF, len(group))):
+                i = np.flatnonzero((group[far:] == group[:-far]) & (size[group[far:]] <= LEAF))
+                if not len(i):
+                    break
+                i = i[due(i, i + far)]
+                i = i[points.allowed(i, i + far)]
+                yield _pair_batch(rep, i, i + far)
+            for g in np.flatnonzero(size > LEAF):
+                at = np.arange(*np.searchsorted(group, [g, g + 1]))
+                for i, j in CountTree(points.matrix(at), n[at]).pairs():
+                    keep = due(at[i], at[j])
+                    yield _pair_batch(rep, at[i[keep]], at[j[keep]])
+
+    ordered = dealt.repartition(*map(F.col, by)).sortWithinPartitions(*by)
+    return ordered.select(*by, "own", "rep", "comp", "n", "counts").mapInArrow(work, "a long, b long").distinct()
+
+
+def _buckets(chosen: DataFrame, bucket: int, slice_bytes: int) -> DataFrame:
+    """(sig, rep, centre, slices): sets that share a group and are of near sizes, from rows (rep, n, sigs).
 
     Sizes fall into bands so wide that sets which link are in the same or in
     neighbouring ones; a set goes to the buckets of its own band and of the next.
@@ -327,15 +412,18 @@ def _buckets(chosen: DataFrame) -> DataFrame:
     shared = cut(single.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig"))
     near = single.join(shared, "sig", "left_semi")
     band = F.floor(F.log("n") / math.log(BAND))
-    banded = cut(near.select(F.explode(F.array(F.xxhash64("sig", band), F.xxhash64("sig", band + 1))).alias("sig"), "rep"))
+    banded = cut(near.select(F.explode(F.array(F.xxhash64("sig", band), F.xxhash64("sig", band + 1))).alias("sig"), "rep", "n"))
     # sums of 32-bit hashes: unlike bit_xor they don't cancel where a member stands twice
     marks = [F.sum(F.xxhash64("rep", F.lit(i)).bitwiseAND(0xFFFFFFFF)).alias(f"x{i}") for i in range(4)]
-    filled = banded.groupBy("sig").agg(F.count("*").alias("m"), F.min("rep").alias("centre"), *marks).filter("m > 1")
-    kept = filled.groupBy("m", "centre", *(f"x{i}" for i in range(4))).agg(F.min("sig").alias("sig")).select("sig", "centre")
-    return cut(banded.join(kept, "sig").select("sig", "rep", "centre"))
+    filled = banded.groupBy("sig").agg(F.count("*").alias("m"), F.max("n").alias("top"), F.min("rep").alias("centre"), *marks).filter("m > 1")
+    kept = filled.groupBy("m", "top", "centre", *(f"x{i}" for i in range(4))).agg(F.min("sig").alias("sig"))
+    # a point takes some 20 bytes for each of its packed ones: counts, folded counts and their spread
+    width = F.expr(f"20 * shiftleft(16L, greatest(0, length(bin(top - 1)) - {(SMALL - 1).bit_length()}))")
+    slices = F.greatest(F.ceil(F.col("m") / bucket), F.ceil(F.col("m") * width / slice_bytes)).cast("int")
+    return cut(banded.join(kept.select("sig", "centre", slices.alias("slices")), "sig").select("sig", "rep", "centre", "slices"))
 
 
-def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def jaccard_classes(docs: DataFrame, bucket: int = BUCKET, slice_bytes: int = SLICE_BYTES, max_ids: int = MAX_IDS) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership is doc_id, n_shingles, rep; links (a, b) connect representatives of different sets.
 
     ``rep`` is the smallest doc_id with the same set, and the document itself if
@@ -360,41 +448,38 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     picked = cut(once.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("row"))
     chosen = real.join(picked, "row", "left_semi").withColumnRenamed("doc_id", "rep")
     points = chosen.select("rep", "n", "counts")
-    buckets = _buckets(chosen)
-    pairs = buckets.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = cut(_bounded(pairs, points))
-    links = cut(_verified(tested, docs))
+    buckets = _buckets(chosen, bucket, slice_bytes)
+    tested = cut(_star_pairs(buckets.join(points, "rep")))
+    links = cut(_verified(tested, docs, max_ids))
     for turn in range(STAR_ROUNDS):
-        open_ = _open_buckets(buckets, links, turn)
-        new = open_.filter("comp != other").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        new = cut(_bounded(new.join(tested, ["a", "b"], "left_anti"), points))
-        found = cut(_verified(new, docs))
+        open_ = _open_buckets(buckets, links, turn).filter("comp != other or rep = centre")
+        new = cut(_star_pairs(open_.join(points, "rep")).join(tested, ["a", "b"], "left_anti"))
+        found = cut(_verified(new, docs, max_ids))
         tested, links = tested.union(new), links.union(found)
         if not found.head(1):
             break
     # what no star has settled
     open_ = _open_buckets(buckets, links, STAR_ROUNDS).drop("centre", "other")
-    new = cut(_tree_pairs(open_.join(points, "rep")).distinct().join(tested, ["a", "b"], "left_anti"))
-    return membership, cut(links.union(_verified(new, docs)))
+    new = cut(_tree_pairs(open_.join(points, "rep")).join(tested, ["a", "b"], "left_anti"))
+    return membership, cut(links.union(_verified(new, docs, max_ids)))
 
 
 def _open_buckets(buckets: DataFrame, links: DataFrame, turn: int) -> DataFrame:
-    """(sig, rep, comp, m, centre, other) of buckets whose members aren't all connected; centre, of component other, is drawn by hash."""
+    """(sig, slices, rep, comp, centre, other) of buckets whose members aren't all connected; centre, of component other, is drawn by hash."""
     comps = cut(connected_components(links)).withColumnRenamed("node", "rep")
-    labelled = buckets.select("sig", "rep").join(comps, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    labelled = buckets.select("sig", "slices", "rep").join(comps, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     spread = labelled.groupBy("sig").agg(
         F.min("comp").alias("c1"),
         F.max("comp").alias("c2"),
-        F.count("*").alias("m"),
         F.min(F.struct(F.xxhash64("rep", F.pmod("sig", F.lit(CENTRES)), F.lit(turn)).alias("h"), "rep", "comp")).alias("x"),
     )
-    spread = spread.filter("c1 < c2").select("sig", "m", F.col("x.rep").alias("centre"), F.col("x.comp").alias("other"))
+    spread = spread.filter("c1 < c2").select("sig", F.col("x.rep").alias("centre"), F.col("x.comp").alias("other"))
     return cut(labelled.join(spread, "sig"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest doc_id that links and equal sets reach."""
-    membership, links = jaccard_classes(docs)
+def jaccard_components(docs: DataFrame, **limits: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest doc_id that links and equal sets reach; ``limits`` as jaccard_classes has them."""
+    membership, links = jaccard_classes(docs, **limits)
     comps = connected_components(links)
     met = membership.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     return met.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
