@@ -78,6 +78,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_salted(many: DataFrame, few: DataFrame, on: list[str], most: int) -> DataFrame:
+    """``many`` joined to the rows of ``few`` that share ``on``, which is never null.
+
+    A key of more than ``most`` rows in ``many`` is dealt to as many salts as keep
+    them below, about, and what ``few`` has of it is copied to each. ``many`` is
+    read twice: give it as a table that is written already.
+    """
+    hot = many.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("__salts"))
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = many.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*many.columns), salts).cast("int"))
+    copied = few.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.drop("__salts").join(copied.drop("__salts"), [*on, "__salt"]).drop("__salt")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -178,6 +192,7 @@ def binary_parts(column) -> tuple[np.ndarray, np.ndarray]:
     array = column.combine_chunks() if hasattr(column, "combine_chunks") else column
     if isinstance(array, pa.ChunkedArray):
         array = pa.concat_arrays(array.chunks)
+    assert not array.null_count
     width = np.int64 if pa.types.is_large_binary(array.type) else np.int32
     _, where, data = array.buffers()
     offsets = np.frombuffer(where, dtype=width)[array.offset : array.offset + len(array) + 1].astype(np.int64)

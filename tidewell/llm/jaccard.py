@@ -13,10 +13,12 @@ steps of the join:
    the overlap of any two points or boxes by the sum of coordinate minima, which
    leaves few pairs; these are verified on the whole sets.
 
-A bucket's tree is first searched around one member, which links the others to
-it. Members already known to be connected need no further links, so a group of
-thousands of near copies takes a few links a member and not all pairs; the trees
-of buckets that are still apart are then joined with themselves.
+Of most buckets the tree is a single leaf, whose pairs are bounded at once; each
+member gives one link to an earlier one, and a bucket with no other pair is done.
+A larger one is searched around one member, which links the others to it. Members
+already known to be connected need no further links, so a group of thousands of
+near copies takes a few links a member and not all pairs; the trees of buckets
+that are still apart are then joined with themselves.
 """
 
 from __future__ import annotations
@@ -127,7 +129,9 @@ def count_vector(u: np.ndarray) -> bytes:
     return (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
 
 
+#: The four counts of a packed byte, and their sum.
 _QUARTERS = (np.arange(256, dtype=np.uint8)[:, None] >> np.arange(0, 8, 2, dtype=np.uint8)) & np.uint8(3)
+_SUMS = _QUARTERS.sum(axis=1).astype(np.uint8)
 
 
 def folded(counts: np.ndarray, dims: int) -> np.ndarray:
@@ -140,13 +144,18 @@ class Points:
 
     def __init__(self, packed, n: np.ndarray):
         self.data, self.offsets = binary_parts(packed)
-        self.length, self.n = np.diff(self.offsets), n
+        self.sums, self.length, self.n = _SUMS[self.data], np.diff(self.offsets), n
 
     def unpacked(self, rows: np.ndarray, length: int, dims: int) -> np.ndarray:
         """Vectors of equal packed length over ``dims`` groups; of finer ones the sums, 3 standing for 3 and more again."""
         packed = self.data[self.offsets[rows][:, None] + np.arange(length)]
         return np.minimum(folded(_QUARTERS[packed].reshape(len(rows), 4 * length), dims), 3)
 
+    def coarse(self, rows: np.ndarray, length: int, bytes_: int) -> np.ndarray:
+        """The same over ``bytes_`` fours of groups."""
+        sums = self.sums[self.offsets[rows][:, None] + np.arange(length)]
+        return sums if length == bytes_ else folded(sums, bytes_)
+
     def matrix(self, rows: np.ndarray) -> np.ndarray:
         """Vectors of any lengths over the groups of the shortest."""
         dims = 4 * int(self.length[rows].min())
@@ -157,20 +166,25 @@ class Points:
         return out
 
     def allowed(self, i: np.ndarray, j: np.ndarray, most: int = 1 << 22) -> np.ndarray:
-        """Whether sizes and summed coordinate minima allow rows i and j a link; ``most`` bounds the bytes at once."""
+        """Whether sizes and summed coordinate minima, over fours of groups and then over all, allow rows i and j a link.
+
+        ``most`` bounds the bytes at once.
+        """
         small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
         keep = 5 * small >= 4 * large
         kinds = self.length[i] << 32 | self.length[j]
         for kind in np.unique(kinds[keep]):
             at = np.flatnonzero(keep & (kinds == kind))
             a, b = int(kind) >> 32, int(kind) & 0xFFFFFFFF
-            step = max(1, most // (8 * max(a, b)))
-            for s in range(0, len(at), step):
-                p = at[s : s + step]
-                x, y = self.unpacked(i[p], a, 4 * min(a, b)), self.unpacked(j[p], b, 4 * min(a, b))
-                overlap = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-                overlap += np.minimum(self.n[i[p]] - x.sum(axis=1, dtype=np.int64), self.n[j[p]] - y.sum(axis=1, dtype=np.int64))
-                keep[p] = 180 * overlap >= 80 * (self.n[i[p]] + self.n[j[p]])
+            for vectors, width in ((self.coarse, 1), (self.unpacked, 4)):
+                step = max(1, most // (2 * width * max(a, b)))
+                for s in range(0, len(at), step):
+                    p = at[s : s + step]
+                    x, y = (vectors(r[p], size, width * min(a, b)) for r, size in ((i, a), (j, b)))
+                    overlap = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                    overlap += np.minimum(self.n[i[p]] - x.sum(axis=1, dtype=np.int64), self.n[j[p]] - y.sum(axis=1, dtype=np.int64))
+                    keep[p] = 180 * overlap >= 80 * (self.n[i[p]] + self.n[j[p]])
+                at = at[keep[at]]
         return keep
 
 
@@ -326,40 +340,67 @@ def _by_group(batches, keys: int):
         yield table, numbered(table)
 
 
-def _pair_batch(rep: np.ndarray, i: np.ndarray, j: np.ndarray):
+def _pair_batch(rep: np.ndarray, i: np.ndarray, j: np.ndarray, sigs: np.ndarray | None = None):
+    """Rows (a, b), and where buckets are named rows (sig) after them."""
     import pyarrow as pa
 
-    a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    a, b = (pa.array(f(rep[i], rep[j]), pa.int64()) for f in (np.minimum, np.maximum))
+    if sigs is None:
+        return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+    none, more = pa.nulls(len(sigs), pa.int64()), pa.nulls(len(i), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in ([a, none], [b, none], [more, pa.array(sigs, pa.int64())])], ["a", "b", "sig"])
 
 
-def _star_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) that a search around each bucket's centre leaves, from rows (sig, slices, rep, centre, n, counts).
+def _leaf_pairs(points: Points, group: np.ndarray, rows: np.ndarray, due=None) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i before j, of ``rows`` (a mask over whole groups of up to LEAF rows) that share a group, are due and may link."""
+    found = [(np.zeros(0, np.int64),) * 2]
+    for far in range(1, min(LEAF, len(group))):
+        i = np.flatnonzero((group[far:] == group[:-far]) & rows[far:])
+        if not len(i):
+            break
+        i = i if due is None else i[due(i, i + far)]
+        i = i[points.allowed(i, i + far)]
+        found.append((i, i + far))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j
+
 
-    A bucket of several slices has its centre in each of them. Buckets of up to
-    LEAF points are trees of one leaf, of which many are searched at once.
+def _searched(rows: DataFrame, leaves: bool) -> DataFrame:
+    """(a, b, sig) from rows (sig, slices, rep, centre, n, counts): pairs a, b that may link, and the buckets sig that may have others.
+
+    With ``leaves`` all pairs of buckets of up to LEAF points are bounded and each
+    point gives one to the first it may link with. Otherwise, and in larger
+    buckets, the tree is searched around the centre. A bucket of several slices has
+    its centre in each of them.
     """
     own = F.array(F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
     dealt = rows.withColumn("at", F.explode(F.when(F.col("rep") == F.col("centre"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(own)))
 
     def work(batches):
         for table, group in _by_group(batches, 2):
-            rep, centre, n = (table.column(c).to_numpy() for c in ("rep", "centre", "n"))
+            sig, slices, rep, centre, n = (table.column(c).to_numpy() for c in ("sig", "slices", "rep", "centre", "n"))
             points = Points(table.column("counts"), n)
+            size = np.bincount(group)
+            whole = leaves & (size[group] <= LEAF) & (slices == 1)
+            if whole.any():
+                i, j = _leaf_pairs(points, group, whole)
+                order = np.lexsort((i, j))
+                i, j = i[order], j[order]
+                first = np.r_[True, j[1:] != j[:-1]][: len(j)]
+                yield _pair_batch(rep, i[first], j[first], np.unique(sig[i[~first]]))
             middle = np.full(group[-1] + 1, -1)
             middle[group[rep == centre]] = np.flatnonzero(rep == centre)
-            size = np.bincount(group)
-            j = np.flatnonzero((rep != centre) & (size[group] <= LEAF))
+            j = np.flatnonzero((rep != centre) & (size[group] <= LEAF) & ~whole)
             i = middle[group[j]]
             keep = points.allowed(i, j)
-            yield _pair_batch(rep, i[keep], j[keep])
+            yield _pair_batch(rep, i[keep], j[keep], np.unique(sig[j]))
             for g in np.flatnonzero(size > LEAF):
                 at = np.arange(*np.searchsorted(group, [g, g + 1]))
                 found = CountTree(points.matrix(at), n[at]).around(int(middle[g] - at[0]))
-                yield _pair_batch(rep, np.full(len(found), middle[g]), at[found])
+                yield _pair_batch(rep, np.full(len(found), middle[g]), at[found], sig[at[:1]])
 
     ordered = dealt.repartition("sig", "at").sortWithinPartitions("sig", "at")
-    return ordered.select("sig", "at", "rep", "centre", "n", "counts").mapInArrow(work, "a long, b long").distinct()
+    return ordered.select("sig", "at", "slices", "rep", "centre", "n", "counts").mapInArrow(work, "a long, b long, sig long")
 
 
 def _tree_pairs(open_: DataFrame) -> DataFrame:
@@ -382,14 +423,8 @@ def _tree_pairs(open_: DataFrame) -> DataFrame:
             def due(i, j, lo=lo, hi=hi, own=own, comp=comp):
                 return (comp[i] != comp[j]) & ((lo[i] == hi[i]) | (own[i] != own[j]))
 
-            # trees of one leaf, all at once: rows of a group so many places apart
-            for far in range(1, min(LEAF, len(group))):
-                i = np.flatnonzero((group[far:] == group[:-far]) & (size[group[far:]] <= LEAF))
-                if not len(i):
-                    break
-                i = i[due(i, i + far)]
-                i = i[points.allowed(i, i + far)]
-                yield _pair_batch(rep, i, i + far)
+            i, j = _leaf_pairs(points, group, size[group] <= LEAF, due)
+            yield _pair_batch(rep, i, j)
             for g in np.flatnonzero(size > LEAF):
                 at = np.arange(*np.searchsorted(group, [g, g + 1]))
                 for i, j in CountTree(points.matrix(at), n[at]).pairs():
@@ -447,13 +482,17 @@ def jaccard_classes(docs: DataFrame, bucket: int = BUCKET, slice_bytes: int = SL
     once = real.groupBy("doc_id", "h1", "h2", "n").agg(F.min("row").alias("row"))
     picked = cut(once.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("row"))
     chosen = real.join(picked, "row", "left_semi").withColumnRenamed("doc_id", "rep")
-    points = chosen.select("rep", "n", "counts")
+    # points grow with the documents: they are joined alike at every size and never broadcast
+    points = chosen.select("rep", "n", "counts").hint("merge")
     buckets = _buckets(chosen, bucket, slice_bytes)
-    tested = cut(_star_pairs(buckets.join(points, "rep")))
+    first = cut(_searched(buckets.join(points, "rep"), True))
+    tested = cut(first.filter("a is not null").select("a", "b").distinct())
     links = cut(_verified(tested, docs, max_ids))
+    buckets = cut(buckets.join(first.filter("sig is not null").select("sig").distinct(), "sig", "left_semi"))
     for turn in range(STAR_ROUNDS):
         open_ = _open_buckets(buckets, links, turn).filter("comp != other or rep = centre")
-        new = cut(_star_pairs(open_.join(points, "rep")).join(tested, ["a", "b"], "left_anti"))
+        found = _searched(open_.join(points, "rep"), False).filter("a is not null").select("a", "b").distinct()
+        new = cut(found.join(tested, ["a", "b"], "left_anti"))
         found = cut(_verified(new, docs, max_ids))
         tested, links = tested.union(new), links.union(found)
         if not found.head(1):
