@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from helpers import repeated_lines, words
 
@@ -49,12 +50,42 @@ def test_rows_without_doc_id(spark):
     other = passage.replace("alpha", "omega")
     rows = [(None, f"a\n{passage}"), (1, f"b\n{passage}"), (2, f"c\n{passage}"), (None, f"d\n{other}"), (None, f"e\n{other}"), (2, f"c\n{passage}"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # the second of two equal rows repeats all of the first
     left = sorted((r["doc_id"] or 0, r["text"] or "") for r in linededup.dedup_lines(docs).collect())
-    assert left[:2] == [(0, ""), (0, "a")] and left[4:] == [(1, f"b\n{passage}"), (2, "c"), (2, "c")]
+    assert left[:2] == [(0, ""), (0, "a")] and left[4:] == [(1, f"b\n{passage}"), (2, ""), (2, "c")]
     assert left[2:4] in ([(0, "d"), (0, f"e\n{other}")], [(0, f"d\n{other}"), (0, "e")])
     runs = {(r["doc_id"], r["of_doc"]) for r in linededup.repeated_runs(docs).collect()}
     # a fingerprint may come first in document 2
-    assert runs - {(None, 2)} == {(2, 1), (None, 1), (None, None)}
+    assert runs - {(None, 2), (2, 2)} == {(2, 1), (None, 1), (None, None)}
+
+
+def test_one_doc_id_of_several_texts(spark):
+    passage = "\n".join(f"alpha beta gamma delta epsilon line {i}" for i in range(10))
+    rows = [(2, "a\n" * 3 + passage), (2, "b\nc\nd\ne\n" + passage + "\ntail"), (2, "x"), (5, passage), (1, "own")]
+    out = sorted((r["doc_id"], r["text"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    assert out == [(1, "own"), (2, "a\n" * 3 + passage), (2, "b\nc\nd\ne\ntail"), (2, "x"), (5, "")]
+
+
+def test_documents_that_many_others_repeat(spark, monkeypatch):
+    rows = _rows(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ["doc_id", "first_line", "last_line", "of_doc", "of_line"]
+    whole = sorted(map(tuple, linededup.repeated_runs(docs).select(*columns).collect()))
+    monkeypatch.setattr(linededup, "MEETINGS", 2)
+    assert sorted(map(tuple, linededup.repeated_runs(docs).select(*columns).collect())) == whole != []
+
+
+def test_query_tells_what_is_left(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    gone: dict = {}
+    rows = linededup.op9_line_dedup(spark, sf).collect()
+    for r in rows:
+        gone.setdefault(r["doc_id"], set()).update(range(r["first_line"], r["last_line"] + 1))
+    for r in rows:
+        left = "\n".join(x for i, x in enumerate(docs[r["doc_id"]].split("\n")) if i not in gone[r["doc_id"]])
+        left = left if left.strip(" \n\t\r") else ""
+        assert (r["left_chars"], r["left_crc32"]) == (len(left), zlib.crc32(left.encode()))
+    assert rows
 
 
 def test_empty(spark):

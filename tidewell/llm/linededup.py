@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewell.llm.common import cut, read
+from tidewell.llm.common import cut, join_salted, read
 
 HEAVY = 13
 WINDOW = 3
 #: A repeated run is deleted if it has so many words: four lines of under HEAVY words have fewer.
 MIN_WORDS = 50
+#: Alignments to one document that a task extends, about.
+MEETINGS = 2000
 
 
 def _parsed(text: Column) -> Column:
@@ -42,35 +44,39 @@ def _parsed(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with __key: doc_id, or where some rows have none (number, doc_id), number being 0 for the rows that have one.
+    """``docs`` with __key: doc_id, or where some rows have none or one that repeats (none?, doc_id, row number).
 
-    The others are numbered in a copy, so that both reads of them agree; they come last.
+    The rows are then numbered in a copy, so that all reads of them agree; those
+    without doc_id come last.
     """
-    nameless = docs.filter("doc_id is null")
-    if nameless.isEmpty():
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
         return docs.withColumn("__key", F.col("doc_id"))
-    numbered = cut(nameless.withColumn("__no", F.monotonically_increasing_id() + 1))
-    both = docs.filter("doc_id is not null").withColumn("__no", F.lit(0).cast("long")).unionByName(numbered)
-    return both.withColumn("__key", F.struct("__no", "doc_id")).drop("__no")
+    rows = cut(docs.withColumn("__no", F.monotonically_increasing_id()))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "__no")
+    return rows.withColumn("__key", key).drop("__no")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, first_line, last_line, words, of_doc, of_line): later occurrences of repeated runs, lines from 0.
 
     Blank lines neither match nor break a run. A run may repeat one in the same
-    document that begins earlier. Rows of equal doc_id are taken for one document;
-    each row without doc_id is a document of its own, later than all with one.
-    Null and empty texts have no lines that repeat.
+    document that begins earlier. Each row is a document of its own: of rows with
+    equal doc_id one counts as the earlier, and rows without doc_id are later than
+    all with one. Null and empty texts have no lines that repeat.
     """
     keyed = _keyed(docs.select("doc_id", "text")).select(F.col("__key").alias("doc_id"), "text")
-    runs = _runs(keyed, min_words)
-    if isinstance(keyed.schema["doc_id"].dataType, StructType):
-        runs = runs.withColumns({c: F.col(c)["doc_id"] for c in ("doc_id", "of_doc")})
-    return runs
+    return _named(_runs(keyed, min_words))
+
+
+def _named(runs: DataFrame) -> DataFrame:
+    """``runs`` with doc_id and of_doc as they were before they were made keys."""
+    if not isinstance(runs.schema["doc_id"].dataType, StructType):
+        return runs
+    return runs.withColumns({c: F.when(~F.col(c)["none"], F.col(c)["id"]) for c in ("doc_id", "of_doc")})
 
 
 def _runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """repeated_runs of documents whose doc_id is a key."""
+    """repeated_runs of documents whose doc_id is a key that doesn't repeat."""
     parsed = docs.filter("text is not null").select("doc_id", _parsed(F.col("text")).alias("x"))
     table = cut(parsed.select("doc_id", F.col("x.h").alias("h"), F.col("x.w").alias("w"), F.col("x.at").alias("line")))
     none = "cast(array() as array<bigint>)"
@@ -113,10 +119,13 @@ def _joined(prints: DataFrame) -> DataFrame:
 
 
 def _extended(table: DataFrame, shifts: DataFrame) -> DataFrame:
-    """``shifts`` with ``runs``: the runs of lines that are equal at the shift, with their words."""
+    """``shifts`` with ``runs``: the runs of lines that are equal at the shift, with their words.
+
+    A document that more than MEETINGS others are aligned to is copied to salts.
+    """
     source = table.select(F.col("doc_id").alias("of_doc"), F.col("h").alias("g"), F.col("line").alias("of_line"))
     equal = F.expr("filter(sequence(greatest(0, -shift), least(size(h), size(g) - shift) - 1), i -> h[i] = g[i + shift])")
-    met = shifts.join(table, "doc_id").join(source, "of_doc").withColumn("m", equal)
+    met = join_salted(cut(shifts), source, ["of_doc"], MEETINGS).join(table, "doc_id").withColumn("m", equal)
     # a line of a run starts it unless the line before it is equal too
     starts = F.expr("filter(m, (x, i) -> i = 0 or m[i - 1] != x - 1)")
     ends = F.expr("filter(m, (x, i) -> i = size(m) - 1 or m[i + 1] != x + 1)")
@@ -132,22 +141,35 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, gone: bool = False)
 
     All other columns stay as they are. A document of which nothing but blank
     lines is left has text ''; with ``gone`` it is dropped, unless it had none before.
+    Shorter repeated runs stay, and so do passages that repeat within longer lines.
     """
     keyed = _keyed(docs)
-    runs = _runs(keyed.select(F.col("__key").alias("doc_id"), "text"), min_words)
-    runs = runs.groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set(F.struct("first_line", "last_line")).alias("__runs"))
-    met = keyed.join(runs, "__key", "left")
-    left = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not exists(__runs, r -> i between r.first_line and r.last_line)), '\\n')")
-    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.when(F.trim(F.translate(left, "\n\t\r", "   ")) == "", F.lit("")).otherwise(left))
-    out = met.withColumn("__text", text)
+    out = _without(keyed, _runs(keyed.select(F.col("__key").alias("doc_id"), "text"), min_words))
     if gone:
         out = out.filter("__runs is null or __text != ''")
     sized = {"n_chars": F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {}
     return out.withColumns({"text": F.col("__text")} | sized).select(*docs.columns)
 
 
+def _without(keyed: DataFrame, runs: DataFrame) -> DataFrame:
+    """``keyed`` with __runs, the runs of each document (null: none), and __text, its text without them."""
+    runs = runs.groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set(F.struct("first_line", "last_line")).alias("__runs"))
+    met = keyed.join(runs, "__key", "left")
+    left = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not exists(__runs, r -> i between r.first_line and r.last_line)), '\\n')")
+    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.when(F.trim(F.translate(left, "\n\t\r", "   ")) == "", F.lit("")).otherwise(left))
+    return met.withColumn("__text", text)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The later repeated runs of all documents: which lines of which document repeat which earlier ones."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    runs = repeated_runs(docs)
-    return runs.select("doc_id", F.col("first_line").cast("long"), F.col("last_line").cast("long"), "words", F.col("of_doc"), F.col("of_line").cast("long"))
+    """The runs deleted from all documents: lines first_line to last_line of doc_id, which repeat of_doc from of_line on.
+
+    ``left_chars`` and ``left_crc32`` are of the document's text without all its
+    runs; documents that lose nothing have no row.
+    """
+    keyed = _keyed(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    runs = cut(_runs(keyed.select(F.col("__key").alias("doc_id"), "text"), MIN_WORDS))
+    named = runs.select("doc_id").distinct().withColumnRenamed("doc_id", "__key")
+    cleaned = _without(keyed.join(named, "__key", "left_semi"), runs)
+    left = cleaned.select(F.col("__key").alias("doc_id"), F.length("__text").cast("long").alias("left_chars"), F.crc32("__text").alias("left_crc32"))
+    lines = [F.col(c).cast("long").alias(c) for c in ("first_line", "last_line", "words")]
+    return _named(runs.join(left, "doc_id")).select("doc_id", *lines, "of_doc", F.col("of_line").cast("long"), "left_chars", "left_crc32")
