@@ -3,15 +3,17 @@
 Vectors are documents whose terms are their dimensions. Runs of documents form
 blocks; a block keeps its forward index (its vectors as one matrix) and each
 term's largest and smallest weight. For a query the summed best a block could
-give, q+ * max + q- * min over its terms, bounds every score in it. Blocks are
-scored in the order of their bounds until these fall below the query's k-th
-score.
+give, q+ * max + q- * min over its terms, bounds every score in it. A query takes
+blocks in the order of their bounds, raises its k-th score after each, and stops
+where the bounds fall below it.
+
+Blocks lie in chunks of bounded size. Every query is first scored in the chunk
+where it would stand itself, which is near it; with the k-th score found there
+it then goes through the others, which give only scores that reach it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,17 +21,15 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import cut, read
 
-#: Vectors in a document-range block, and queries in a query block.
+#: Vectors in a document-range block, and queries that a task takes through a chunk at once.
 BLOCK = 512
 QUERY_BLOCK = 256
-#: Block summaries beyond this many bytes are sent to executors in chunks.
-MAX_SUMMARY_BYTES = 32 << 20
-#: Queries that meet a block in one group at most, about.
+#: Bytes of the forward indexes of a chunk of blocks, which a task holds.
+CHUNK_BYTES = 8 << 20
+#: Queries that meet a chunk in one group at most, about.
 MAX_GROUP = 20_000
-#: Blocks that each query scores first, to learn its k-th score.
-FIRST = 2
 
-_BLOCKS = "block long, n int, ids binary, weights binary, least binary, most binary"
+_ROWS = "chunk long, ids binary, weights binary, least binary, most binary, query_id long, q array<double>"
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -52,54 +52,53 @@ def _matrix(column, dims: int) -> np.ndarray:
     return out
 
 
-def _blocks(rows: DataFrame, dims: int, size: int, parts: int) -> DataFrame:
-    """Cut (vec_id, v) into blocks of ``size`` neighbours in the order of ``place``, one row each."""
+def _chunks(rows: DataFrame, dims: int, size: int, width: int, parts: int) -> DataFrame:
+    """Cut (vec_id, v, asked) in the order of ``place`` into blocks of ``size`` vectors, ``width`` blocks a chunk.
+
+    Rows that are ``asked`` are queries: they come out with the chunk they stand in, vectors in one row a block.
+    """
 
     def pack(batches):
         import pyarrow as pa
 
         ids, mats, made = np.zeros(0, np.int64), np.zeros((0, dims)), 0
         base = TaskContext.get().partitionId() << 32
-
-        def row(i, m):
-            nonlocal made
-            made += 1
-            return [base + made - 1, len(i), i.tobytes(), m.tobytes(), m.min(axis=0).tobytes(), m.max(axis=0).tobytes()]
+        kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.list_(pa.float64())]
+        names = [x.split()[0] for x in _ROWS.split(", ")]
 
         def batch(rows):
-            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
-            names = ["block", "n", "ids", "weights", "least", "most"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+        def block(i, m):
+            nonlocal made
+            made += 1
+            return [base + (made - 1) // width, i.tobytes(), m.tobytes(), m.min(axis=0).tobytes(), m.max(axis=0).tobytes(), None, None]
+
         for b in batches:
-            ids = np.concatenate([ids, b.column(0).to_numpy()])
-            mats = np.concatenate([mats, _matrix(b.column(1), dims)])
+            asked = b.column(2).to_numpy(zero_copy_only=False)
+            stand = np.flatnonzero(~asked)
+            ids = np.concatenate([ids, b.column(0).to_numpy()[stand]])
+            mats = np.concatenate([mats, _matrix(b.column(1), dims)[stand]])
+            here = base + made // width
             full = len(ids) // size * size
-            if full:
-                yield batch([row(ids[s : s + size], mats[s : s + size]) for s in range(0, full, size)])
-                ids, mats = ids[full:], mats[full:]
+            out = [block(ids[s : s + size], mats[s : s + size]) for s in range(0, full, size)]
+            ids, mats = ids[full:], mats[full:]
+            out += [[here, None, None, None, None, b.column(0)[int(i)].as_py(), b.column(1)[int(i)].as_py()] for i in np.flatnonzero(asked)]
+            if out:
+                yield batch(out)
         if len(ids):
-            yield batch([row(ids, mats)])
+            yield batch([block(ids, mats)])
 
-    return rows.repartitionByRange(parts, "place", "vec_id").sortWithinPartitions("place", "vec_id").select("vec_id", "v").mapInArrow(pack, _BLOCKS)
+    ordered = rows.repartitionByRange(parts, "place", "vec_id").sortWithinPartitions("place", "vec_id")
+    return ordered.select("vec_id", "v", "asked").mapInArrow(pack, _ROWS)
 
 
-def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
-    """The k highest scores of each row, equal ones by smaller id; -inf marks no candidate."""
-    order = np.argsort(ids, kind="stable")
-    ids, scores = ids[order], scores[:, order]
-    if scores.shape[1] > k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        out = []
-        for r in range(len(scores)):
-            at = np.flatnonzero(scores[r] >= kth[r])
-            out.append(at[np.argsort(-scores[r, at], kind="stable")[:k]])
-    else:
-        out = [np.argsort(-s, kind="stable") for s in scores]
-    out = [a[np.isfinite(scores[r, a])] for r, a in enumerate(out)]
-    rows = np.repeat(np.arange(len(out)), [len(a) for a in out])
-    cols = np.concatenate([*out, np.zeros(0, np.int64)]).astype(np.int64)
-    return queries[rows], ids[cols], scores[rows, cols]
+def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k highest scores, equal ones by smaller id."""
+    order = np.lexsort((ids, -scores, queries))
+    asked = queries[order]
+    place = np.arange(len(order)) - np.searchsorted(asked, asked)
+    return order[place < k]
 
 
 def _products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -109,10 +108,42 @@ def _products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (q.astype(np.int64) @ m.astype(np.int64).T).astype(np.float64)
 
 
-def _score(pairs: DataFrame, blocks: DataFrame, dims: int, k: int, salts: int) -> DataFrame:
-    """Score (query_id, q, block) against the blocks' forward indexes and keep k of each query and block.
+def through_chunk(asked: np.ndarray, q: np.ndarray, floor: np.ndarray, blocks: list, k: int):
+    """(query, vec_id, score) of up to k vectors a query, ``asked`` (q, floor), from ``blocks`` (ids, weights, least, most).
 
-    A block that many queries reach is copied to ``salts`` groups, each with a share of them.
+    Block by block in the order of each query's bounds, until they fall below its
+    k-th score so far or ``floor``. Scores below that are left out.
+    """
+    high, low = np.array([b[3] for b in blocks]), np.array([b[2] for b in blocks])
+    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    order = np.argsort(-bound, axis=1, kind="stable")
+    floor, best = floor.copy(), np.full((len(q), k), -np.inf)
+    found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    for turn in range(len(blocks)):
+        at = order[:, turn]
+        live = bound[np.arange(len(q)), at] >= floor
+        if not live.any():
+            break
+        for block in np.unique(at[live]):
+            rows = np.flatnonzero(live & (at == block))
+            ids, m = blocks[block][:2]
+            scores = _products(q[rows], m)
+            scores[asked[rows, None] == ids] = -np.inf
+            r, c = np.nonzero((scores >= floor[rows, None]) & np.isfinite(scores))
+            for to, x in zip(found, (rows[r], ids[c], scores[r, c]), strict=True):
+                to.append(x)
+            best[rows] = -np.partition(-np.concatenate([best[rows], scores], axis=1), k - 1, axis=1)[:, :k]
+            floor[rows] = np.maximum(floor[rows], best[rows].min(axis=1))
+    query, ids, scores = map(np.concatenate, found)
+    keep = np.flatnonzero(scores >= floor[query])
+    keep = keep[_best(query[keep], ids[keep], scores[keep], k)]
+    return asked[query[keep]], ids[keep], scores[keep]
+
+
+def _score(queries: DataFrame, blocks: DataFrame, dims: int, k: int, salts: int) -> DataFrame:
+    """(query_id, vec_id, score) of ``queries`` (chunk, query_id, q, floor) in the blocks of their chunks.
+
+    A chunk is copied to ``salts`` groups, each with a share of the queries that reach it.
     """
 
     def work(left, right):
@@ -120,20 +151,19 @@ def _score(pairs: DataFrame, blocks: DataFrame, dims: int, k: int, salts: int) -
 
         found = [[np.zeros(0, np.int64)] for _ in range(3)]
         if right.num_rows and left.num_rows:
-            ids = np.frombuffer(right.column("ids")[0].as_py(), np.int64)
-            m = np.frombuffer(right.column("weights")[0].as_py()).reshape(-1, dims)
-            asked = left.column("query_id").to_numpy()
+            columns = [right.column(c).to_pylist() for c in ("ids", "weights", "least", "most")]
+            blocks = [(np.frombuffer(i, np.int64), np.frombuffer(w).reshape(-1, dims), np.frombuffer(a), np.frombuffer(b)) for i, w, a, b in zip(*columns, strict=True)]
+            asked, floor = left.column("query_id").to_numpy(), left.column("floor").to_numpy()
             q = _matrix(left.column("q").combine_chunks(), dims)
             for s in range(0, len(asked), QUERY_BLOCK):
-                scores = _products(q[s : s + QUERY_BLOCK], m)
-                scores[asked[s : s + QUERY_BLOCK, None] == ids] = -np.inf
-                for to, x in zip(found, _best(asked[s : s + QUERY_BLOCK], ids, scores, k), strict=True):
+                e = s + QUERY_BLOCK
+                for to, x in zip(found, through_chunk(asked[s:e], q[s:e], floor[s:e], blocks, k), strict=True):
                     to.append(x)
         return pa.table({n: np.concatenate(x).astype(np.int64) for n, x in zip(("query_id", "vec_id", "score"), found, strict=True)})
 
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int"))
+    salted = queries.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int"))
     copies = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.groupBy("block", "salt").cogroup(copies.groupBy("block", "salt")).applyInArrow(work, _FOUND)
+    return salted.groupBy("chunk", "salt").cogroup(copies.groupBy("chunk", "salt")).applyInArrow(work, _FOUND)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -141,76 +171,40 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = BLOCK, chunk_bytes: int = CHUNK_BYTES, group: int = MAX_GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``vectors`` (vec_id, v) for each of ``queries``, whole and exact.
 
     A query never meets a row with its own id; equal scores go to smaller ids;
     fewer rows than k give them all. Vectors of unequal length are compared as if
-    the shorter ended in zeros. Query ids are taken as unique; a repeated vector
-    is a row of its own. Each query scores the blocks with its FIRST best bounds,
-    which gives a floor under its k-th score, and then every block whose bound
-    reaches that floor; no block below it is visited. No queries or vectors give
-    no rows.
+    the shorter ended in zeros. Of rows of ``queries`` with equal ids one asks; a
+    repeated vector is a row of its own. No queries or vectors give no rows.
+    ``block``, ``chunk_bytes`` and ``group`` bound what a task holds and change no result.
     """
     spark = queries.sparkSession
-    queries, vectors = cut(queries.select("vec_id", "v")), cut(vectors.select("vec_id", "v"))
+    queries = cut(queries.groupBy("vec_id").agg(F.max("v").alias("v")))
+    vectors = cut(vectors.select("vec_id", "v"))
     shape = vectors.agg(F.max(F.size("v")).alias("d"), F.count("*").alias("n")).first()
     asked = queries.agg(F.max(F.size("v")).alias("d"), F.count("*").alias("n")).first()
     dims = max(shape["d"] or 1, asked["d"] or 1, 1)
-    salts = max(1, -(-asked["n"] // MAX_GROUP))
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shape["n"] // (4 * BLOCK))))
+    width = max(1, chunk_bytes // (8 * dims * block))
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(slots, -(-shape["n"] // (width * block))))
+    salts = max(1, -(-asked["n"] // group), min(-(-asked["n"] // QUERY_BLOCK), -(-slots // parts)))
     # neighbours in blocks make tight bounds: order by the signs of the leading components
     signs = [F.coalesce(F.when(F.get("v", F.lit(i)) > 0, F.lit(1 << (15 - i))), F.lit(0)) for i in range(min(dims, 16))]
-    blocks = cut(_blocks(vectors.withColumn("place", sum(signs[1:], signs[0])), dims, BLOCK, parts))
-    chunks = max(1, -(-blocks.count() * dims * 16 // MAX_SUMMARY_BYTES))
-    wide = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-    near = _bounds(wide, blocks, dims, chunks, FIRST).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= FIRST)
-    near = cut(near.select("query_id", "block"))
-    first = cut(_score(near.join(wide, "query_id"), blocks, dims, k, salts))
-    floor = _top(first, k).filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
-    known = cut(wide.join(floor, "query_id", "left"))
-    rest = _bounds(known, blocks, dims, chunks).join(near, ["query_id", "block"], "left_anti")
-    second = _score(rest.select("query_id", "block").join(wide, "query_id"), blocks, dims, k, salts)
-    return _top(first.union(second), k).select("query_id", "rank", "vec_id", "score")
-
-
-def _bounds(queries: DataFrame, blocks: DataFrame, dims: int, chunks: int, most: int | None = None) -> DataFrame:
-    """(query_id, block, bound): of each chunk of block summaries the ``most`` best, or those that reach the query's floor.
-
-    The summaries go to executors in chunks of proven size.
-    """
-    return reduce(DataFrame.union, [_bounds_of(queries, blocks.filter(F.pmod(F.xxhash64("block"), F.lit(chunks)) == c), dims, most) for c in range(chunks)])
-
-
-def _bounds_of(queries: DataFrame, blocks: DataFrame, dims: int, most: int | None) -> DataFrame:
-    rows = blocks.select("block", "least", "most").orderBy("block").collect()
-    names = np.array([r["block"] for r in rows], np.int64)
-    high = np.array([np.frombuffer(r["most"]) for r in rows]).reshape(-1, dims)
-    low = np.array([np.frombuffer(r["least"]) for r in rows]).reshape(-1, dims)
-    held = queries.sparkSession.sparkContext.broadcast((names, high, low))
-
-    def bound(batches):
-        import pyarrow as pa
-
-        names, high, low = held.value
-        for b in batches:
-            ids, q = b.column(0).to_numpy(), _matrix(b.column(1), dims)
-            floor = None if most else b.column(2).fill_null(-np.inf).to_numpy()
-            for s in range(0, len(ids), QUERY_BLOCK):
-                part = q[s : s + QUERY_BLOCK]
-                top = np.maximum(part, 0) @ high.T + np.minimum(part, 0) @ low.T
-                if most:
-                    cols = np.argsort(-top, axis=1, kind="stable")[:, :most]
-                    rows = np.repeat(np.arange(len(part)), cols.shape[1])
-                    cols = cols.ravel()
-                else:
-                    rows, cols = np.nonzero(top >= floor[s : s + QUERY_BLOCK, None])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[s + rows]), pa.array(names[cols]), pa.array(top[rows, cols])], ["query_id", "block", "bound"]
-                )
-
-    return queries.repartition(F.col("query_id")).mapInArrow(bound, "query_id long, block long, bound double")
+    both = vectors.withColumn("asked", F.lit(False)).union(queries.withColumn("asked", F.lit(True))).withColumn("place", sum(signs[1:], signs[0]))
+    rows = cut(_chunks(both, dims, block, width, parts))
+    blocks = rows.filter("query_id is null").select("chunk", "ids", "weights", "least", "most")
+    wide = rows.filter("query_id is not null").select(F.col("chunk").alias("home"), "query_id", "q")
+    lowest = F.lit(float("-inf"))
+    near = cut(_score(wide.select(F.col("home").alias("chunk"), "query_id", "q", lowest.alias("floor")), blocks, dims, k, salts))
+    floor = _top(near, k).filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("known"))
+    chunks = blocks.select("chunk").distinct()
+    # a stated query set against all blocks: each query is dealt to every other chunk, by key and not as pairs of rows
+    all_chunks = F.broadcast(chunks.agg(F.collect_list("chunk").alias("chunks")))
+    others = wide.join(floor, "query_id", "left").crossJoin(all_chunks)
+    others = others.select(F.explode(F.filter("chunks", lambda c: c != F.col("home"))).alias("chunk"), "query_id", "q", F.coalesce("known", lowest).alias("floor"))
+    return _top(near.union(_score(others, blocks, dims, k, salts)), k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
