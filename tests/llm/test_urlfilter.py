@@ -22,11 +22,11 @@ def _urls():
     return [*urls, None, "", "no scheme", "://", "a\nb://net/\nx", "http://a://net/"]
 
 
-def test_verdicts_and_the_way_beyond_the_limit(spark):
+def test_verdicts_in_one_part_and_in_several(spark):
     urls = list(enumerate(_urls()))
     pages = spark.createDataFrame([(i, u, "old") for i, u in urls], "page_id long, url string, rule string")
     rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
-    for limit in (urlfilter.MAX_FILTER_BYTES, 0):
+    for limit in (urlfilter.MAX_FILTER_BYTES, 4):
         out = urlfilter.judge_urls(pages, rules, limit=limit)
         assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
         got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()}

@@ -10,8 +10,9 @@ Per verdict a cascade encodes the listed keys against the key universe of the
 corpus (every candidate key of every url, plus all rules): level 1 holds the
 listed keys, level 2 the other keys that pass level 1, level 3 the listed keys
 that pass level 2, and so on until a level passes nothing wrong. Membership of
-any key of that universe is then exact. A url no listed key fits gets the
-method's verdict, `allow`.
+any key of that universe is then exact. Level 1 is built from the rules alone and
+probed while keys are exploded, so keys that fail it are never shuffled. A url no
+listed key fits gets the method's verdict, `allow`.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import cut, lower_ascii, mix, read
 
-#: A cascade larger than this isn't sent to executors; rules are then looked up by a shuffled join.
+#: Bytes of cascades that executors hold at once, about; larger ones are cut into parts by key hash, each a pass over the urls.
 MAX_FILTER_BYTES = 64 << 20
 LEVELS = 64
 
@@ -133,27 +134,37 @@ def _passing(keys: DataFrame, level: Level, number: int) -> DataFrame:
     return keys.mapInArrow(keep, keys.schema)
 
 
-def build_cascade(listed: DataFrame, others: DataFrame, sizes: tuple[int, int], limit: int = MAX_FILTER_BYTES) -> list[Level] | None:
-    """Levels that tell ``listed`` from ``others`` (both distinct h1, h2; of ``sizes`` rows), or None beyond ``limit`` bytes."""
-    if not sizes[0]:
-        return []
-    first_rate = min(0.5, max(1e-6, 0.7 * sizes[0] / max(sizes[1], 1)))
-    cascade: list[Level] = []
-    held, against, count = listed, others, sizes[0]
+def build_cascade(first: Level, listed: DataFrame, others: DataFrame) -> list[Level]:
+    """Levels from ``first``, which holds ``listed``, on that tell it from ``others``, of which those that ``first`` stops may be left out."""
+    cascade = [first]
+    held, against = listed, others
     for number in range(1, LEVELS + 1):
-        bits = 1.44 * count * math.log2(1 / (first_rate if number == 1 else 0.5))
-        if sum(x.bits for x in cascade) + bits > limit * 8:
-            return None
-        level = _level(held, number, count, first_rate if number == 1 else 0.5)
-        cascade.append(level)
-        wrong = cut(_passing(against, level, number))
+        wrong = cut(_passing(against, cascade[-1], number))
         count = wrong.count()
         if not count:
             return cascade
+        cascade.append(_level(wrong, number + 1, count, 0.5))
         held, against = wrong, held
     raise RuntimeError("keys of listed and unlisted rules have equal hashes")
 
 
+def _any_passing(keys: DataFrame, firsts: list[Level]) -> DataFrame:
+    """Those of ``keys`` (h1, h2) that pass one of some first levels."""
+    held = keys.sparkSession.sparkContext.broadcast(firsts)
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            h1, h2 = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            passed = np.zeros(len(h1), bool)
+            for level in held.value:
+                passed |= probe(level, 1, h1, h2)
+            yield batch.filter(pa.array(passed))
+
+    return keys.mapInArrow(keep, keys.schema)
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", limit: int = MAX_FILTER_BYTES) -> DataFrame:
     """``pages`` with host, path, rule and verdict (each replaced if there already).
 
@@ -161,7 +172,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", limit: int
     count once, as block if they differ. Null urls and urls without `://` have an
     empty host and path; no rule fits them. No rules or pages: `allow` or no rows.
     """
-    spark = pages.sparkSession
     rules = (
         rules.select(lower_ascii(F.col("host")).alias("host"), "path", "verdict")
         .groupBy("host", "path")
@@ -173,60 +183,68 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", limit: int
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = url_parts(F.col(url))
     base = pages.withColumns({"__host": host, "__path": path})
+    out = [F.col("__host").alias("host"), F.col("__path").alias("path")]
     if not shapes["labels"]:
-        return base.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+        return base.select(*kept, *out, F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     found = base.withColumn("__keys", candidate_keys(F.col("__host"), F.col("__path"), sorted(shapes["labels"]), sorted(shapes["lengths"])))
+    hashed = [F.transform("__keys", lambda k: key_hashes(k["host"], k["path"])[0]).alias("__h1"), F.transform("__keys", lambda k: key_hashes(k["host"], k["path"])[1]).alias("__h2")]
+    found = found.select("*", *hashed).withColumn("__best", F.lit(0).cast("long"))
+    keys = found.select(F.explode(F.arrays_zip("__h1", "__h2")).alias("k")).select(F.col("k.__h1").alias("h1"), F.col("k.__h2").alias("h2"))
+    universe = keys.agg(F.approx_count_distinct("h1")).first()[0]
     h1, h2 = key_hashes(F.col("host"), F.col("path"))
-    universe = (
-        found.select(F.explode("__keys").alias("k")).select("k.host", "k.path").union(rules.select("host", "path")).distinct()
-    )
-    said = rules.select("host", "path", "verdict")
-    marked = cut(universe.join(said, ["host", "path"], "left").select(h1.alias("h1"), h2.alias("h2"), "verdict"))
-    sizes = {r["verdict"]: r["n"] for r in marked.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    cascades = {}
-    for verdict in ("allow", "block"):
-        others = marked.filter(F.col("verdict").isNull() | (F.col("verdict") != verdict)).select("h1", "h2")
-        n = sizes.get(verdict, 0)
-        cascades[verdict] = build_cascade(marked.filter(F.col("verdict") == verdict).select("h1", "h2"), others, (n, total - n), limit // 2)
-    out = [F.col("__host").alias("host"), F.col("__path").alias("path")]
-    if any(c is None for c in cascades.values()):
-        return _judge_by_join(found, rules, kept, out)
-    keyed = found.withColumn("__h1", F.transform("__keys", lambda k: key_hashes(k["host"], k["path"])[0]))
-    keyed = keyed.withColumn("__h2", F.transform("__keys", lambda k: key_hashes(k["host"], k["path"])[1]))
+    listed = cut(rules.select(h1.alias("h1"), h2.alias("h2"), "verdict"))
+    total = {r["verdict"]: r["n"] for r in listed.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+    rates = {v: min(0.5, max(1e-6, 0.7 * n / max(universe, 1))) for v, n in total.items()}
+    parts = max(1, math.ceil(sum(1.44 * n * (math.log2(1 / rates[v]) + 4) for v, n in total.items()) / 8 / max(limit, 1)))
+
+    def of(part: int, rows: DataFrame) -> DataFrame:
+        return rows.filter(F.pmod(F.shiftright("h1", 32), F.lit(parts)) == part) if parts > 1 else rows
+
+    for part in range(parts):
+        mine = of(part, listed)
+        sizes = {r["verdict"]: r["n"] for r in mine.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+        if not sizes:
+            continue
+        firsts = {v: _level(mine.filter(F.col("verdict") == v), 1, n, rates[v]) for v, n in sizes.items()}
+        passing = _any_passing(of(part, keys), list(firsts.values())).distinct().withColumn("verdict", F.lit(None).cast("string"))
+        marked = cut(passing.union(mine).groupBy("h1", "h2").agg(F.max("verdict").alias("verdict")))
+        cascades = {
+            v: build_cascade(first, mine.filter(F.col("verdict") == v).select("h1", "h2"), marked.filter(F.col("verdict").isNull() | (F.col("verdict") != v)).select("h1", "h2"))
+            for v, first in firsts.items()
+        }
+        found = found.withColumn("__best", _looked_up(found, cascades, part, parts))
+        if parts > 1:
+            found = cut(found)
+    at = "int(shiftright(__best, 2)) - 1"
+    rule = F.when(F.col("__best") > 0, F.expr(f"concat(__keys[{at}].host, __keys[{at}].path)"))
+    verdict = F.when(F.col("__best").bitwiseAND(3) == 1, F.lit("block")).otherwise(F.lit("allow"))
+    return found.select(*kept, *out, rule.alias("rule"), verdict.alias("verdict"))
+
 
-    def choose(h1: pd.Series, h2: pd.Series) -> pd.Series:
+def _looked_up(found: DataFrame, cascades: dict[str, list[Level]], part: int, parts: int) -> Column:
+    """(place + 1) * 4 + 1 for block or 2 for allow of the first key of __h1, __h2 that is listed in one part or, by __best, in those before; else 0."""
+    held = found.sparkSession.sparkContext.broadcast(cascades)
+
+    def choose(h1: pd.Series, h2: pd.Series, known: pd.Series) -> pd.Series:
+        cascades = held.value
         count = np.fromiter((len(x) for x in h1), np.int64, len(h1))
-        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64) for x in (h1, h2))
-        code = np.where(member(cascades["block"], a, b), 1, np.where(member(cascades["allow"], a, b), 2, 0))
+        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (h1, h2))
         row = np.repeat(np.arange(len(count)), count)
         place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        mine = np.flatnonzero((a >> 32) % parts == part)
+        a, b, row, place = (x[mine] for x in (a, b, row, place))
+        a, b = a.view(np.uint64), b.view(np.uint64)
+        code = np.zeros(len(a), np.int64)
+        for verdict, mark in (("allow", 2), ("block", 1)):
+            if verdict in cascades:
+                code[member(cascades[verdict], a, b)] = mark
         best = np.zeros(len(count), np.int64)
         hits = np.flatnonzero(code)[::-1]  # the first key of a row is written last
         best[row[hits]] = (place[hits] + 1) * 4 + code[hits]
-        return pd.Series(best)
+        before = known.to_numpy()
+        return pd.Series(np.where((best == 0) | ((before > 0) & (before < best)), before, best))
 
-    picked = F.pandas_udf(choose, "long")(F.col("__h1"), F.col("__h2"))
-    judged = keyed.withColumn("__best", picked)
-    at = F.shiftright("__best", 2).cast("int")
-    rule = F.when(F.col("__best") > 0, F.expr("concat(__keys[int(shiftright(__best, 2)) - 1].host, __keys[int(shiftright(__best, 2)) - 1].path)"))
-    verdict = F.when(F.col("__best").bitwiseAND(3) == 1, F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select(*kept, *out, rule.alias("rule"), verdict.alias("verdict"))
-
-
-def _judge_by_join(found: DataFrame, rules: DataFrame, kept: list[str], out: list[Column]) -> DataFrame:
-    """Beyond the filter's size: explode the keys and join them, keeping the first that is a rule."""
-    numbered = found.withColumn("__row", F.monotonically_increasing_id())
-    numbered = cut(numbered)
-    keys = numbered.select("__row", F.posexplode("__keys").alias("__at", "k")).select("__row", "__at", "k.host", "k.path")
-    best = (
-        keys.join(rules, ["host", "path"])
-        .groupBy("__row")
-        .agg(F.min_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), "__at").alias("r"))
-    )
-    return numbered.join(best, "__row", "left").select(
-        *kept, *out, F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.lit("allow")).alias("verdict")
-    )
+    return F.pandas_udf(choose, "long")(F.col("__h1"), F.col("__h2"), F.col("__best"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
