@@ -16,16 +16,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import utf8_batches
+from tidewell.llm.common import mix, utf8_batches, word_hashes
 
 #: Bytes of a window; states start at zero in each. All windows of a text are read.
 WINDOW = 64
 #: Windows that advance together.
 LANES = 2048
 HIDDEN = 8
-#: At most so many labelled excerpts are gathered for training, chosen by hash and shared among labels.
-SAMPLE = 4000
-EXCERPT = 192
+#: About so many windows of the labelled texts, twice that at most, are gathered for training: chosen by hash from all
+#: windows of all whole texts and shared among labels.
+SAMPLE = 12_000
 #: The pipeline rejects a document whose language is unknown or less sure than this.
 LEAST_SCORE = 0.4
 
@@ -97,19 +97,13 @@ def window_probabilities(net: Network, windows: np.ndarray) -> np.ndarray:
     return total.T
 
 
-def train(texts: list[bytes], labels: list[str], seed: int = 7, rounds: int = 420, lanes: int = 192) -> Network | None:
-    """Backpropagation through time with Adam over windows of the excerpts; None without a labelled text."""
-    names = sorted(set(labels))
-    windows, target = [], []
-    for text, label in zip(texts, labels, strict=True):
-        for s in range(0, max(len(text), 1), WINDOW):
-            piece = np.frombuffer(text[s : s + WINDOW], np.uint8)
-            if len(piece) >= 12 or s == 0:
-                windows.append(np.pad(piece, (0, WINDOW - len(piece))))
-                target.append(names.index(label))
+def train(windows: list[bytes], labels: list[str], seed: int = 7, rounds: int = 420, lanes: int = 192) -> Network | None:
+    """Backpropagation through time with Adam over windows of at most WINDOW bytes; None without any."""
     if not windows:
         return None
-    data, goal = np.array(windows, np.uint8), np.array(target)
+    names = sorted(set(labels))
+    data = np.array([np.pad(np.frombuffer(w, np.uint8), (0, WINDOW - len(w))) for w in windows])
+    goal = np.array([names.index(x) for x in labels])
     rng = np.random.default_rng(seed)
     k, h = len(names), HIDDEN
     net = Network(
@@ -174,29 +168,43 @@ def _gradients(net: Network, at: np.ndarray, goal: np.ndarray, share: np.ndarray
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """Train on ``rows`` (key, text, label), of which at most ``sample`` excerpts reach the driver.
+    """Train on ``rows`` (key, text, label), of whose windows about ``sample``, twice that at most, reach the driver.
 
-    Labels are counted first; each label's rows are then kept by a hash of key and
-    text up to an equal share of the sample, so neither a hot label nor a rare one
-    crowds the others out. Rows without text or label teach nothing.
+    Windows of all whole texts are counted by label first; each label's are then
+    kept by a hash of text and place up to an equal share of the sample, so
+    neither a hot label nor a rare one nor a long text crowds the others out. Rows
+    without text or label teach nothing. A network has an output for each label,
+    of which there must be few.
     """
-    known = rows.filter("text is not null and label is not null")
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    known = rows.filter("text is not null and text != '' and label is not null").select("label", "text")
+    size = F.ceil(F.octet_length("text") / WINDOW)
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.sum(size).alias("n")).collect()}
     if not counts:
         return None
     each = max(1, sample // len(counts))
-    chance = F.create_map(*[x for label, n in counts.items() for x in (F.lit(label), F.lit(min(1.0, each / n)))])
-    place = F.pmod(F.xxhash64("key", F.lit("at")), F.greatest(F.length("text") - EXCERPT // 2, F.lit(1)))
-    dice = F.pmod(F.xxhash64("key", F.lit("dice")), F.lit(1 << 30))
-    taken = (
-        known.withColumn("dice", dice)
-        .filter(F.col("dice") < chance[F.col("label")] * float(1 << 30))
-        .select("dice", "key", "label", F.substring("text", place.cast("int") + 1, F.lit(EXCERPT)).alias("text"))
-        .orderBy("dice", "key", "text")
-        .limit(2 * sample)
-    )
-    got = taken.collect()
-    return train([r["text"].encode()[:EXCERPT] for r in got], [r["label"] for r in got])
+    chance = {label: min(1.0, each / n) for label, n in counts.items()}
+
+    def windows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            labels = batch.column(0).to_pylist()
+            out: list[tuple] = []
+            for first, data, offsets in utf8_batches(batch.column(1)):
+                hashes = word_hashes(data, offsets[:-1], offsets[1:])
+                for r in range(len(offsets) - 1):
+                    text = data[offsets[r] : offsets[r + 1]]
+                    places = np.arange(-(-len(text) // WINDOW), dtype=np.uint64)
+                    with np.errstate(over="ignore"):
+                        dice = mix(hashes[r] + places * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
+                    for w in np.flatnonzero(dice < chance[labels[first + r]] * 2.0**53):
+                        out.append((int(dice[w]), labels[first + r], text[w * WINDOW : (w + 1) * WINDOW].tobytes()))
+            columns = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.binary()), strict=True)], ["dice", "label", "piece"])
+
+    drawn = known.mapInArrow(windows, "dice long, label string, piece binary")
+    got = drawn.distinct().orderBy("dice", "label", "piece").limit(2 * sample).collect()
+    return train([bytes(r["piece"]) for r in got], [r["label"] for r in got])
 
 
 def document_scores(net: Network, array) -> tuple[np.ndarray, np.ndarray]:
