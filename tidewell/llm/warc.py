@@ -10,12 +10,10 @@ byte; digests are computed again on reading.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import read, shared_dir
+from tidewell.llm.common import read, scratch
 
 #: Equal payloads of at least so many bytes are stored as one response and revisits.
 LEAST_SHARED = 1000
@@ -23,7 +21,10 @@ CRLF = "\r\n"
 
 
 def record_header(kind: Column, number: Column, target: Column, sha1: Column, refers: Column, length: Column) -> Column:
-    """A WARC/1.1 header with its blank line; a revisit carries no block and names its response."""
+    """A WARC/1.1 header with its blank line; a revisit carries no block and names its response.
+
+    A header line can't hold line ends, so those of a target are percent-encoded.
+    """
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
 
@@ -37,7 +38,7 @@ def record_header(kind: Column, number: Column, target: Column, sha1: Column, re
         line("WARC-Type", kind),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), number.cast("string"), F.lit(">"))),
         date,
-        line("WARC-Target-URI", F.regexp_replace(F.coalesce(target, F.lit("")), r"[\r\n]", "%0A")),
+        line("WARC-Target-URI", F.regexp_replace(F.regexp_replace(F.coalesce(target, F.lit("")), "\r", "%0D"), "\n", "%0A")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
         F.when(kind == "revisit", revisit).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -94,26 +95,25 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(record_no, payload_bytes, payload_digest, record_type, refers_to) from the archive itself.
+    """(record_no, payload_bytes, payload_digest, record_type, refers_to) of every record as it is rebuilt.
 
-    Type and reference are parsed from the header text; length and SHA-1 are
-    computed on each stored payload once, checked against every header that names
-    it, and joined by digest, so payloads aren't copied to their revisits.
+    Each record must end with the block that its Content-Length tells of, and its
+    payload must have the SHA-1 that its header names. Type and reference are
+    parsed from the header.
     """
-    headers = spark.read.parquet(f"{path}/headers")
-    bodies = _verified(spark.read.parquet(f"{path}/payloads")).select(
-        "digest", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")
+    rebuilt = read_records(spark, path).withColumn("payload_digest", F.sha1("payload"))
+    header = F.col("header")
+    told = header_field(header, "Content-Length").cast("long") + F.octet_length(header) + 4
+    sound = (header_field(header, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (F.length("record") == told)
+    met = rebuilt.filter(F.when(sound, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("record isn't what its header says: "), header)).cast("boolean")))
+    refers = F.regexp_extract(header_field(header, "WARC-Refers-To"), r"<urn:page:(-?\d+)>", 1).cast("long")
+    return met.select(
+        "record_no", F.length("payload").cast("long").alias("payload_bytes"), "payload_digest", header_field(header, "WARC-Type").alias("record_type"), refers.alias("refers_to")
     )
-    said = header_field(F.col("header"), "WARC-Payload-Digest")
-    met = headers.join(bodies, "digest")
-    sound = said == F.concat(F.lit("sha1:"), F.col("payload_digest"))
-    met = met.filter(F.when(sound, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("header names another payload: "), F.col("header"))).cast("boolean")))
-    refers = F.regexp_extract(header_field(F.col("header"), "WARC-Refers-To"), r"<urn:page:(-?\d+)>", 1).cast("long")
-    return met.select("record_no", "payload_bytes", "payload_digest", header_field(F.col("header"), "WARC-Type").alias("record_type"), refers.alias("refers_to"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write_archive(read(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     return read_index(spark, path).withColumnRenamed("record_no", "page_id")
 
