@@ -39,8 +39,11 @@ class OpenWindows:
         self.made = 0
 
     def place(self, size: int) -> tuple[int, int, int | None]:
-        """(window, offset in it, window emitted to make room or None) for ``size`` ids."""
+        """(window, offset in it, window emitted to make room or None) for ``size`` ids; a full window's worth needs no open one."""
         emitted = None
+        if size == self.capacity:
+            self.made += 1
+            return self.made - 1, 0, None
         at = bisect.bisect_right(self.fills, (self.capacity - size, 1 << 62)) - 1
         if at >= 0:
             fill, window = self.fills.pop(at)
@@ -54,7 +57,7 @@ class OpenWindows:
         return window, fill, emitted
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, most: int = OPEN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, most: int = OPEN, merge: int = MERGE) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``docs`` has doc_id and text; a null text is empty and gives its end id alone.
@@ -97,7 +100,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     pieces = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _PIECES))
     left = pieces.filter("open")
     windows = left.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-    moved = cut(_merge(windows, capacity, most))
+    moved = cut(_merge(windows, capacity, most, merge))
     closed = pieces.filter("not open").drop("open")
     again = left.drop("open").join(moved, "sequence_id").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("into").alias("sequence_id"), (F.col("offset") + F.col("base")).alias("offset")
@@ -105,8 +108,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     return closed.union(again)
 
 
-def _merge(windows: DataFrame, capacity: int, most: int) -> DataFrame:
-    """(sequence_id, into, base): where each leftover window goes, whole. Larger ones are placed first, in tasks of about MERGE windows."""
+def _merge(windows: DataFrame, capacity: int, most: int, merge: int) -> DataFrame:
+    """(sequence_id, into, base): where each leftover window goes, whole. Larger ones are placed first, in tasks of about ``merge`` windows."""
 
     def work(batches):
         import pyarrow as pa
@@ -120,7 +123,7 @@ def _merge(windows: DataFrame, capacity: int, most: int) -> DataFrame:
                 ["sequence_id", "into", "base"],
             )
 
-    tasks = max(1, -(-windows.count() // MERGE))
+    tasks = max(1, -(-windows.count() // merge))
     dealt = windows.repartition(tasks, F.xxhash64("sequence_id")).sortWithinPartitions(F.desc("fill"), "sequence_id")
     return dealt.select("sequence_id", "fill").mapInArrow(work, "sequence_id long, into long, base long")
 
