@@ -4,7 +4,8 @@ Documents are tokenised, cut losslessly into pieces of at most a row's capacity
 and dealt to groups of bounded size. A group is packed largest piece first, each
 into the fullest row that still has room: a segment tree over free capacities
 finds it in logarithmic time. Rows are written as little-endian id matrices with
-the cumulative lengths of their segments and positions that restart in each.
+the cumulative lengths of their segments and positions that restart in each, and
+read back to the documents they hold.
 """
 
 from __future__ import annotations
@@ -14,16 +15,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import read
+from tidewell.llm.common import read, scratch
 from tidewell.llm.tokens import default_path, token_ids
 
 CAPACITY = 2048
 END_ID = 50256
-PAD_ID = 50256
+#: One past the vocabulary, so that no text and no end gives it.
+PAD_ID = 50257
+#: Types of ids and positions by their bytes; two hold ids up to 65,535.
+TYPES = {2: "<u2", 4: "<u4"}
 #: Pieces packed together, about: this many bounds a task's memory to some 16 MB of ids.
 GROUP = 4096
 
-_ROWS = "row_id long, n_segments int, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<bigint>, starts array<bigint>"
+_ROWS = "row_id long, n_segments int, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<bigint>, doc_nos array<bigint>, starts array<bigint>"
 
 
 class FreeTree:
@@ -74,49 +78,57 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return rows
 
 
-def packed_rows(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, pad_id: int = PAD_ID) -> DataFrame:
+def packed_rows(
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, pad_id: int = PAD_ID, width: int = 2, group: int = GROUP
+) -> DataFrame:
     """One row per packed sequence: its ids and positions (binary, ``capacity`` values each), segments and their sources.
 
-    ``input_ids`` and ``position_ids`` are little-endian unsigned 32-bit; room that
-    is left holds ``pad_id`` at position 0. ``cu_seqlens`` runs from 0 over the
-    segments' ends; segment i is ids ``starts[i]`` and on of document
-    ``doc_ids[i]``. A null or empty text gives its end id alone; longer documents
+    ``input_ids`` and ``position_ids`` are little-endian unsigned, of ``width``
+    bytes each, 2 or 4; an id that doesn't fit fails. Room that is left holds
+    ``pad_id`` at position 0. ``cu_seqlens`` runs from 0 over the segments' ends;
+    segment i is ids ``starts[i]`` and on of document ``doc_ids[i]``, which is row
+    ``doc_nos[i]`` of those packed: repeated rows differ in it. A null or empty text gives its end id alone; longer documents
     are cut at multiples of the capacity, so every id stands in exactly one row.
-    A partition packs GROUP pieces at a time. No rows give no rows.
+    A partition packs ``group`` pieces at a time. No rows give no rows.
     """
-    path = tokenizer or default_path()
+    path, kind = tokenizer or default_path(), TYPES[width]
+    if max(end_id, pad_id, capacity - 1) >= 1 << 8 * width:
+        raise ValueError(f"{width} bytes don't hold the end id, the pad id and every position")
 
     def work(batches):
         import pyarrow as pa
 
-        base, made = TaskContext.get().partitionId() << 32, 0
-        held: list[tuple[int, int, np.ndarray]] = []
+        base, made, seen = TaskContext.get().partitionId() << 32, 0, 0
+        held: list[tuple[int, int, int, np.ndarray]] = []
 
         def flush():
             nonlocal made
             out = []
-            for row in best_fit_decreasing(np.array([len(p) for _, _, p in held]), capacity):
+            for row in best_fit_decreasing(np.array([len(x[3]) for x in held]), capacity):
                 pieces = [held[i] for i in row]
-                sizes = [len(p) for _, _, p in pieces]
-                ids, positions = np.full(capacity, pad_id, "<u4"), np.zeros(capacity, "<u4")
-                ends = np.cumsum([0, *sizes])
-                for (_, _, p), s in zip(pieces, ends, strict=False):
+                docs_, nos, starts, parts = zip(*pieces, strict=True)
+                ids, positions = np.full(capacity, pad_id, kind), np.zeros(capacity, kind)
+                ends = np.cumsum([0, *map(len, parts)])
+                for p, s in zip(parts, ends, strict=False):
                     ids[s : s + len(p)] = p
                     positions[s : s + len(p)] = np.arange(len(p))
-                out.append((base + made, len(pieces), int(ends[-1]), ids.tobytes(), positions.tobytes(), ends.tolist(), [d for d, _, _ in pieces], [s for _, s, _ in pieces]))
+                out.append((base + made, len(pieces), int(ends[-1]), ids.tobytes(), positions.tobytes(), ends.tolist(), docs_, nos, starts))
                 made += 1
             held.clear()
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
             names = [x.split()[0] for x in _ROWS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = np.append(token_ids(path, text.as_py()), np.uint32(end_id)).astype("<u4")
+                if ids.max() >= 1 << 8 * width:
+                    raise ValueError(f"{width} bytes don't hold id {ids.max()}")
                 for s in range(0, len(ids), capacity):
-                    held.append((doc, s, ids[s : s + capacity]))
-                    if len(held) >= GROUP:
+                    held.append((doc, base + seen, s, ids[s : s + capacity]))
+                    if len(held) >= group:
                         yield flush()
+                seen += 1
         if held:
             yield flush()
 
@@ -124,21 +136,28 @@ def packed_rows(docs: DataFrame, tokenizer: str | None = None, capacity: int = C
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:
-    """Write packed rows as Parquet of fixed-width binary rows; ``numpy.frombuffer`` of the joined column is the matrix."""
-    packed.write.parquet(path)
+    """Write packed rows as Parquet: the ids of a file's rows joined are a matrix of rows times capacity, and so are the positions."""
+    packed.write.option("compression", "zstd").parquet(path)
 
 
-def read_documents(packed: DataFrame) -> DataFrame:
-    """(doc_id, ids) back from packed rows: segments cut out and joined in order, for checks of losslessness.
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_ROWS).parquet(path)
+
+
+def read_documents(packed: DataFrame, width: int = 2) -> DataFrame:
+    """(doc_id, doc_no, ids) back from packed rows: segments cut out and joined in order, for checks of losslessness.
 
     Binary values are sliced by SQL; a document gathers only its own pieces.
     """
     segments = packed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_segments") - 1)))
-    piece = F.expr("substring(input_ids, 4 * cu_seqlens[i] + 1, 4 * (cu_seqlens[i + 1] - cu_seqlens[i]))")
-    cut_out = segments.select(F.expr("doc_ids[i]").alias("doc_id"), F.expr("starts[i]").alias("start"), F.hex(piece).alias("piece"))
+    piece = F.expr(f"substring(input_ids, {width} * cu_seqlens[i] + 1, {width} * (cu_seqlens[i + 1] - cu_seqlens[i]))")
+    cut_out = segments.select(F.expr("doc_ids[i]").alias("doc_id"), F.expr("doc_nos[i]").alias("doc_no"), F.expr("starts[i]").alias("start"), F.hex(piece).alias("piece"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), "")
-    return cut_out.groupBy("doc_id").agg(F.unhex(joined).alias("ids"))
+    return cut_out.groupBy("doc_id", "doc_no").agg(F.unhex(joined).alias("ids"))
 
 
 def op10_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_rows(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Writes the matrices of all documents and gives the rows as they are read back."""
+    path = scratch(spark, "matrices")
+    write_matrices(packed_rows(read(spark, sf_dir, "documents").select("doc_id", "text")), path)
+    return read_matrices(spark, path)
