@@ -34,35 +34,38 @@ def due_slot(hour: Column) -> Column:
 
 
 def age_label(minutes: Column) -> Column:
+    """just now, so many minutes, so many hours, rounded."""
     return (
         F.when(minutes < 1, "방금")
-        .when(minutes < 60, F.concat(F.floor(minutes).cast("string"), F.lit("분 전")))
-        .when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit("시간 전")))
-        .otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit("일 전")))
+        .when(minutes < 60, F.concat(F.floor(minutes + 0.5).cast("string"), F.lit("분")))
+        .otherwise(F.concat(F.floor(minutes / 60 + 0.5).cast("string"), F.lit("시간")))
     )
 
 
 def sane_time(ts: Column, now: Column) -> Column:
     """A publication time, null if over an hour ahead of now or over five years old."""
-    return F.when((ts <= now + F.expr("interval 1 hour")) & (ts >= now - F.expr("interval 1825 days")), ts)
+    return F.when((ts <= now + F.expr("interval 1 hour")) & (ts >= now - F.expr("interval 1826 days 6 hours")), ts)
 
 
 def list_time(label: Column, now: Column) -> Column:
-    """Times as list pages print them: clock times, month-day, relative ages and short dates, never ahead of now."""
-    def num(pattern: str, group: int = 1) -> Column:
-        return F.try_to_number(F.nullif(F.regexp_extract(label, pattern, group), F.lit("")), F.lit("9999")).cast("int")
-
-    clock = F.try_to_timestamp(F.concat(F.date_format(now, "yyyy-MM-dd "), F.regexp_extract(label, r"^(\d{1,2}:\d{2})", 1)), F.lit("yyyy-MM-dd H:mm"))
-    clock = F.when(clock > now, clock - F.expr("interval 1 day")).otherwise(clock)
-    day = F.try_to_timestamp(F.concat(F.year(now).cast("string"), F.lit("-"), F.regexp_replace(label, "[/.]", "-")), F.lit("yyyy-M-d H:mm"))
-    day = F.when(day > now, day - F.expr("interval 1 year")).otherwise(day)
-    short = F.try_to_timestamp(F.concat(F.lit("20"), F.regexp_extract(label, r"^(\d{2}\.\d{2}\.\d{2})", 1)), F.lit("yyyy.MM.dd"))
-    return (
-        F.when(label.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$"), clock)
-        .when(label.rlike(r"^\d{1,2}[-/.]\d{1,2} \d{1,2}:\d{2}$"), day)
-        .when(label.rlike(r"^\d+시간 전$"), now - F.make_dt_interval(hours=num(r"^(\d+)시간")))
-        .when(label.rlike(r"^\d+분 전$"), now - F.make_dt_interval(mins=num(r"^(\d+)분")))
-        .when(label.rlike(r"^\d+일( 전)?$"), now - F.make_dt_interval(days=num(r"^(\d+)일")))
-        .when(label.rlike(r"^\d{2}\.\d{2}\.\d{2}$"), short)
-        .otherwise(F.try_to_timestamp(label))
+    """Times as list pages print them: clock times, month-day, relative ages and short dates; those ahead of now are of the day or year before. Null if not sane."""
+    told = F.trim(label)
+
+    def num(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(told, pattern, 1), F.lit("")).cast("int")
+
+    today = F.date_format(now, "yyyy-MM-dd ")
+    clock = F.coalesce(F.try_to_timestamp(F.concat(today, told), F.lit("yyyy-MM-dd H:mm:ss")), F.try_to_timestamp(F.concat(today, told), F.lit("yyyy-MM-dd H:mm")))
+    clock = F.when(clock > now + F.expr("interval 1 minute"), clock - F.expr("interval 1 day")).otherwise(clock)
+    day = F.try_to_timestamp(F.concat(F.year(now).cast("string"), F.lit("-"), F.regexp_replace(F.regexp_replace(told, "[/.]", "-"), r"\s+", " ")), F.lit("yyyy-M-d H:mm"))
+    day = F.when(day > now + F.expr("interval 1 minute"), day - F.expr("interval 1 year")).otherwise(day)
+    plain = F.regexp_replace(F.regexp_replace(told, r"^(\d{2})[./](\d{2})[./](\d{2})(?=\s|$)", "20$1-$2-$3"), r"\.", "-")
+    read = (
+        F.when(told.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$"), clock)
+        .when(told.rlike(r"^\d{1,2}[-/.]\d{1,2}\s+\d{1,2}:\d{2}$"), day)
+        .when(told.rlike(r"^\d+\s*시간\s*전$"), now - F.make_dt_interval(hours=num(r"^(\d+)")))
+        .when(told.rlike(r"^\d+\s*분\s*전$"), now - F.make_dt_interval(mins=num(r"^(\d+)")))
+        .when(told.rlike(r"^\d+\s*일$"), now - F.make_dt_interval(days=num(r"^(\d+)")))
+        .otherwise(F.try_to_timestamp(plain))
     )
+    return sane_time(read, now)

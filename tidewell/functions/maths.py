@@ -63,15 +63,30 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def utf16_units(text: Column) -> Column:
+    """The 16-bit units of a string, as array<bigint>; characters beyond the first plane are two."""
+    hexed = F.hex(F.encode(text, "UTF-16BE"))
+    return F.when(F.length(hexed) > 0, F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(4)), lambda i: F.conv(F.substring(hexed, i, F.lit(4)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
+_MASK = 0xFFFFFFFF
+
+
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the code points of a string, as long."""
-    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(
-        points, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
-    )
+    """32-bit FNV-1a over the UTF-16 units of a string, as long."""
+    return F.aggregate(utf16_units(text), F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(_MASK)))
+
+
+def times31(text: Column, seed: int = 0) -> Column:
+    """The 31-multiplier string hash over UTF-16 units, begun from ``seed``, mod 2^32, as long."""
+    return F.aggregate(utf16_units(text), F.lit(seed).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(_MASK)))
+
+
+def signed31(text: Column) -> Column:
+    """The 31-multiplier hash in signed 32-bit arithmetic, without its sign."""
+    h = times31(text)
+    return F.abs(F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h))
 
 
-def times31(text: Column) -> Column:
-    """The 31-multiplier string hash, mod 2^32, as long."""
-    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(points, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+def base36(n: Column) -> Column:
+    return F.lower(F.conv(n.cast("string"), 10, 36))

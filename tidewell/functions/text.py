@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A dozen named entities that feeds carry; numeric ones are decoded by code point.
 # fixed values
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")]
+ENTITIES = {
+    "nbsp": " ", "ensp": " ", "emsp": " ", "thinsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'",
+    "ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’", "hellip": "…", "mdash": "—", "ndash": "–", "middot": "·",
+    "laquo": "«", "raquo": "»", "bull": "•", "deg": "°", "trade": "™", "copy": "©", "reg": "®", "euro": "€",
+    "times": "×", "divide": "÷", "plusmn": "±",
+}
 
 # fixed values
 LEAD_TAG = r"^\s*[\[({【〈<][^\])}】〉>]{0,12}[\])}】〉>]\s*"
+# fixed values
 OUTLET_TAIL = r"\s+[-–—|]\s+[^-–—|]{1,30}$"
+# fixed values
 REVISION_TAIL = r"[(（]\s*(?:종합|속보|단독|\d*보)\s*\d*\s*보?\s*[)）]\s*$"
 
 
@@ -34,17 +40,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^0-9a-zß-ÿ가-힣]+"), lambda w: w != "")
 
 
-def char_features(text: Column) -> Column:
-    """Latin words whole; of Hangul words all bigrams, trigrams from three syllables on, single syllables alone."""
-    def grams(w: Column, n: int) -> Column:
-        return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    def of(w: Column) -> Column:
-        return F.when(w.rlike("^[0-9a-zß-ÿ]+$") | (F.length(w) == 1), F.array(w)).otherwise(F.concat(grams(w, 2), grams(w, 3)))
-
-    return F.flatten(F.transform(words(text), of))
-
-
 def latin_tags(title: Column, stop: list[str], most: int = 8) -> Column:
     """Distinct lower-case latin tokens of 2 to 16 characters outside the stop list, in order, at most eight."""
     tokens = F.regexp_extract_all(F.lower(title), F.lit("[a-z][a-z0-9]{1,15}"), 0)
@@ -52,24 +47,40 @@ def latin_tags(title: Column, stop: list[str], most: int = 8) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    out = text
-    for name, mark in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(mark))
-    return out
+    """Named (in any case), hexadecimal and decimal entities as characters, the ampersand's own last; numbers that name no character give nothing.
+
+    A text is cut at its entities by one pattern and only these pieces are looked
+    up, so texts without any cost one search.
+    """
+    pattern = "(?i)&(?:" + "|".join(ENTITIES) + "|#x[0-9a-f]+|#[0-9]+);"
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def point(e: Column) -> Column:
+        digits = F.regexp_extract(e, "(?i)^&#x?([0-9a-f]+);$", 1)
+        short = F.regexp_replace(digits, "^0+(?=.)", "")
+        n = F.when(e.rlike("(?i)^&#x"), F.conv(short, 16, 10)).otherwise(short)
+        n = F.when(F.length(short) <= 7, n.cast("int"))
+        # UTF-32 gives every code point; surrogates and what lies beyond the last plane name none
+        sound = (n < 0xD800) | ((n > 0xDFFF) & (n <= 0x10FFFF))
+        return F.when(sound, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("")
+
+    def of(e: Column) -> Column:
+        return F.when(F.substring(e, 2, 1) == "#", point(e)).otherwise(named[F.lower(F.regexp_extract(e, "^&(.*);$", 1))])
+
+    kept, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    joined = F.array_join(F.zip_with(kept, F.transform(found, of), lambda k, e: F.concat(k, F.coalesce(e, F.lit("")))), "")
+    return F.regexp_replace(F.when(text.rlike(pattern), joined).otherwise(text), "(?i)&amp;", "&")
 
 
 def strip_html(html: Column) -> Column:
-    """Text of markup: scripts and styles out, entities decoded, tags to blanks, white space collapsed."""
-    bare = F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    bare = F.regexp_replace(decode_entities(bare), "(?s)<[^>]*>", " ")
-    return F.trim(F.regexp_replace(decode_entities(bare), r"[\s ]+", " "))
+    """Text of markup: entities decoded, tags to blanks, entities that these held decoded, white space collapsed."""
+    bare = F.regexp_replace(decode_entities(html), "<[^>]+>", " ")
+    return F.trim(F.regexp_replace(decode_entities(bare), r"[\s\u00a0\u2000-\u200a\u202f\u3000]+", " "))
 
 
-def meta_content(html: Column, name: str) -> Column:
-    """Content of a meta tag by property or name, with either order of attributes; null where absent."""
-    one = F.regexp_extract(html, rf"(?is)<meta[^>]+(?:property|name)=[\"']{name}[\"'][^>]+content=[\"']([^\"']*)[\"']", 1)
-    two = F.regexp_extract(html, rf"(?is)<meta[^>]+content=[\"']([^\"']*)[\"'][^>]+(?:property|name)=[\"']{name}[\"']", 1)
-    return F.coalesce(F.nullif(one, F.lit("")), F.nullif(two, F.lit("")))
+def page_text(html: Column) -> Column:
+    """Text of a page without its scripts and styles."""
+    return strip_html(F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " "))
 
 
 def tag_text(html: Column, tag: str) -> Column:
@@ -81,16 +92,21 @@ def url_host(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
 
 
-#: Query parameters that only track where a visit came from.
-TRACKING = "^(utm_[a-z]+|fbclid|gclid|igshid|ref)="
+#: Names of query parameters that only track where a visit came from.
+# fixed values
+TRACKING = "(?i)^(utm_|fbclid|gclid|igshid|ref$)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Url without fragment and tracking parameters, the others sorted."""
-    base = F.regexp_extract(url, r"^([^?#]*)", 1)
+    """Origin and path with the parameters that don't track, in order of their names, equal names as they came; null where there is no host."""
+    base = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
-    return F.when(F.size(kept) > 0, F.concat(base, F.lit("?"), F.array_join(kept, "&"))).otherwise(base)
+    parts = F.transform(F.split(query, "&"), lambda p, i: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("k"), i.alias("i"), p.alias("p")))
+    kept = F.array_sort(F.filter(parts, lambda s: (s["p"] != "") & ~s["k"].rlike(TRACKING)))
+    named = F.transform(kept, lambda s: F.concat(s["p"], F.when(s["p"].contains("="), "").otherwise("=")))
+    whole = F.concat(F.lower(base), F.when(path == "", "/").otherwise(path), F.when(F.size(named) > 0, F.concat(F.lit("?"), F.array_join(named, "&"))).otherwise(""))
+    return F.when(base != "", whole)
 
 
 #: Host patterns of referrers and their labels, first match wins.
@@ -153,16 +169,169 @@ def has_korean(text: Column) -> Column:
     return text.rlike("[가-힣ㄱ-ㅎㅏ-ㅣ]")
 
 
-def mask_words(text: Column, words_: list[str]) -> Column:
-    """Each listed word replaced by as many stars."""
-    out = text
-    for w in words_:
-        out = F.regexp_replace(out, f"(?i){w}", "*" * len(w))
-    return out
-
-
 def josa(word: Column, closed: str, open_: str) -> Column:
     """The particle a Korean word takes by whether its last syllable ends in a consonant."""
     code = F.ascii(F.right(word, F.lit(1)))
     hangul = (code >= 0xAC00) & (code <= 0xD7A3)
     return F.when(hangul & (F.pmod(code - 0xAC00, F.lit(28)) != 0), closed).otherwise(open_)
+
+
+# --- titles and phrases ---
+
+
+def classifier_title(title: Column) -> Column:
+    """A title for learning: outlet tail, then one lead tag off; lower case; letters, digits and single blanks."""
+    out = F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+-\s+[^-]{1,30}$", ""), LEAD_TAG, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(out), "[^0-9a-z가-힣 ]", " "), " +", " "))
+
+
+def title_features(title: Column) -> Column:
+    """Features of ``classifier_title``'s words: latin words and single syllables whole, of others the bigrams, and of Hangul words the trigrams too."""
+    def grams(w: Column, n: int) -> Column:
+        return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        three = F.when(w.rlike("^[가-힣]+$"), grams(w, 3)).otherwise(F.array().cast("array<string>"))
+        return F.when(w.rlike("^[a-z0-9]+$") | (F.length(w) == 1), F.array(w)).otherwise(F.concat(grams(w, 2), three))
+
+    return F.flatten(F.transform(F.filter(F.split(classifier_title(title), " "), lambda w: w != ""), of))
+
+
+def dictionary_tags(title: Column, words_: list[str], stop: list[str], short: list[str], most: int = 8) -> Column:
+    """Words of a dictionary in a title, longest first and none within another, then its latin tokens; ``most`` in all.
+
+    Of a word its first place counts. Latin tokens are of 2 to 16 characters,
+    those of two only if listed in ``short``, none of ``stop``, none twice.
+    """
+    lowered = F.lower(F.coalesce(title, F.lit("")))
+    ordered = sorted({w for w in words_ if len(w) > 1}, key=lambda w: (-len(w), w))
+    places = F.array(*[F.struct(F.lit(w).alias("w"), F.instr(lowered, w.lower()).alias("s"), F.lit(len(w)).alias("n")) for w in ordered]) if ordered else F.array().cast("array<struct<w:string,s:int,n:int>>")
+    met = F.filter(places, lambda x: x["s"] > 0)
+
+    def claim(held: Column, x: Column) -> Column:
+        clash = F.exists(held, lambda h: (x["s"] < h["s"] + h["n"]) & (x["s"] + x["n"] > h["s"]))
+        return F.when(clash | (F.size(held) >= most), held).otherwise(F.concat(held, F.array(x)))
+
+    claimed = F.transform(F.aggregate(met, F.array().cast("array<struct<w:string,s:int,n:int>>"), claim), lambda x: x["w"])
+    tokens = F.regexp_extract_all(lowered, F.lit("[a-z][a-z0-9]{1,15}"), 0)
+    mine = F.filter(tokens, lambda t: ~t.isin(stop) & ((F.length(t) > 2) | t.isin(short)))
+    mine = F.array_distinct(F.filter(mine, lambda t: ~F.exists(claimed, lambda c: F.lower(c) == t)))
+    return F.slice(F.concat(claimed, mine), 1, most)
+
+
+def contains_any(text: Column, words_: list[str]) -> Column:
+    """Whether a text holds one of some words as they stand; false for null."""
+    quoted = "|".join("\\Q" + w + "\\E" for w in words_)
+    return F.coalesce(text.rlike(quoted), F.lit(False)) if words_ else F.lit(False)
+
+
+def keyword_category(title: Column, lists: dict[str, list[str]], guards: dict[str, list[str]], first: str | None = None, incidents: list[str] | None = None) -> Column:
+    """The category with most words in a title; null where two have as many, none has any or the title tells of an incident.
+
+    The words of ``first`` decide alone, or nothing if its guard is met. Others
+    drop out where theirs is.
+    """
+    lowered = F.lower(title)
+
+    def hits(words_: list[str]) -> Column:
+        return sum((F.when(lowered.contains(w.lower()), 1).otherwise(0) for w in words_), F.lit(0))
+
+    rest = [c for c in lists if c != first]
+    counts = F.array(*[F.struct(F.when(contains_any(title, guards.get(c, [])), 0).otherwise(hits(lists[c])).alias("n"), F.lit(c).alias("c")) for c in rest])
+    top = F.array_max(counts)
+    many = F.size(F.filter(counts, lambda x: x["n"] == top["n"]))
+    chosen = F.when((top["n"] > 0) & (many == 1), top["c"])
+    if first:
+        chosen = F.when(contains_any(lowered, [w.lower() for w in lists[first]]), F.when(~contains_any(title, guards.get(first, [])), first)).otherwise(chosen)
+    return F.when(~contains_any(title, incidents or []), chosen)
+
+
+def mentions(text: Column, term: Column) -> Column:
+    """Whether a text names a term: latin ones as whole words in any case, others of three characters at least as they stand."""
+    latin = term.rlike("^[a-zA-Z0-9.&'-]+$")
+    bound = F.concat(F.lit(r"(?i)(^|[^a-zA-Z0-9])\Q"), term, F.lit(r"\E($|[^a-zA-Z0-9])"))
+    return F.coalesce(F.when(F.length(term) < 2, False).when(latin, F.regexp_like(text, bound)).otherwise((F.length(term) >= 3) & text.contains(term)), F.lit(False))
+
+
+def long_words(text: Column) -> Column:
+    """Lower-case words of three letters or digits at least, in order, repeated ones too."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^가-힣a-z0-9]+"), lambda w: F.length(w) >= 3)
+
+
+def lead_phrase(title: Column, most: int = 20) -> Column:
+    """The first phrase of a title: up to three lead marks off, cut where a subtitle begins, then at a blank if too long; no loose marks at its ends."""
+    out = F.trim(F.coalesce(title, F.lit("")))
+    for _ in range(3):
+        out = F.regexp_replace(out, r"^\s*[\[【(<][^\]】)>]{0,12}[\]】)>]\s*", "")
+    parts = F.filter(F.transform(F.split(out, r"[…·|]|—|\.\.\.|\s-\s"), F.trim), lambda p: p != "")
+    out = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+    out = F.regexp_replace(F.regexp_replace(out, "^[\"“'‘\\s]+", ""), "[\"”'’\\s]+$", "")
+    cut = F.substring(out, 1, most)
+    blank = F.lit(most) - F.instr(F.reverse(cut), " ")
+    short = F.when((F.instr(cut, " ") > 0) & (blank >= 8), F.left(cut, blank)).otherwise(cut)
+    return tidy_phrase(F.when(F.length(out) > most, F.trim(short)).otherwise(out))
+
+
+def tidy_phrase(text: Column) -> Column:
+    """Quotation marks that don't pair and joining marks at the end off."""
+    opens, closes = F.regexp_count(text, F.lit("[“‘]")), F.regexp_count(text, F.lit("[”’]"))
+    out = F.when(opens != closes, F.regexp_replace(text, "[“”‘’]", "")).otherwise(text)
+    out = F.when(F.regexp_count(out, F.lit("[\"']")) % 2 == 1, F.regexp_replace(out, "[\"']", "")).otherwise(out)
+    return F.trim(F.regexp_replace(out, "[\\s,·、:;–—-]+$", ""))
+
+
+def nickname(seed: Column, first: list[str], second: list[str], salt: int = 0) -> Column:
+    """Two words of two lists and a number from 10 to 98, by a hash of the seed."""
+    from tidewell.functions.maths import fnv1a
+
+    h = fnv1a(F.concat(seed.cast("string"), F.lit(f":{salt}")))
+    one = F.element_at(F.array(*map(F.lit, first)), (h % len(first) + 1).cast("int"))
+    two = F.element_at(F.array(*map(F.lit, second)), (F.floor(h / len(first)) % len(second) + 1).cast("int"))
+    return F.concat_ws(" ", one, two, (h % 89 + 10).cast("string"))
+
+
+def excerpt(text: Column, most: int, mark: str = "") -> Column:
+    """The first ``most`` characters, the last ones a mark where something is left out."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - len(mark)), F.lit(mark))).otherwise(text)
+
+
+# --- deals ---
+
+
+def deal_parts(title: Column) -> Column:
+    """struct<mall, name, price> of a title like [mall] name (price): null where not told; the whole title where no name is left."""
+    t = F.trim(title)
+    mall = F.nullif(F.regexp_extract(t, r"^\[([^\]]{1,20})\]", 1), F.lit(""))
+    price = F.nullif(F.trim(F.regexp_extract(t, r"\(([^()]*?[\d,]+\s*원[^()]*)\)\s*$", 1)), F.lit(""))
+    name = F.trim(F.regexp_replace(F.regexp_replace(t, r"^\[[^\]]{1,20}\]\s*", ""), r"\s*\([^()]*[\d,]+\s*원[^()]*\)\s*$", ""))
+    return F.when(t != "", F.struct(mall.alias("mall"), F.when(name == "", t).otherwise(name).alias("name"), price.alias("price")))
+
+
+#: Prices in a title, in won or with a currency sign.
+# fixed values
+PRICES = [r"\([^()]*[\d,]+\s*원[^()]*\)", r"[\d,]{3,}\s*원(\s|$|/|\))", r"[$€£¥]\s?[\d,]+(\.\d+)?"]
+
+
+def is_deal(flag: Column, title: Column) -> Column:
+    """Marked as a deal, or a price in the title."""
+    return F.coalesce(flag, F.lit(False)) | F.coalesce(title.rlike("|".join(PRICES)), F.lit(False))
+
+
+def first_match(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """The name of the first rule (name, pattern) that a lower-cased text meets; null for texts of under two characters."""
+    lowered, out = F.lower(text), None
+    for name, pattern in rules:
+        out = (F.when if out is None else out.when)(lowered.rlike(f"(?i){pattern}"), name)
+    return F.when(F.length(text) >= 2, out) if out is not None else F.lit(None).cast("string")
+
+
+def destination(tags: Column, text: Column, by_tag: dict[str, str], rules: list[tuple[str, str]]) -> Column:
+    """Where an item leads: by the first of its tags that is listed, else by the first rule its text meets."""
+    listed = F.create_map(*[F.lit(x) for pair in by_tag.items() for x in pair]) if by_tag else F.create_map().cast("map<string,string>")
+    own = F.filter(F.transform(tags, lambda t: F.try_element_at(listed, F.lower(t))), lambda d: d.isNotNull())
+    return F.coalesce(F.get(own, F.lit(0)), first_match(text, rules))
+
+
+def number_of(text: Column) -> Column:
+    """The first number in a text without its separators; 0 without any."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(text, r"[,\s]", ""), r"(\d+)", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))

@@ -108,23 +108,27 @@ def variant_scores(ads: DataFrame, weight: float = 30.0) -> DataFrame:
 def call_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Calls, tokens, dollars and unpriced calls by day, day and model, day and purpose, in one pass.
 
-    A model without a price costs null and counts as unpriced.
+    A model without a price costs null and counts as unpriced. Prices are dollars a
+    million tokens in exact decimals, so sums come out alike in any order.
     """
-    priced = calls.join(prices, "model", "left").withColumn("usd", (F.col("in_tok") * F.col("in_price") + F.col("out_tok") * F.col("out_price")) / 1e6)
+    exact = "cast(in_tok as decimal(18, 0)) * cast(in_price as decimal(12, 6)) + cast(out_tok as decimal(18, 0)) * cast(out_price as decimal(12, 6))"
+    priced = calls.join(prices, "model", "left").withColumn("micro", F.expr(f"cast({exact} as decimal(38, 6))"))
     sets = [["day"], ["day", "model"], ["day", "purpose"]]
     return priced.groupingSets([[F.col(c) for c in s] for s in sets], "day", "model", "purpose").agg(
         F.count("*").alias("calls"),
         F.sum("in_tok").alias("in_tok"),
         F.sum("out_tok").alias("out_tok"),
-        F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd"),
-        F.count_if(F.col("usd").isNull()).alias("unpriced"),
+        F.coalesce(F.sum("micro").cast("double") / 1e6, F.lit(0.0)).alias("usd"),
+        F.count_if(F.col("micro").isNull()).alias("unpriced"),
     )
 
 
 def profit(daily: DataFrame, fixed: DataFrame, revenue: DataFrame, rate: float) -> DataFrame:
     """Per month: variable cost (dollars by a rate), its days' share of fixed costs, revenue and net; net is null without revenue."""
-    days = daily.withColumns({"month": F.date_format("day", "yyyy-MM"), "share": 1 / F.day(F.last_day("day"))})
-    months = days.groupBy("month").agg(F.sum("usd").alias("usd"), F.sum("share").alias("share"))
+    from tidewell.functions.dates import days_in_month
+
+    days = daily.withColumns({"month": month_key(F.col("day")), "__all": days_in_month(F.col("day"))})
+    months = days.groupBy("month").agg(F.sum(F.col("usd").cast("decimal(38, 12)")).cast("double").alias("usd"), (F.count("*") / F.max("__all")).alias("share"))
     fixed = fixed.groupBy("month").agg(F.sum("krw").alias("fixed_krw"))
     met = months.join(fixed, "month", "left").join(revenue, "month", "left")
     out = met.select("month", half_up(F.col("usd") * rate).alias("variable"), half_up(F.coalesce("fixed_krw", F.lit(0)) * F.col("share")).alias("fixed"), "revenue", F.col("fixed_krw").isNull().alias("missing"))
@@ -148,7 +152,7 @@ def source_health(registry: DataFrame, items: DataFrame, state: DataFrame, now:
 
 
 def trailing_count(rows: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:
-    """``rows`` with the events of the same key in the window before each, both ends within it left out at its far end."""
+    """``rows`` with the number of events of the same key in the ``seconds`` up to each: its own second counts, the one ``seconds`` before doesn't."""
     w = Window.partitionBy(by).orderBy(F.col(ts).cast("long")).rangeBetween(-(seconds - 1), 0)
     return rows.withColumn("trailing", F.count("*").over(w))
 
@@ -171,3 +175,116 @@ def runs_of_same(rows: DataFrame, by: str, ord_: str, value: str) -> DataFrame:
     """(by, rows, same): rows of each group and those equal to the row before."""
     w = Window.partitionBy(by).orderBy(ord_)
     return rows.withColumn("__same", F.col(value) == F.lag(value).over(w)).groupBy(by).agg(F.count("*").alias("rows"), F.count_if("__same").alias("same"))
+
+
+# --- mergeable day buckets ---
+
+TOTALS = ["pv", "sessions", "dwell_ms", "dwell_n", "depth", "depth_n", "clicks", "ad_imp", "ad_click"]
+
+
+def day_buckets(events: DataFrame, dims: dict[str, Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is kept of a day: its totals (day, ...), its keys (day, dim, key, n) and its visitors (day, user_id, new).
+
+    Totals and keys add up and visitors unite, so weeks and months come from the
+    buckets of their days without an event being read again.
+    """
+    totals = metrics(events, "day").select("day", *TOTALS)
+    pairs = F.array(*[F.struct(F.lit(n).alias("dim"), c.cast("string").alias("key")) for n, c in dims.items()])
+    keys = events.select("day", F.explode(pairs).alias("p")).select("day", "p.*").filter("key is not null and key != ''").groupBy("day", "dim", "key").agg(F.count("*").alias("n"))
+    seen = events.select("day", "user_id").distinct()
+    first = seen.groupBy("user_id").agg(F.min("day").alias("first"))
+    visitors = seen.join(first, "user_id").select("day", "user_id", (F.col("day") == F.col("first")).alias("new"))
+    return totals, keys, visitors
+
+
+def merged_totals(totals: DataFrame, visitors: DataFrame, grain: str) -> DataFrame:
+    """Totals of days, weeks or months from day buckets: sums, and visitors each counted once."""
+    own = totals.withColumn("period", period(F.col("day"), grain)).groupBy("period").agg(*[F.sum(c).cast("long").alias(c) for c in TOTALS])
+    people = visitors.withColumn("period", period(F.col("day"), grain)).groupBy("period", "user_id").agg(F.max("new").alias("new"))
+    counts = people.groupBy("period").agg(F.count("*").alias("visitors"), F.count_if("new").alias("new"))
+    return own.join(counts, "period").withColumn("returning", F.col("visitors") - F.col("new"))
+
+
+def merged_keys(keys: DataFrame, grain: str) -> DataFrame:
+    return keys.withColumn("period", period(F.col("day"), grain)).groupBy("period", "dim", "key").agg(F.sum("n").cast("long").alias("n"))
+
+
+def last_periods(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of the n latest periods; periods are few."""
+    return rows.join(F.broadcast(rows.select("period").distinct().orderBy(F.desc("period")).limit(n)), "period", "left_semi")
+
+
+def ad_rows(ads: DataFrame, by: str, n: int = 20) -> DataFrame:
+    """The n keys with most clicks, then impressions, with a click rate that is null without impressions."""
+    rows = ads.groupBy(by).agg(F.count_if(F.col("type") == "ad_impression").alias("imp"), F.count_if(F.col("type") == "ad_click").alias("click"))
+    return rows.withColumn("ctr", safe_ratio(F.col("click"), F.col("imp"))).orderBy(F.desc("click"), F.desc("imp"), by).limit(n)
+
+
+def ad_totals(ads: DataFrame) -> DataFrame:
+    """One row: impressions, clicks and their rate to four digits, 0 without impressions."""
+    sums = ads.agg(F.count_if(F.col("type") == "ad_impression").alias("imp"), F.count_if(F.col("type") == "ad_click").alias("click"))
+    return sums.withColumn("ctr", F.coalesce(half_up(safe_ratio(F.col("click"), F.col("imp")), 4), F.lit(0.0)))
+
+
+def ad_spacing(stats: DataFrame, every: int = 12, baseline: float = 0.02, least: int = 5, sensitivity: float = 0.35) -> DataFrame:
+    """``stats`` (imp, click) with the reader's click rate against a baseline (null below ``least`` impressions) and how many rows lie between advertisements."""
+    ratio = F.when(F.col("imp") >= least, F.col("click") / F.col("imp") / baseline)
+    held = F.greatest(F.lit(0.2), F.least(F.lit(3.0), ratio))
+    factor = F.greatest(F.lit(0.5), F.least(F.lit(1.15), 1 / (1 + sensitivity * (held - 1))))
+    rows = F.greatest(F.lit(4.0), F.least(F.lit(24.0), half_up(every * factor)))
+    return stats.withColumns({"ratio": ratio, "every": F.when(ratio.isNull(), float(every)).otherwise(rows)})
+
+
+def banner_order(readers: DataFrame, banners: DataFrame, weights: DataFrame, seen: DataFrame, n: int = 14, base: float = 0.35) -> DataFrame:
+    """(user_id, id, relevance, place) of a short list of banners (id, category, ord): unseen first, by the reader's weight for the category, equal ones in a turn that the reader's seed begins.
+
+    ``readers`` has user_id and seed, ``weights`` user_id, category and weight, ``seen`` user_id and id.
+    """
+    met = readers.crossJoin(F.broadcast(banners)).join(weights, ["user_id", "category"], "left").join(seen.select("user_id", "id", F.lit(1).alias("__seen")), ["user_id", "id"], "left")
+    relevance = F.when(F.col("weight").isNull(), base).otherwise(F.greatest(F.lit(base), F.least(F.lit(1.0), F.col("weight") / 6)))
+    total = F.count("*").over(Window.partitionBy("user_id"))
+    rows = met.withColumns({"relevance": relevance, "__t": total})
+    w = Window.partitionBy("user_id").orderBy(F.coalesce("__seen", F.lit(0)), F.desc("relevance"), (F.col("ord") + F.col("seed")) % F.col("__t"))
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("user_id", "id", "relevance", "place")
+
+
+def participation(counts: DataFrame) -> DataFrame:
+    """``counts`` (posts, comments, likes) with the score they give, its level and what the next one lacks."""
+    score = F.col("posts") * 5 + F.col("comments") * 2 + F.col("likes")
+    # fixed values
+    floors = [0, 10, 40, 120]
+    level = sum((F.when(score >= f, 1).otherwise(0) for f in floors[1:]), F.lit(0))
+    missing = F.when(level == len(floors) - 1, 0)
+    for at, floor in enumerate(floors[1:]):
+        missing = missing.when(level == at, floor - score)
+    return counts.withColumns({"score": score, "level": level, "to_next": missing})
+
+
+def feed_quality(shown: DataFrame) -> DataFrame:
+    """Per persona of shown rows (persona, session, page, ord, source, title, clicked, wanted, age): how a simulated run felt."""
+    key = F.substring(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^0-9a-z가-힣]", ""), 1, 18)
+    by = Window.partitionBy("persona").orderBy("session", "page", "ord")
+    rows = shown.withColumns({"__k": key, "__run": F.coalesce(F.col("source") == F.lag("source").over(by), F.lit(False))})
+    whole = rows.groupBy("persona").agg(
+        F.count("*").alias("shown"),
+        (F.count_if("clicked") / F.count("*")).alias("click_rate"),
+        (F.count_if("wanted") / F.count("*")).alias("wanted_rate"),
+        F.countDistinct("source").alias("sources"),
+        F.count_if("__run").alias("same_source"),
+        (F.count_if(F.col("__k") != "") - F.countDistinct(F.when(F.col("__k") != "", F.col("__k")))).alias("repeated"),
+        F.count_if((F.col("session") == 0) & (F.col("page") == 0) & F.col("wanted")).alias("first_wanted"),
+        (F.count_if(F.col("age").isNull()) / F.count("*")).alias("undated"),
+    )
+    top = rows.groupBy("persona", "source").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("persona").orderBy(F.desc("n"), "source"))
+    top = top.withColumn("r", place).filter("r <= 3").groupBy("persona").agg(F.sum("n").alias("top3"))
+    dull = rows.groupBy("persona", "session").agg(F.max(F.col("clicked").cast("int")).alias("c")).groupBy("persona").agg(F.count_if(F.col("c") == 0).alias("empty_sessions"))
+    dated = rows.filter("age is not null")
+    ages = dated.withColumns({"r": F.row_number().over(Window.partitionBy("persona").orderBy("age")) - 1, "n": F.count("*").over(Window.partitionBy("persona"))})
+    middle = ages.filter("r = floor(n / 2)").select("persona", half_up(F.col("age"), 1).alias("median_age"))
+    met = whole.join(top, "persona").join(dull, "persona").join(middle, "persona", "left")
+    return met.withColumn("top3_share", F.col("top3") / F.col("shown")).drop("top3")
+
+
+def health_summary(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("status").agg(F.count("*").alias("n"))

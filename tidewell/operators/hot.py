@@ -99,7 +99,7 @@ def hot_gate(items: DataFrame, now: Column, share: float = 0.6) -> DataFrame:
     by = Window.partitionBy("source").orderBy(F.desc("raw"), "ord")
     rows = rows.join(facts, "source").withColumn("rank", F.row_number().over(by) - 1).withColumn("fresh", fresh)
     percentile = F.when(F.col("top") > 0, half_up((F.col("n") - F.col("rank")) / F.col("n"), 3))
-    score = F.when(F.col("top") > 0, half_up(0.7 * percentile + 0.6 * F.col("fresh"), 3)).otherwise(half_up(F.col("fresh") * 0.5, 3))
+    score = F.when(F.col("top") > 0, half_up(0.7 * percentile + 0.6 * F.col("fresh"), 3)).otherwise(F.col("fresh") * 0.5)
     keep = (F.col("top") <= 0) | (F.col("rank") < F.greatest(F.lit(1), F.ceil(F.col("n") * share)))
     return rows.withColumns({"percentile": percentile, "hot_score": score}).filter(keep)
 

@@ -105,3 +105,67 @@ def editorial_flags(items: DataFrame) -> DataFrame:
     means = rows.groupBy("source").agg(F.avg("eng").alias("mean"), F.count("*").alias("n"))
     flag = F.when((F.col("n") >= 2) & (F.col("eng") >= 3 * F.col("mean")), "outlier").when((F.col("comment_count") >= 30) & (F.col("comment_count") >= 3 * F.col("score")), "debate")
     return rows.join(means, "source").withColumn("flag", flag.otherwise("plain"))
+
+
+def keyword_rows(items: DataFrame, tag: str, least: int = 3) -> DataFrame:
+    """Items with a tag; where none has it, those whose title holds it in any case, if it has ``least`` characters."""
+    own = items.filter(F.array_contains("tags", tag))
+    if not own.isEmpty() or len(tag.strip()) < least:
+        return own
+    return items.filter(F.lower("title").contains(tag.strip().lower()))
+
+
+def page_parts(items: DataFrame, n: int, *histograms: str) -> DataFrame:
+    """(what, key, n) of a page: its n best items by reactions, its histograms without nulls, and how many items there are."""
+    best = best_of(items, n).select(F.lit("item").alias("what"), F.col("id").cast("string").alias("key"), F.col("reactions").cast("long").alias("n"))
+    for h in histograms:
+        best = best.union(items.filter(F.col(h).isNotNull()).groupBy(h).agg(F.count("*").alias("n")).select(F.lit(h), h, "n"))
+    return best.union(items.agg(F.count("*").alias("n")).select(F.lit("total"), F.lit(""), "n"))
+
+
+def rank_band(place: Column) -> Column:
+    return F.when(place <= 5, "1-5").when(place <= 10, "6-10").when(place <= 20, "11-20")
+
+
+def period_top(rows: DataFrame, editions: int, per_source: int, n: int) -> DataFrame:
+    """(story, source, hot, place, band) of the latest ``editions`` days: each story's best showing, ``per_source`` of a source, the n hottest."""
+    from tidewell.operators.hot import capped_top
+
+    days = rows.select("day").distinct().orderBy(F.desc("day")).limit(editions)
+    best = rows.join(F.broadcast(days), "day", "left_semi").groupBy("story").agg(F.max(F.struct("hot", (-F.col("ord")).alias("o"), "source")).alias("s"))
+    order = (F.desc("hot"), F.asc("story"))
+    top = capped_top(best.select("story", "s.source", "s.hot"), per_source, n, order=order)
+    place = F.row_number().over(Window.orderBy(*order)).cast("long")
+    return top.withColumn("place", place).withColumn("band", rank_band(F.col("place")))
+
+
+def briefing_weight(traffic: Column, strength: Column, weighty: Column) -> Column:
+    """Reactions, 50 a source of coverage, up to 250 for what is searched for, and 105 for weighty categories."""
+    return F.col("score") + 2 * F.col("comment_count") + 50 * F.col("coverage") + 250 * F.least(F.lit(1.0), traffic / 1000) * strength + F.when(weighty, 105).otherwise(0)
+
+
+def editorial_notes(items: DataFrame, now: Column, multiple: float = 3.0) -> DataFrame:
+    """``items`` (with source_rank and translated) with the first note that holds.
+
+    surge: within a day, 300 likes or comments. outlier: so many times the source's
+    mean likes. first: top of its source with any reaction. debate: 30 comments and
+    three for each like. fresh: within half an hour with any reaction. translated,
+    coverage by three, top three within half an hour; else none.
+    """
+    from tidewell.operators.hot import hours_between
+
+    means = items.groupBy("source").agg(F.avg("score").alias("__mean"), F.count("*").alias("__n"))
+    rows = items.join(means, "source")
+    minutes = F.greatest(F.lit(0.0), hours_between(now, F.col("published_at")) * 60)
+    s, c, any_ = F.col("score"), F.col("comment_count"), (F.col("score") > 0) | (F.col("comment_count") > 0)
+    note = (
+        F.when((minutes <= 1440) & ((s >= 300) | (c >= 300)), "surge")
+        .when((F.col("__mean") > 0) & (F.col("__n") >= 2) & (s > 0) & (s >= multiple * F.col("__mean")), "outlier")
+        .when((F.col("source_rank") == 0) & any_, "first")
+        .when((c >= 30) & (c >= 3 * s), "debate")
+        .when((minutes <= 30) & any_, "fresh")
+        .when(F.col("translated") & (F.coalesce("summary", F.lit("")) != ""), "translated")
+        .when(F.col("coverage") >= 3, "coverage")
+        .when((F.col("source_rank") <= 2) & (minutes <= 30), "top")
+    )
+    return rows.withColumn("note", F.coalesce(note, F.lit("none"))).drop("__mean", "__n")

@@ -157,19 +157,19 @@ def _prices(spark: SparkSession) -> DataFrame:
 
 @query(
     f"""WITH c AS ({_CALLS}), p AS ({_PRICES}),
-u AS (SELECT strftime(day, '%Y-%m') AS day, model, purpose, in_tok, out_tok, (in_tok * CAST(in_price AS DOUBLE) + out_tok * CAST(out_price AS DOUBLE)) / 1e6 AS usd FROM c LEFT JOIN p USING (model))
-SELECT day, model, purpose, count(*) AS calls, CAST(sum(in_tok) AS BIGINT) AS in_tok, CAST(sum(out_tok) AS BIGINT) AS out_tok, round(coalesce(sum(usd), 0), 4) AS usd, count(*) FILTER (usd IS NULL) AS unpriced
+u AS (SELECT strftime(day, '%Y-%m') AS day, model, purpose, in_tok, out_tok, CAST(in_tok AS DECIMAL(18, 0)) * CAST(in_price AS DECIMAL(8, 2)) + CAST(out_tok AS DECIMAL(18, 0)) * CAST(out_price AS DECIMAL(8, 2)) AS micro FROM c LEFT JOIN p USING (model))
+SELECT day, model, purpose, count(*) AS calls, CAST(sum(in_tok) AS BIGINT) AS in_tok, CAST(sum(out_tok) AS BIGINT) AS out_tok, coalesce(CAST(sum(micro) AS DOUBLE) / 1e6, 0) AS usd, count(*) FILTER (micro IS NULL) AS unpriced
 FROM u GROUP BY GROUPING SETS ((day), (day, model), (day, purpose))"""
 )
 def llm_cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _calls(spark, sf_dir).withColumn("day", F.date_format("day", "yyyy-MM"))
-    return A.call_costs(calls, _prices(spark)).withColumn("usd", F.round("usd", 4))
+    return A.call_costs(calls, _prices(spark))
 
 
 @query(
     f"""WITH c AS ({_CALLS}), p AS ({_PRICES}),
-d AS (SELECT day, coalesce(sum((in_tok * CAST(in_price AS DOUBLE) + out_tok * CAST(out_price AS DOUBLE)) / 1e6), 0) AS usd FROM c LEFT JOIN p USING (model) GROUP BY day),
-m AS (SELECT strftime(day, '%Y-%m') AS month, sum(usd) AS usd, sum(1.0::DOUBLE / day(last_day(day))) AS share FROM d GROUP BY 1),
+d AS (SELECT day, coalesce(sum(CAST(in_tok AS DECIMAL(18, 0)) * CAST(in_price AS DECIMAL(8, 2)) + CAST(out_tok AS DECIMAL(18, 0)) * CAST(out_price AS DECIMAL(8, 2))), 0) AS micro FROM c LEFT JOIN p USING (model) GROUP BY day),
+m AS (SELECT strftime(day, '%Y-%m') AS month, CAST(sum(micro) AS DOUBLE) / 1e6 AS usd, CAST(count(*) AS DOUBLE) / any_value(day(last_day(day))) AS share FROM d GROUP BY 1),
 f AS (SELECT month, CASE WHEN right(month, 2) <> '02' THEN 90000.0 END AS fixed_krw, CASE WHEN right(month, 2) IN ('01', '06') THEN 200000.0 END AS revenue, usd, share FROM m)
 SELECT month, floor(usd * 1400 + 0.5) AS variable, floor(coalesce(fixed_krw, 0) * share + 0.5) AS fixed, CAST(revenue AS DOUBLE) AS revenue, fixed_krw IS NULL AS missing,
   CAST(revenue - floor(usd * 1400 + 0.5) - floor(coalesce(fixed_krw, 0) * share + 0.5) AS DOUBLE) AS net FROM f"""
@@ -255,14 +255,13 @@ def campaign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.campaign_key(F.when(query_ != "", params).otherwise(F.create_map().cast("map<string,string>"))).alias("campaign"))
 
 
-@query(
-    """SELECT CAST(day AS VARCHAR) AS day, approx_n > 0 AS some FROM (SELECT CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, approx_count_distinct(user_id) AS approx_n FROM events GROUP BY 1)"""
-)
+@query("SELECT CAST(CAST(ts + INTERVAL 9 HOUR AS DATE) AS VARCHAR) AS day, count(DISTINCT user_id) AS visitors, true AS near FROM events GROUP BY 1")
 def uniques_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mergeable day sketches of visitors; the check holds that each day has one."""
+    """Exact visitors of each day, and whether its mergeable sketch is within 5 % of them, three of its standard errors."""
     rows = table(spark, sf_dir, "events").select(kst_day(F.col("ts").cast("timestamp")).alias("day"), "user_id")
-    sketches = rows.groupBy("day").agg(F.hll_sketch_agg("user_id").alias("s"))
-    return sketches.select(F.col("day").cast("string").alias("day"), (F.hll_sketch_estimate("s") > 0).alias("some"))
+    both = rows.groupBy("day").agg(F.countDistinct("user_id").alias("visitors")).join(rows.groupBy("day").agg(F.hll_sketch_agg("user_id").alias("s")), "day")
+    off = F.abs(F.hll_sketch_estimate("s") - F.col("visitors"))
+    return both.select(F.col("day").cast("string").alias("day"), "visitors", (off <= F.greatest(F.lit(1.0), 0.05 * F.col("visitors"))).alias("near"))
 
 
 @query()

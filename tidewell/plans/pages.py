@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as T
 from tidewell.operators import publish as P
 from tidewell.plans.base import Catalogue
-from tidewell.sources.adapters import items, table
+from tidewell.sources.adapters import STOP, items, table
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
-#: Words that name no subject in the test texts.
-STOP = ["the", "of", "and", "that", "with", "for", "this", "was", "que", "des", "les", "der", "die", "und", "den", "los", "las"]
 _STOP = ", ".join(f"'{w}'" for w in STOP)
 _TAGS = f"list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z][a-z0-9]{{1,15}}'), lambda t: length(t) > 2 AND t NOT IN ({_STOP})))"
 
@@ -143,12 +141,12 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS h FROM pages),
-d AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(h,'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&apos;',''''),'&nbsp;',' '),'&middot;','·'),'&hellip;','…'),'&ndash;','–'),'&mdash;','—'),'&amp;','&'), '(?s)<[^>]*>', ' ', 'g') AS h FROM b),
-e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(h,'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&apos;',''''),'&nbsp;',' '),'&middot;','·'),'&hellip;','…'),'&ndash;','–'),'&mdash;','—'),'&amp;','&') AS h FROM d)
+d AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(h,'&copy;','©'),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&apos;',''''),'&nbsp;',' '),'&middot;','·'),'&hellip;','…'),'&ndash;','–'),'&mdash;','—'),'&amp;','&'), '<[^>]+>', ' ', 'g') AS h FROM b),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(h,'&copy;','©'),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&apos;',''''),'&nbsp;',' '),'&middot;','·'),'&hellip;','…'),'&ndash;','–'),'&mdash;','—'),'&amp;','&') AS h FROM d)
 SELECT page_id, trim(regexp_replace(h, '[\s ]+', ' ', 'g'), ' ') AS text FROM e"""
 )
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", T.page_text(F.col("html")).alias("text"))
 
 
 @query(

@@ -95,12 +95,12 @@ f AS (SELECT *, count(*) OVER (PARTITION BY source) AS n, max(raw) OVER (PARTITI
              row_number() OVER (PARTITION BY source ORDER BY raw DESC, ord) - 1 AS rank, exp(-age / 48) AS fresh FROM r),
 p AS (SELECT *, CASE WHEN top > 0 THEN floor((n - rank) / n * 1000 + 0.5) / 1000 END AS percentile FROM f)
 SELECT id, source, percentile,
-       CASE WHEN top > 0 THEN floor((0.7 * percentile + 0.6 * fresh) * 1000 + 0.5) / 1000 ELSE floor(fresh * 0.5 * 1000 + 0.5) / 1000 END AS hot_score
+       CASE WHEN top > 0 THEN floor((0.7 * percentile + 0.6 * fresh) * 1000 + 0.5) / 1000 ELSE round(fresh * 0.5, 6) END AS hot_score
 FROM p WHERE top <= 0 OR rank < greatest(1, ceil(n * 0.6))""",
     "items",
 )
 def hot_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hot.hot_gate(items(spark, sf_dir), now()).select("id", "source", "percentile", "hot_score")
+    return hot.hot_gate(items(spark, sf_dir), now()).select("id", "source", "percentile", F.round("hot_score", 6).alias("hot_score"))
 
 
 @query(
@@ -158,12 +158,15 @@ def per_source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("r <= 100").filter("r <= if(kind = 'news', 20, 100)").select("id", "source")
 
 
-@query(
-    """
-WITH p AS (SELECT page_id AS id, regexp_extract(url, '^([^?#]*)', 1) AS base, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS query FROM pages),
-k AS (SELECT id, base, list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|igshid|ref)='))) AS kept FROM p)
-SELECT id, base || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM k"""
-)
+_CANON = r"""p AS (SELECT page_id AS id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)) AS base,
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS path, string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&') AS parts FROM pages),
+k AS (SELECT id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p),
+j AS (SELECT id, string_agg(part || CASE WHEN contains(part, '=') THEN '' ELSE '=' END, '&' ORDER BY split_part(part, '=', 1), i) AS query
+  FROM k WHERE part <> '' AND NOT regexp_matches(split_part(part, '=', 1), '(?i)^(utm_|fbclid|gclid|igshid|ref$)') GROUP BY id),
+canon AS (SELECT p.id, CASE WHEN base <> '' THEN base || CASE WHEN path = '' THEN '/' ELSE path END || coalesce('?' || query, '') END AS canonical FROM p LEFT JOIN j USING (id))"""
+
+
+@query(f"WITH {_CANON} SELECT id, canonical FROM canon")
 def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.functions.text import canonical_url
 
@@ -171,18 +174,11 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """
-WITH u AS (SELECT page_id, 'u' || (page_id % 40) AS url, page_id * 37 % 101 AS value FROM pages)
-SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY value DESC, page_id) AS r FROM u) WHERE r = 1"""
+    f"""WITH {_CANON}, r AS (SELECT id, canonical, row_number() OVER (PARTITION BY canonical ORDER BY id * 37 % 101 DESC, id) AS r FROM canon)
+SELECT id AS page_id, canonical AS url FROM r WHERE canonical IS NULL OR r = 1"""
 )
-def url_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").selectExpr("page_id", "page_id AS ord", "concat('u', page_id % 40) AS url", "page_id * 37 % 101 AS value")
-    return hot.url_winners(rows, F.col("url"), F.col("value")).select("page_id", "url")
-
-
-@query()
 def url_canonical_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page per canonical url of all pages, that of the greatest value, as url_dedupe has it; pages without url all stay."""
+    """One page per canonical url of all pages, that of the greatest value; pages without url all stay."""
     from tidewell.functions.text import canonical_url
 
     rows = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("ord"), "url", F.expr("page_id * 37 % 101 AS value"))
@@ -195,7 +191,7 @@ def url_canonical_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT i.id, i.source FROM items i LEFT JOIN registry r ON i.source = r.source
 WHERE NOT r.adult AND r.enabled AND i.category <> 'c6'
   AND NOT (epoch(TIMESTAMP '2024-01-31 00:00:00' - i.published_at) / 3600.0 >
-           CASE WHEN r.max_age_h IS NOT NULL AND r.max_age_h < CASE WHEN i.kind = 'news' THEN 24 ELSE 48 END THEN r.max_age_h
+           CASE WHEN r.max_age_h IS NOT NULL AND (r.max_age_h <= CASE WHEN i.kind = 'news' THEN 24 ELSE 48 END OR i.score + i.comment_count + i.coverage > 0) THEN r.max_age_h
                 WHEN i.kind = 'news' THEN 24 ELSE 48 END)""",
     "items",
     "registry",

@@ -24,6 +24,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "substring(split_part(text, '\n', 1), 1, 300) AS title",
         "substring(text, 1, 200) AS summary",
         "length(text) AS length",
+        r"coalesce(regexp_count(text, '[^ \t\n\r]+'), 0) AS words",
         f"concat('c', doc_id % {CATEGORIES}) AS category",
         "if(doc_id % 3 = 0, 'news', 'community') AS kind",
         f"if({signal}, doc_id * 37 % 101, 0) AS score",
@@ -56,15 +57,26 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Words that name no subject in the test texts.
+STOP = ["the", "of", "and", "that", "with", "for", "this", "was", "que", "des", "les", "der", "die", "und", "den", "los", "las"]
+
+
+def tagged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``items`` with all tags of the title."""
+    from tidewell.functions.text import latin_tags
+
+    return items(spark, sf_dir).withColumn("tags", latin_tags(F.col("title"), STOP, 1 << 20))
+
+
 def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, ns, key, weight): summed signals by category and source of the items, a tenth each."""
-    rated = signals(spark, sf_dir).join(items(spark, sf_dir).select(F.col("id").alias("item_id"), "category", "source"), "item_id")
-    pairs = F.array(F.struct(F.lit("category").alias("ns"), F.col("category").alias("key")), F.struct(F.lit("source").alias("ns"), F.col("source").alias("key")))
-    return (
-        rated.select("user_id", "signal", F.explode(pairs).alias("p"))
-        .groupBy("user_id", "p.ns", "p.key")
-        .agg((F.sum("signal") / 10.0).alias("weight"))
-    )
+    """(user_id, ns, key, weight): a tenth of the summed signals by category, source and tag of the items, and by their length as a style."""
+    from tidewell.operators.taste import features, style
+
+    known = tagged_items(spark, sf_dir)
+    rated = signals(spark, sf_dir).select("user_id", F.col("item_id").alias("id"), "signal")
+    parts = rated.join(features(known), "id").groupBy("user_id", "ns", "key").agg((F.sum("signal") / 10.0).alias("weight"))
+    longform = rated.join(known.select("id", style(F.col("words")).alias("s")), "id").groupBy("user_id").agg((F.sum(F.col("signal") * F.col("s")) / 10.0).alias("w"))
+    return parts.unionByName(longform.select("user_id", F.lit("style").alias("ns"), F.lit("longform").alias("key"), F.least(F.lit(2.0), F.greatest(F.lit(-2.0), "w")).alias("weight")))
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +91,11 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
             "int(substring(source, 4)) AS no",
             "int(substring(source, 4)) % 7 != 3 AS enabled",
             "int(substring(source, 4)) % 11 = 5 AS adult",
-            "if(int(substring(source, 4)) % 4 = 0, 12, null) AS max_age_h",
+            "CASE int(substring(source, 4)) % 4 WHEN 0 THEN 12 WHEN 1 THEN 60 END AS max_age_h",
             "int(substring(source, 4)) % 3 - 1 AS lean",
             "if(int(substring(source, 4)) % 5 = 0, 'group5', null) AS feed_group",
+            "int(substring(source, 4)) % 13 = 4 AS off_main",
+            "element_at(array('kr', 'us', 'jp'), int(substring(source, 4)) % 3 + 1) AS country",
         )
     )
 
@@ -90,7 +104,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIEWS = {
     "items": """
       SELECT doc_id AS id, source, lang, substring(split_part(text, chr(10), 1), 1, 300) AS title,
-             substring(text, 1, 200) AS summary, length(text) AS length, 'c' || (doc_id % 7) AS category,
+             substring(text, 1, 200) AS summary, length(text) AS length, coalesce(len(regexp_extract_all(text, '[^ \t\n\r]+')), 0) AS words, 'c' || (doc_id % 7) AS category,
              CASE WHEN doc_id % 3 = 0 THEN 'news' ELSE 'community' END AS kind,
              CASE WHEN source NOT IN ('src0', 'src1') THEN doc_id * 37 % 101 ELSE 0 END AS score,
              CASE WHEN source NOT IN ('src0', 'src1') THEN doc_id * 53 % 67 ELSE 0 END AS comment_count,
@@ -107,26 +121,38 @@ VIEWS = {
       FROM events""",
     "signals": """
       SELECT user_id, event_id % 200 AS item_id, CASE WHEN value >= 50 THEN 1 ELSE -1 END AS signal, ts, event_id FROM events""",
+    "tagged": f"""
+      SELECT *, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z][a-z0-9]{{1,15}}'), lambda t: length(t) > 2 AND t NOT IN ({", ".join(f"'{w}'" for w in STOP)}))) AS tags
+      FROM items""",
+    "feats": """
+      SELECT id, 'category' AS ns, category AS key, CAST(1 AS DOUBLE) AS coef FROM tagged
+      UNION ALL SELECT id, 'source', source, CAST(0.6 AS DOUBLE) FROM tagged WHERE source IS NOT NULL
+      UNION ALL SELECT id, 'tag', unnest(tags), CAST(1.3 AS DOUBLE) / len(tags) FROM tagged""",
     "prefs": """
-      SELECT user_id, ns, key, sum(signal) / 10.0 AS weight FROM (
-        SELECT s.user_id, s.signal, unnest([{'ns': 'category', 'key': i.category}, {'ns': 'source', 'key': i.source}], recursive := true)
-        FROM signals s JOIN items i ON s.item_id = i.id)
-      GROUP BY ALL""",
+      SELECT user_id, ns, key, sum(signal) / CAST(10 AS DOUBLE) AS weight FROM signals s JOIN feats f ON s.item_id = f.id GROUP BY ALL
+      UNION ALL SELECT user_id, 'style', 'longform', least(2, greatest(-2, sum(signal * CASE WHEN words >= 400 THEN 1 WHEN words <= 120 THEN -1 ELSE 0 END) / CAST(10 AS DOUBLE)))
+      FROM signals s JOIN tagged t ON s.item_id = t.id GROUP BY 1""",
     "registry": """
       SELECT DISTINCT source, upper(source) AS label, CAST(substring(source, 4) AS INTEGER) AS no,
              CAST(substring(source, 4) AS INTEGER) % 7 <> 3 AS enabled, CAST(substring(source, 4) AS INTEGER) % 11 = 5 AS adult,
-             CASE WHEN CAST(substring(source, 4) AS INTEGER) % 4 = 0 THEN 12 END AS max_age_h,
+             CASE CAST(substring(source, 4) AS INTEGER) % 4 WHEN 0 THEN 12 WHEN 1 THEN 60 END AS max_age_h,
              CAST(substring(source, 4) AS INTEGER) % 3 - 1 AS lean,
-             CASE WHEN CAST(substring(source, 4) AS INTEGER) % 5 = 0 THEN 'group5' END AS feed_group
+             CASE WHEN CAST(substring(source, 4) AS INTEGER) % 5 = 0 THEN 'group5' END AS feed_group,
+             CAST(substring(source, 4) AS INTEGER) % 13 = 4 AS off_main, ['kr', 'us', 'jp'][CAST(substring(source, 4) AS INTEGER) % 3 + 1] AS country
       FROM documents""",
 }
 
 
+_NEEDS = {"tagged": ["items"], "feats": ["tagged"], "prefs": ["signals", "feats"]}
+
+
 def oracle(body: str, *views: str) -> str:
-    """``body`` with the canonical relations it names put before it."""
-    names = [v for v in VIEWS if v in views or (v in ("signals", "items") and "prefs" in views)]
-    with_ = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    """``body`` with the canonical relations it names, and those that these need, put before it."""
+    wanted = list(views)
+    for v in wanted:
+        wanted += [x for x in _NEEDS.get(v, []) if x not in wanted]
+    with_ = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in wanted)
     body = body.strip()
-    if not names:
+    if not with_:
         return body
     return f"WITH {with_}, {body[4:].lstrip()}" if body.upper().startswith("WITH") else f"WITH {with_}\n{body}"
