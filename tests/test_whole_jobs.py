@@ -1,7 +1,5 @@
 """Queries without SQL of their own, against plain counts of the tables."""
 
-import re
-
 import duckdb
 
 from tidewell import catalog
@@ -9,22 +7,6 @@ from tidewell import catalog
 SF = "/root/testdata/sf0.001"
 
 
-def _canonical(url):
-    base, query = re.match(r"([^?#]*)(?:\?([^#]*))?", url).groups()
-    kept = sorted(p for p in (query or "").split("&") if p and not re.match(r"(utm_[a-z]+|fbclid|gclid|igshid|ref)=", p))
-    return base + ("?" + "&".join(kept) if kept else "")
-
-
-def test_url_canonical_dedupe(spark):
-    best = {}
-    for page, url in duckdb.sql(f"SELECT page_id, url FROM '{SF}/pages.parquet' ORDER BY page_id").fetchall():
-        key, value = (page,) if url is None else _canonical(url), page * 37 % 101
-        if key not in best or value > best[key][0]:
-            best[key] = (value, page)
-    got = {(r["page_id"], r["url"]) for r in catalog.QUERIES["url_canonical_dedupe"](spark, SF).collect()}
-    assert got == {(page, None if isinstance(k, tuple) else k) for k, (_, page) in best.items()}
-
-
 def test_uniques_estimate(spark):
     exact = dict(
         duckdb.sql(f"SELECT CAST(CAST(ts + INTERVAL 9 HOUR AS DATE) AS VARCHAR), count(DISTINCT user_id) FROM '{SF}/events.parquet' GROUP BY 1").fetchall()
