@@ -7,18 +7,22 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import decontam, jaccard, langid, linededup, packing
-from tidewell.llm.common import read, shared_dir, ship
+from tidewell.llm.common import read, scratch, ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the network knows; those without text or letters, or that it is unsure of, go."""
+    """Documents in a language the network knows; those without text or letters, or that it is unsure of, go.
+
+    Where no row has a label there is nothing to learn from, and all stay.
+    """
     ship(spark)
-    known = langid.predict(docs, langid.fit(langid.labelled_documents(docs)))
+    net = langid.fit(langid.labelled_documents(docs))
+    if net is None:
+        return docs
+    known = langid.predict(docs, net)
     return known.filter((known.lang_pred != "und") & (known.score >= langid.LEAST_SCORE)).select(*docs.columns)
 
 
@@ -60,7 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents, each written to the shared folder and read again."""
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
