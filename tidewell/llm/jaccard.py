@@ -441,21 +441,22 @@ def _buckets(chosen: DataFrame, bucket: int, slice_bytes: int) -> DataFrame:
     Sizes fall into bands so wide that sets which link are in the same or in
     neighbouring ones; a set goes to the buckets of its own band and of the next.
     Of buckets with the same members one is kept. All counts are combined before
-    their shuffles, and the rows themselves meet their counts in joins only.
+    their shuffles, and the rows themselves meet their counts in joins only. What
+    grows with the documents is joined alike at every size and never broadcast.
     """
     single = chosen.select("rep", "n", F.explode("sigs").alias("sig"))
     shared = cut(single.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig"))
-    near = single.join(shared, "sig", "left_semi")
+    near = single.join(shared.hint("merge"), "sig", "left_semi")
     band = F.floor(F.log("n") / math.log(BAND))
     banded = cut(near.select(F.explode(F.array(F.xxhash64("sig", band), F.xxhash64("sig", band + 1))).alias("sig"), "rep", "n"))
     # sums of 32-bit hashes: unlike bit_xor they don't cancel where a member stands twice
-    marks = [F.sum(F.xxhash64("rep", F.lit(i)).bitwiseAND(0xFFFFFFFF)).alias(f"x{i}") for i in range(4)]
+    marks = [F.sum(F.xxhash64("rep", F.lit(i)).bitwiseAND(0xFFFFFFFF)).alias(f"x{i}") for i in range(2)]
     filled = banded.groupBy("sig").agg(F.count("*").alias("m"), F.max("n").alias("top"), F.min("rep").alias("centre"), *marks).filter("m > 1")
-    kept = filled.groupBy("m", "top", "centre", *(f"x{i}" for i in range(4))).agg(F.min("sig").alias("sig"))
+    kept = filled.groupBy("m", "top", "centre", "x0", "x1").agg(F.min("sig").alias("sig"))
     # a point takes some 20 bytes for each of its packed ones: counts, folded counts and their spread
     width = F.expr(f"20 * shiftleft(16L, greatest(0, length(bin(top - 1)) - {(SMALL - 1).bit_length()}))")
     slices = F.greatest(F.ceil(F.col("m") / bucket), F.ceil(F.col("m") * width / slice_bytes)).cast("int")
-    return cut(banded.join(kept.select("sig", "centre", slices.alias("slices")), "sig").select("sig", "rep", "centre", "slices"))
+    return cut(banded.join(kept.select("sig", "centre", slices.alias("slices")).hint("merge"), "sig").select("sig", "rep", "centre", "slices"))
 
 
 def jaccard_classes(docs: DataFrame, bucket: int = BUCKET, slice_bytes: int = SLICE_BYTES, max_ids: int = MAX_IDS) -> tuple[DataFrame, DataFrame]:
@@ -482,7 +483,6 @@ def jaccard_classes(docs: DataFrame, bucket: int = BUCKET, slice_bytes: int = SL
     once = real.groupBy("doc_id", "h1", "h2", "n").agg(F.min("row").alias("row"))
     picked = cut(once.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("row"))
     chosen = real.join(picked, "row", "left_semi").withColumnRenamed("doc_id", "rep")
-    # points grow with the documents: they are joined alike at every size and never broadcast
     points = chosen.select("rep", "n", "counts").hint("merge")
     buckets = _buckets(chosen, bucket, slice_bytes)
     first = cut(_searched(buckets.join(points, "rep"), True))
