@@ -17,9 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _order(by: str) -> Column:
+    return F.desc(by.removesuffix(" desc")) if by.endswith(" desc") else F.asc(by)
+
+
 def arranged(rows: DataFrame, by: str, kernel: Callable[[pd.DataFrame], list[int]], order: list[str], most: int = 500) -> DataFrame:
     """(by, id, place): each group's first ``most`` rows by ``order``, put out as ``kernel`` has them; place from 0."""
-    w = Window.partitionBy(by).orderBy(*[F.expr(o) for o in order])
+    w = Window.partitionBy(by).orderBy(*map(_order, order))
     cut = rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most)
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
@@ -300,7 +304,7 @@ def top_of_events(rows: DataFrame, by: str, n: int, per_source: int, value: str
 
 def clustered(rows: DataFrame, by: str, order: list[str], shared: int = 2, most: int = 200) -> DataFrame:
     """(by, id, issue, place): rows (id, key, tags) of each group in order join the first issue that has their event key or a row with ``shared`` equal tags."""
-    w = Window.partitionBy(by).orderBy(*[F.expr(o) for o in order])
+    w = Window.partitionBy(by).orderBy(*map(_order, order))
     few = rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).select(by, "id", "key", "tags", "__r")
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
@@ -362,7 +366,7 @@ def folded_batch(rows: DataFrame, by: str) -> DataFrame:
             first = events.get(r.key) if r.key is not None else None
             if first is None:
                 urls.add(name)
-                kept.append({"id": r.id, "source": r.source, "kind": r.kind, "coverage": int(r.coverage or 0), "related": []})
+                kept.append({"id": r.id, "source": r.source, "kind": r.kind, "coverage": int(r.coverage), "related": []})
                 if r.key is not None:
                     events[r.key] = kept[-1]
                 continue
@@ -376,7 +380,7 @@ def folded_batch(rows: DataFrame, by: str) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     columns = [by, "id", "url", "key", "source", "kind", "coverage", "ord"]
-    return rows.select(*columns).groupBy(by).applyInPandas(work, f"{by} {kinds[by]}, id {kinds['id']}, coverage long, related string")
+    return rows.select(*columns).fillna(0, ["coverage"]).groupBy(by).applyInPandas(work, f"{by} {kinds[by]}, id {kinds['id']}, coverage long, related string")
 
 
 def with_slots(candidates: list[dict], every: int = 6, skip: int = 3, most: int = 2, least: float = 0.3, wait: int = 3, start: int = 0) -> Callable[[pd.DataFrame], list[int]]:
