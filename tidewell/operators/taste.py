@@ -50,7 +50,8 @@ def taste_scores(pairs: DataFrame, items: DataFrame, prefs: DataFrame) -> DataFr
     rows = pairs.join(items.select("id", style(F.col("words")).alias("style")), "id").join(longform, "user_id", "left").join(sums, ["user_id", "id"], "left")
     zero = F.lit(0.0)
     taste = F.coalesce("t", zero) + F.coalesce("longform", zero) * F.col("style") * 0.4
-    return rows.select("user_id", "id", taste.alias("taste"), F.coalesce("known", zero).alias("known"))
+    # rounded, so that a sum in another order doesn't pass a threshold
+    return rows.select("user_id", "id", taste.alias("taste"), F.round(F.coalesce("known", zero), 9).alias("known"))
 
 
 def popularity(score: Column, comments: Column) -> Column:

@@ -19,7 +19,7 @@ _TASTE = f"""{_PAIRS},
 sums AS (SELECT p.user_id, p.id, sum(coef * weight) AS t, sum(CASE f.ns WHEN 'tag' THEN coef / 1.3 WHEN 'category' THEN 1 ELSE 0 END * abs(weight)) AS known
   FROM pairs p JOIN feats f ON f.id = p.id JOIN prefs q ON q.user_id = p.user_id AND q.ns = f.ns AND q.key = f.key GROUP BY ALL),
 taste AS (SELECT p.user_id, p.id, coalesce(t, 0) + coalesce(l.weight, 0) * CASE WHEN words >= 400 THEN 1 WHEN words <= 120 THEN -1 ELSE 0 END * 0.4 AS taste,
-    coalesce(known, 0) AS known, i.score, i.comment_count, i.coverage, i.source, i.category, i.kind, i.ord,
+    round(coalesce(known, 0), 9) AS known, i.score, i.comment_count, i.coverage, i.source, i.category, i.kind, i.ord,
     epoch(TIMESTAMP '2024-01-31 00:00:00' - i.published_at) / 3600.0 AS age
   FROM pairs p JOIN tagged i ON i.id = p.id LEFT JOIN sums s ON s.user_id = p.user_id AND s.id = p.id
   LEFT JOIN prefs l ON l.user_id = p.user_id AND l.ns = 'style')"""
@@ -145,9 +145,9 @@ def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.cosines(preferences(spark, sf_dir)).withColumn("sim", F.round("sim", 9))
 
 
-@query(f"WITH {_SIMS} SELECT a, b, round(sim, 6) AS sim FROM sims", "prefs")
+@query(f"WITH {_SIMS} SELECT a, b, round(sim, 6) + 0.0 AS sim FROM sims", "prefs")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sims(spark, sf_dir).withColumn("sim", F.round("sim", 6))
+    return _sims(spark, sf_dir).withColumn("sim", F.round("sim", 6) + 0.0)
 
 
 @query(f"WITH {_SIMS} SELECT user_id, other, round(sim, 6) AS sim, place FROM near", "prefs")
