@@ -32,6 +32,8 @@ WINDOW = 3
 MIN_WORDS = 50
 #: Alignments to one document that a task extends, about.
 MEETINGS = 2000
+#: Keys of documents with runs up to this number are sent to all executors; beyond it a join shuffles texts.
+MAX_KEYS = 1_000_000
 
 
 def _parsed(text: Column) -> Column:
@@ -154,7 +156,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, gone: bool = False)
 def _without(keyed: DataFrame, runs: DataFrame) -> DataFrame:
     """``keyed`` with __runs, the runs of each document (null: none), and __text, its text without them."""
     runs = runs.groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set(F.struct("first_line", "last_line")).alias("__runs"))
-    met = keyed.join(runs, "__key", "left")
+    # runs grow with the documents: they are joined alike at every size
+    met = keyed.join(runs.hint("merge"), "__key", "left")
     left = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not exists(__runs, r -> i between r.first_line and r.last_line)), '\\n')")
     text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.when(F.trim(F.translate(left, "\n\t\r", "   ")) == "", F.lit("")).otherwise(left))
     return met.withColumn("__text", text)
@@ -168,8 +171,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     keyed = _keyed(read(spark, sf_dir, "documents").select("doc_id", "text"))
     runs = cut(_runs(keyed.select(F.col("__key").alias("doc_id"), "text"), MIN_WORDS))
-    named = runs.select("doc_id").distinct().withColumnRenamed("doc_id", "__key")
-    cleaned = _without(keyed.join(named, "__key", "left_semi"), runs)
+    named = cut(runs.select("doc_id").distinct().withColumnRenamed("doc_id", "__key"))
+    few = F.broadcast(named) if named.count() <= MAX_KEYS else named
+    cleaned = _without(keyed.join(few, "__key", "left_semi"), runs)
     left = cleaned.select(F.col("__key").alias("doc_id"), F.length("__text").cast("long").alias("left_chars"), F.crc32("__text").alias("left_crc32"))
     lines = [F.col(c).cast("long").alias(c) for c in ("first_line", "last_line", "words")]
     return _named(runs.join(left, "doc_id")).select("doc_id", *lines, "of_doc", F.col("of_line").cast("long"), "left_chars", "left_crc32")
