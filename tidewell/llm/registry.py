@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidewell.llm import decontam, jaccard, linededup, packing, tokenbin, topk, urlfilter, warc
-from tidewell.llm.hilbert import op3_hilbert_shards
+from tidewell.llm import checks, decontam, jaccard, linededup, packing, tokenbin, topk, urlfilter, warc
+from tidewell.llm.hilbert import BITS, op3_hilbert_shards
 from tidewell.llm.langid import op1_language_id
 
 QUERIES = {
@@ -22,6 +22,8 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_url_filter": urlfilter.ORACLE,
+    "op3_hilbert_shards": checks.hilbert(8, BITS, ["source", "lang", "size_rank"]),
+    "op4_jaccard_join": checks.JACCARD,
     "op6_top_k": topk.ORACLE,
     "op8_warc": warc.ORACLE,
 }
