@@ -59,3 +59,20 @@ def test_text_functions(spark):
     assert one(M.fnv1a(F.col("c0")), "") == 2166136261 and one(M.fnv1a(F.col("c0")), "abc") == 440920331 and one(M.base36(F.lit(440920331)), "x") == "7aigaz"
     assert one(T.decode_entities(F.col("c0")), "&#xD800;&#0;x&amp;nbsp;") == "\x00x&nbsp;"
     assert one(T.excerpt(F.col("c0"), 5, "…"), "123456") == "1234…" and one(T.excerpt(F.col("c0"), 6, "…"), "123456") == "123456"
+
+
+def test_unknown_ages_are_neutral(spark):
+    from tidewell.operators import hot
+
+    now = F.expr("timestamp '2024-01-02 00:00:00'")
+    rows = spark.createDataFrame([(0, 0)], "score int, comment_count int").withColumn("published_at", F.lit(None).cast("timestamp"))
+    row = rows.select(hot.hot_age(now).alias("age"), hot.freshness(hot.hours_between(now, F.col("published_at"))).alias("fresh"), hot.hotness(now).alias("hot")).first()
+    assert (row["age"], row["fresh"], row["hot"]) == (12.0, 0.5, 0.3)
+
+
+def test_subjects_fall_back_to_the_first_phrase(spark):
+    from tidewell.operators.publish import issue_subjects
+
+    rows = [(1, 0, "삼성 반도체 실적"), (1, 1, "반도체 삼성 전망"), (2, 0, "[속보] 혼자 나온 제목 … 부제")]
+    got = {r["issue"]: r["subject"] for r in issue_subjects(spark.createDataFrame(rows, "issue long, place long, title string"), ["issue"]).collect()}
+    assert got == {1: "삼성 반도체", 2: "혼자 나온 제목"}

@@ -288,3 +288,16 @@ def feed_quality(shown: DataFrame) -> DataFrame:
 
 def health_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def kept_keys(events: DataFrame, key: str, ord_: str, most: int = MAX_KEYS) -> DataFrame:
+    """(key, n) of the ``most`` keys that came first; later ones are dropped, as they are for advertisements."""
+    keys = events.groupBy(F.col(key).alias("key")).agg(F.min(ord_).alias("first"), F.count("*").alias("n"))
+    return keys.orderBy("first").limit(most).select("key", "n")
+
+
+def variant_lines(variants: DataFrame, matrix: DataFrame) -> DataFrame:
+    """``variants`` (variant as place_context_number, score) with the copy (dest, ctx, idx, hook) of their cell and their rate in percent."""
+    parts = F.split("variant", "_")
+    cells = variants.withColumns({"dest": parts[0], "ctx": parts[1], "idx": parts[2].cast("long")})
+    return cells.join(matrix, ["dest", "ctx", "idx"]).withColumn("ctr", half_up(F.col("score") * 100, 2))

@@ -276,3 +276,31 @@ def masked(text: Column, words: list[str] = PROFANITY, mark: str = RUDE_MASK) ->
     for w in words:
         out = F.replace(out, F.lit(w), F.lit(mark if len(w) == 1 else w[0] + mark * (len(w) - 1)))
     return out
+
+
+def normalized(raw: DataFrame, categories: list[str]) -> DataFrame:
+    """Raw rows as items: unknown categories are news, kinds but `community` too, own and seed texts keep 1,000 characters and others 200, numbers that are missing are 0.
+
+    ``raw`` has id, source, category, kind, via, title, summary, url, image,
+    https_ok, score, comment_count, view_count, coverage, length and published_at.
+    A count of views of 0 is unknown; words are counted where no length is told.
+    """
+    zero = F.lit(0)
+    own = F.col("via").isNull() | F.col("via").isin("me", "seed")
+    text = F.coalesce("summary", F.lit(""))
+    words = F.regexp_count(text, F.lit("[^ \\t\\r\\n]+"))
+    return raw.select(
+        "id",
+        F.coalesce("source", F.lit("unknown")).alias("source"),
+        F.when(F.col("category").isin(categories), F.col("category")).otherwise("news").alias("category"),
+        F.when(F.col("kind") == "community", "community").otherwise("news").alias("kind"),
+        F.coalesce("via", F.lit("seed")).alias("via"),
+        F.substring(F.coalesce("title", F.lit("")), 1, 300).alias("title"),
+        F.when(own, F.substring(text, 1, 1000)).otherwise(F.substring(text, 1, 200)).alias("summary"),
+        https_url(F.col("url"), F.col("https_ok")).alias("url"),
+        image_url(F.col("image"), F.col("https_ok")).alias("image"),
+        *[F.coalesce(c, zero).alias(c) for c in ("score", "comment_count", "coverage")],
+        F.when(F.col("view_count") > 0, F.col("view_count")).alias("view_count"),
+        F.coalesce("length", words).cast("long").alias("length"),
+        "published_at",
+    )

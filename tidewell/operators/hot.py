@@ -24,8 +24,13 @@ def hours_between(later: Column, earlier: Column) -> Column:
 
 def hot_age(now: Column, seen: Column | None = None, neutral: float = 12.0) -> Column:
     """Hours since first seen, else since publication, else neutral; never negative."""
-    first = F.coalesce(seen, F.col("published_at")) if seen is not None else F.col("published_at")
-    return F.coalesce(F.greatest(F.lit(0.0), hours_between(now, first)), F.lit(neutral))
+    age = hours_between(now, F.coalesce(seen, F.col("published_at")) if seen is not None else F.col("published_at"))
+    return F.when(age.isNull(), neutral).otherwise(F.greatest(F.lit(0.0), age))
+
+
+def freshness(age: Column) -> Column:
+    """exp(-age / 48 hours), a half for unknown ages; greatest alone would take those for 0."""
+    return F.when(age.isNull(), 0.5).otherwise(F.exp(-F.greatest(age, F.lit(0.0)) / 48))
 
 
 def robust_z(rows: DataFrame, value: str, group: list[str], out: str = "z") -> DataFrame:
@@ -93,8 +98,7 @@ def hot_gate(items: DataFrame, now: Column, share: float = 0.6) -> DataFrame:
     percentile and freshness; without, all stay at half their freshness.
     """
     rows = items.withColumn("raw", raw_engagement().cast("double"))
-    age = hours_between(now, F.col("published_at"))
-    fresh = F.coalesce(F.exp(-F.greatest(age, F.lit(0.0)) / 48), F.lit(0.5))
+    fresh = freshness(hours_between(now, F.col("published_at")))
     facts = rows.groupBy("source").agg(F.count("*").alias("n"), F.max("raw").alias("top"))
     by = Window.partitionBy("source").orderBy(F.desc("raw"), "ord")
     rows = rows.join(facts, "source").withColumn("rank", F.row_number().over(by) - 1).withColumn("fresh", fresh)
@@ -118,3 +122,8 @@ def url_winners(rows: DataFrame, url: Column, value: Column) -> DataFrame:
     by = Window.partitionBy("__url").orderBy(value.desc(), "ord")
     best = keyed.filter("__url is not null").withColumn("__r", F.row_number().over(by)).filter("__r = 1").drop("__r")
     return best.unionByName(keyed.filter("__url is null"))
+
+
+def hotness(now: Column) -> Column:
+    """The older score: reactions by logarithm and freshness of two days, a half of it for unknown ages."""
+    return half_up(0.7 * F.log10(1 + raw_engagement()) + 0.6 * freshness(hours_between(now, F.col("published_at"))), 3)

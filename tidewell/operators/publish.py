@@ -156,7 +156,8 @@ def editorial_notes(items: DataFrame, now: Column, multiple: float = 3.0) -> Dat
 
     means = items.groupBy("source").agg(F.avg("score").alias("__mean"), F.count("*").alias("__n"))
     rows = items.join(means, "source")
-    minutes = F.greatest(F.lit(0.0), hours_between(now, F.col("published_at")) * 60)
+    age = hours_between(now, F.col("published_at")) * 60
+    minutes = F.when(age.isNotNull(), F.greatest(F.lit(0.0), age))
     s, c, any_ = F.col("score"), F.col("comment_count"), (F.col("score") > 0) | (F.col("comment_count") > 0)
     note = (
         F.when((minutes <= 1440) & ((s >= 300) | (c >= 300)), "surge")
@@ -169,3 +170,20 @@ def editorial_notes(items: DataFrame, now: Column, multiple: float = 3.0) -> Dat
         .when((F.col("source_rank") <= 2) & (minutes <= 30), "top")
     )
     return rows.withColumn("note", F.coalesce(note, F.lit("none"))).drop("__mean", "__n")
+
+
+def issue_subjects(members: DataFrame, by: list[str], least: int = 2, most: int = 2) -> DataFrame:
+    """(by, subject): the words that most titles of an issue (title, place) share, those of two titles at least; where there are none, the first phrase of its first title.
+
+    Words of two characters and more count once a title; equal ones go by where
+    they stand first.
+    """
+    from tidewell.functions.text import lead_phrase
+
+    words = members.select(*by, "place", F.posexplode(F.split("title", "[^가-힣a-zA-Z0-9]+")).alias("at", "w")).filter(F.length("w") >= 2)
+    once = words.groupBy(*by, "place", "w").agg(F.min("at").alias("at"))
+    counts = once.groupBy(*by, "w").agg(F.count("*").alias("n"), F.min(F.struct("place", "at")).alias("first")).filter(F.col("n") >= least)
+    top = counts.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "first"))).filter(F.col("r") <= most)
+    shared = top.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]), " ").alias("s"))
+    lead = members.filter("place = 0").select(*by, lead_phrase(F.col("title")).alias("lead"))
+    return lead.join(shared, by, "left").select(*by, F.coalesce("s", "lead").alias("subject"))

@@ -348,3 +348,21 @@ def public_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mine.join(items(spark, sf_dir).select("id"), "id").join(comments, "id", "left").join(saved, ["user_id", "id"], "left")
     author = F.concat(F.lit("user_"), F.lower(F.hex(F.col("id") % 4096)))
     return rows.select("user_id", "id", author.alias("author"), "mine", F.coalesce("comments", F.lit(0)).alias("comments"), F.coalesce("saved", F.lit(False)).alias("saved"))
+
+
+@query(
+    r"""WITH r AS (SELECT doc_id AS id, source, ['tech', 'weird', NULL, 'life'][doc_id % 4 + 1] AS category, ['community', 'Community', NULL][doc_id % 3 + 1] AS kind, ['rss', 'me', NULL, 'api', 'seed'][doc_id % 5 + 1] AS via,
+  split_part(text, chr(10), 1) AS title, text, CASE WHEN doc_id % 7 > 0 THEN doc_id % 50 END AS score, doc_id % 3 AS views, CASE WHEN doc_id % 6 = 0 THEN 77 END AS len FROM documents)
+SELECT id, coalesce(source, 'unknown') AS source, CASE WHEN category IN ('tech', 'life') THEN category ELSE 'news' END AS category, CASE WHEN kind = 'community' THEN kind ELSE 'news' END AS kind, coalesce(via, 'seed') AS via,
+  substring(coalesce(title, ''), 1, 300) AS title, substring(coalesce(text, ''), 1, CASE WHEN via IS NULL OR via IN ('me', 'seed') THEN 1000 ELSE 200 END) AS summary,
+  CASE WHEN id % 2 = 0 THEN 'https://' ELSE 'http://' END || 'x.example/' || id AS url, 'https://cdn/' || id AS image, coalesce(score, 0) AS score, CASE WHEN views > 0 THEN views END AS view_count,
+  coalesce(len, len(regexp_extract_all(coalesce(text, ''), '[^ \t\r\n]+'))) AS length FROM r"""
+)
+def normalize_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS id", "source", "element_at(array('tech', 'weird', null, 'life'), int(doc_id % 4 + 1)) AS category", "element_at(array('community', 'Community', null), int(doc_id % 3 + 1)) AS kind",
+        "element_at(array('rss', 'me', null, 'api', 'seed'), int(doc_id % 5 + 1)) AS via", "split_part(text, '\n', 1) AS title", "text AS summary", "concat('http://x.example/', doc_id) AS url",
+        "concat('//cdn/', doc_id) AS image", "doc_id % 2 = 0 AS https_ok", "if(doc_id % 7 > 0, doc_id % 50, null) AS score", "0 AS comment_count", "doc_id % 3 AS view_count", "0 AS coverage",
+        "if(doc_id % 6 = 0, 77, null) AS length", f"{NOW} AS published_at",
+    )
+    return G.normalized(raw, ["tech", "life"]).drop("comment_count", "coverage", "published_at")

@@ -202,3 +202,28 @@ def fresh_gate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).filter("category != 'c6'")
     known = registry(spark, sf_dir)
     return fresh_only(rows, known, now()).filter("enabled and not adult").select("id", "source")
+
+
+_GROUPED = _HOT.replace("WITH r AS (SELECT *, CAST(", "WITH g AS (SELECT i.*, coalesce(feed_group, i.source, 'unknown') AS grp, id % 9 AS source_rank, CASE WHEN id % 4 = 0 THEN 0.4 END AS prior FROM items i LEFT JOIN registry USING (source)), r AS (SELECT *, CAST(").replace("FROM items),\nm", "FROM g),\nm").replace("PARTITION BY source", "PARTITION BY grp").replace("row_number() OVER (PARTITION BY grp ORDER BY ord) - 1 AS place", "source_rank AS place")
+
+
+@query(
+    _GROUPED + "SELECT id, grp, round(CASE WHEN prior IS NOT NULL AND f < prior THEN floor((0.7 * prior + 0.3 * f) * 1e6 + 0.5) / 1e6 ELSE hot END, 6) AS hot FROM (SELECT *, decayed + 0.3 * log10(1 + CASE WHEN top > 0 THEN raw / (age + 2) ELSE 0 END) AS f FROM hot)",
+    "items",
+    "registry",
+)
+def hot_scores_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hotness by feed group, by the rank a source gave its items, and with the score of the tick before, which a falling one keeps most of."""
+    known = registry(spark, sf_dir).select("source", "feed_group")
+    rows = items(spark, sf_dir).join(known, "source", "left").withColumn("grp", F.coalesce("feed_group", "source", F.lit("unknown")))
+    rows = rows.withColumns({"source_rank": F.col("id") % 9, "before": F.expr("if(id % 4 = 0, 0.4D, null)")})
+    return hot.hot_scores(rows, now(), "grp", prior="before").select("id", "grp", F.round("hot", 6).alias("hot"))
+
+
+@query(
+    """SELECT id, floor((0.7 * log10(1 + score + 2 * comment_count) + 0.6 * CASE WHEN id % 6 > 0 THEN exp(-(epoch(TIMESTAMP '2024-01-31 00:00:00' - published_at) / 3600.0) / 48) ELSE 0.5 END) * 1000 + 0.5) / 1000 AS hotness FROM items""",
+    "items",
+)
+def hotness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir).withColumn("published_at", F.expr("if(id % 6 > 0, published_at, null)"))
+    return rows.select("id", hot.hotness(now()).alias("hotness"))

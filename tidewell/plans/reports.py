@@ -337,3 +337,42 @@ def liked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = signals(spark, sf_dir).filter("signal > 0").join(items(spark, sf_dir).select(F.col("id").alias("item_id"), "score"), "item_id")
     return rows.groupBy("user_id").agg(F.count("*").alias("liked"), F.round(F.avg("score"), 6).alias("mean"))
 
+
+
+@query(
+    """WITH m AS (SELECT id // 4 AS issue, id % 4 AS place, title FROM items WHERE id % 4 < 3), w AS (SELECT issue, place, unnest(regexp_split_to_array(title, '[^가-힣a-zA-Z0-9]+')) AS w, generate_subscripts(regexp_split_to_array(title, '[^가-힣a-zA-Z0-9]+'), 1) AS pos FROM m),
+o AS (SELECT issue, place, w, min(pos) AS pos FROM w WHERE length(w) >= 2 GROUP BY ALL), c AS (SELECT issue, w, count(*) AS n, min(struct_pack(p := place, a := pos)) AS first FROM o GROUP BY 1, 2 HAVING count(*) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY n DESC, first) AS r FROM c)
+SELECT issue, string_agg(w, ' ' ORDER BY r) AS subject FROM r WHERE r <= 2 GROUP BY 1""",
+    "items",
+)
+def issue_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each four items in a row are called by, where their titles share a word; the tests hold the phrase taken otherwise."""
+    members = items(spark, sf_dir).filter("id % 4 < 3").selectExpr("id div 4 AS issue", "id % 4 AS place", "title")
+    named = P.issue_subjects(members, ["issue"])
+    told = members.select("issue", "place", F.explode(F.array_distinct(F.split("title", "[^가-힣a-zA-Z0-9]+"))).alias("w")).filter("length(w) >= 2").groupBy("issue", "w").agg(F.count("*").alias("n")).filter("n >= 2")
+    return named.join(told.select("issue").distinct(), "issue", "left_semi")
+
+
+@query(
+    f"""WITH a AS ({_ADS}), v AS (SELECT *, 'd' || (event_id % 3) || '_c' || (event_id % 2) || '_' || (event_id % 4) AS cell FROM a),
+c AS (SELECT cell, count(*) FILTER (type = 'ad_impression') AS imp, count(*) FILTER (type = 'ad_click') AS click FROM v GROUP BY 1),
+s AS (SELECT *, (click + (sum(click) OVER () / sum(imp) OVER ()) * 30) / (imp + 30) AS score FROM c), w AS (SELECT * FROM s WHERE imp >= 20 ORDER BY round(score, 9) DESC, cell LIMIT 8)
+SELECT split_part(cell, '_', 1) AS dest, 'hook ' || cell AS hook, floor(score * 10000 + 0.5) / 100 AS ctr FROM w WHERE split_part(cell, '_', 3) <> '3'""",
+    "track",
+)
+def winning_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best variants with the lines that a matrix of copy holds for them; cells that it lacks go."""
+    cell = F.expr("concat('d', event_id % 3, '_c', event_id % 2, '_', event_id % 4)")
+    best = A.variant_scores(_ads(spark, sf_dir).withColumn("variant", cell)).filter("imp >= 20").withColumn("place", F.round("score", 9)).orderBy(F.desc("place"), "variant").limit(8)
+    grid = spark.range(18).selectExpr("concat('d', id div 6) AS dest", "concat('c', id div 3 % 2) AS ctx", "id % 3 AS idx")
+    matrix = grid.selectExpr("dest", "ctx", "idx", "concat('hook ', dest, '_', ctx, '_', idx) AS hook")
+    return A.variant_lines(best, matrix).select("dest", "hook", "ctr")
+
+
+@query(
+    """WITH k AS (SELECT CAST(user_id AS VARCHAR) AS u, min(event_id) AS first, count(*) AS n FROM track GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY first) AS r FROM k) SELECT u AS key, n FROM r WHERE r <= 120""",
+    "track",
+)
+def cardinality_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.kept_keys(track_events(spark, sf_dir).withColumn("u", F.col("user_id").cast("string")), "u", "event_id")

@@ -257,3 +257,26 @@ def learning_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def online_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights after all events of each reader; a step depends on those before, which the tests fold one by one."""
     return U.learned_weights(learning_events(spark, sf_dir), tagged_items(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+
+
+_GATED = """raw AS (SELECT *, CAST(score + 2 * comment_count AS DOUBLE) AS e, epoch(TIMESTAMP '2024-01-31 00:00:00' - published_at) / 3600.0 AS hours FROM items),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY source) AS n, max(e) OVER (PARTITION BY source) AS top, row_number() OVER (PARTITION BY source ORDER BY e DESC, ord) - 1 AS place FROM raw),
+gate AS (SELECT id FROM ranked WHERE top <= 0 OR place < greatest(1, ceil(n * 0.6)))"""
+
+
+@query(
+    f"""WITH {_TASTE}, {_GATED}, mine AS (SELECT t.user_id, t.id, taste + 0.5 * log10(1 + t.score + t.comment_count * 1.5) / 3 + 0.6 * exp(-age / 72) + ({_HASH.replace('CAST(id', 'CAST(t.id')} % 1000 / 1000.0 - 0.5) * 0.2 AS score
+  FROM taste t JOIN gate g ON g.id = t.id WHERE t.id % 5 > 0),
+good AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, id) AS rank, count(*) OVER (PARTITION BY user_id) AS n FROM mine WHERE round(score, 6) >= 1)
+SELECT user_id, n, rank, id FROM good WHERE rank <= 5""",
+    "items",
+    "prefs",
+)
+def user_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What waits for a reader: unseen hot items that score one or more, their number and the first five."""
+    pairs = _pairs(spark, sf_dir).filter("id % 5 > 0")
+    hot_ones = hot.hot_gate(items(spark, sf_dir), F.expr(NOW)).select("id")
+    scored = U.item_scores(pairs.join(hot_ones, "id", "left_semi"), tagged_items(spark, sf_dir), preferences(spark, sf_dir), F.expr(NOW), explore=0.0)
+    good = scored.withColumn("score", F.round("score", 6)).filter("score >= 1")
+    whole = good.groupBy("user_id").agg(F.count("*").alias("n"))
+    return U.ranked(good, "user_id", "score", 5).join(whole, "user_id").select("user_id", "n", F.col("rank").cast("long").alias("rank"), "id")
