@@ -482,7 +482,9 @@ def jaccard_classes(docs: DataFrame, bucket: int = BUCKET, slice_bytes: int = SL
     # a row that stands more than once is one point
     once = real.groupBy("doc_id", "h1", "h2", "n").agg(F.min("row").alias("row"))
     picked = cut(once.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("row"))
-    chosen = real.join(picked, "row", "left_semi").withColumnRenamed("doc_id", "rep")
+    # written once, since every join by it would move all group hashes again
+    chosen = real.join(picked.hint("merge"), "row", "left_semi").select(F.col("doc_id").alias("rep"), "n", "sigs", "counts")
+    chosen = cut(chosen)
     points = chosen.select("rep", "n", "counts").hint("merge")
     buckets = _buckets(chosen, bucket, slice_bytes)
     first = cut(_searched(buckets.join(points, "rep"), True))
