@@ -1,4 +1,4 @@
-"""SQL that says what op3_hilbert_shards and op4_jaccard_join must give, written from their rules."""
+"""SQL that says what op3_hilbert_shards, op4_jaccard_join and op12_merkle must give, written from their rules."""
 
 from __future__ import annotations
 
@@ -17,6 +17,48 @@ c AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
 """
 
+_CRC = """crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) x(i)))"""
+
+
+def _row_digest(text: str) -> str:
+    """SHA-256 of the row's values, each with its length in bytes."""
+    columns = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in columns)})"
+
+
+#: Trees level by level; a step of a leaf's path is its siblings left and right of a bar.
+MERKLE = f"""
+WITH RECURSIVE {_CRC},
+d AS (
+  SELECT doc_id, source, {_row_digest("text")} AS leaf,
+    CASE WHEN xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, y: xor(crc.t[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) % 2 = 0
+         THEN {_row_digest("replace(text, chr(10), '')")} END AS changed
+  FROM documents, crc),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+t(source, level, i, h, n) AS (
+  SELECT source, 0, i, leaf, n FROM l
+  UNION ALL SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY source, level, i // 3),
+s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(level, i, h, n) AS (
+  SELECT 1000, i, h, n FROM s
+  UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 2) // 3 FROM u WHERE n > 1 GROUP BY level, i // 3),
+nodes AS (SELECT source, level, i, h, n FROM t UNION ALL SELECT s.source, level, u.i, u.h, u.n FROM u, s),
+own AS (
+  SELECT l.source, l.i AS leaf_no, nodes.level, l.i // CAST(3 ** nodes.level AS BIGINT) AS i FROM l JOIN (SELECT DISTINCT source, level FROM t WHERE n > 1) nodes ON l.source IS NOT DISTINCT FROM nodes.source
+  UNION ALL SELECT l.source, l.i, w.level, s.i // CAST(3 ** (w.level - 1000) AS BIGINT) FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source, (SELECT DISTINCT level FROM u WHERE n > 1) w),
+step AS (
+  SELECT own.source, leaf_no, own.level, coalesce(string_agg(h, '' ORDER BY nodes.i) FILTER (nodes.i < own.i), '') || '|' || coalesce(string_agg(h, '' ORDER BY nodes.i) FILTER (nodes.i > own.i), '') AS step
+  FROM own JOIN nodes ON own.source IS NOT DISTINCT FROM nodes.source AND own.level = nodes.level AND own.i // 3 = nodes.i // 3 GROUP BY ALL),
+path AS (SELECT source, leaf_no, list(step ORDER BY level) AS path FROM step GROUP BY ALL),
+f AS (
+  SELECT doc_id, leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(path, []) AS path, coalesce(changed, leaf) AS start
+  FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source LEFT JOIN path ON l.source IS NOT DISTINCT FROM path.source AND l.i = leaf_no),
+g AS (
+  SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256,
+    list_reduce(list_prepend(start, path), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root FROM f)
+SELECT *, folded_root = root AS verified FROM g
+"""
+
 
 def hilbert(shards: int, bits: int, dims: list[str]) -> str:
     """Cells by the share of smaller values, the curve's index by its bitwise transform, equal runs of it."""

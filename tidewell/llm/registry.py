@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidewell.llm import checks, decontam, jaccard, linededup, packing, tokenbin, topk, urlfilter, warc
+from tidewell.llm import checks, decontam, hardneg, jaccard, linededup, merkle, packing, rpforest, tokenbin, topk, urlfilter, warc
 from tidewell.llm.hilbert import BITS, op3_hilbert_shards
 from tidewell.llm.langid import op1_language_id
 
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_token_matrix": tokenbin.op10_token_matrix,
+    "op11_hard_negatives": hardneg.op11_hard_negatives,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_near_dedup": rpforest.op13_near_dedup,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -26,6 +29,9 @@ ORACLES: dict[str, str] = {
     "op4_jaccard_join": checks.JACCARD,
     "op6_top_k": topk.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op11_hard_negatives": hardneg.ORACLE,
+    "op12_merkle": checks.MERKLE,
+    "op13_near_dedup": rpforest.ORACLE,
 }
 
 
