@@ -270,7 +270,7 @@ def source_quotas(scores: DataFrame) -> DataFrame:
 # --- learning ---
 
 RATE, IMPLICIT = 0.35, 0.12
-DECAY, NOISE, LIMIT = 0.995, 0.02, 6.0
+DECAY, NOISE, LIMIT, STYLE_LIMIT = 0.995, 0.02, 6.0, 2.0
 
 
 def implicit_step(kind: Column, dwell_ms: Column, words: Column) -> Column:
@@ -285,6 +285,12 @@ def feedback_step(signal: Column) -> Column:
     return F.when(signal >= 0, RATE).otherwise(-RATE)
 
 
+def faded(ns: Column, weight: Column, times: Column) -> Column:
+    """A weight after fading one event at a time: gone once it would fall below NOISE, which smaller weights do at once."""
+    left = weight * F.pow(F.lit(DECAY), times)
+    return F.when(ns == "style", weight).when((times > 0) & (F.abs(left) < NOISE), 0.0).otherwise(left)
+
+
 def learned_weights(events: DataFrame, items: DataFrame) -> DataFrame:
     """(user_id, ns, key, weight) after each reader's ``events`` (user_id, id, ord, step), in their order.
 
@@ -308,19 +314,14 @@ def learned_weights(events: DataFrame, items: DataFrame) -> DataFrame:
     own = own.union(length.select("user_id", F.lit("style"), F.lit("longform"), "at", F.col("step") * F.col("s") * 0.3))
     steps = F.array_sort(F.collect_list(F.struct("at", "step")))
     rows = own.groupBy("user_id", "ns", "key").agg(steps.alias("steps")).join(total, "user_id")
-    limit = F.when(F.col("ns") == "style", 2.0).otherwise(LIMIT)
-
-    def faded(weight: Column, times: Column) -> Column:
-        """After fading one event at a time: gone once it would fall below NOISE, which smaller weights do at once."""
-        left = weight * F.pow(F.lit(DECAY), times)
-        return F.when(F.col("ns") == "style", weight).when((times > 0) & (F.abs(left) < NOISE), 0.0).otherwise(left)
+    limit = F.when(F.col("ns") == "style", STYLE_LIMIT).otherwise(LIMIT)
 
     start = F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("at"))
 
     def fold(state: Column, x: Column) -> Column:
-        here = faded(state["w"], x["at"] - state["at"]) + x["step"]
+        here = faded(F.col("ns"), state["w"], x["at"] - state["at"]) + x["step"]
         return F.struct(F.greatest(-limit, F.least(limit, here)).alias("w"), x["at"].alias("at"))
 
     last = F.aggregate("steps", start, fold)
     rows = rows.withColumn("s", last)
-    return rows.select("user_id", "ns", "key", faded(F.col("s.w"), F.col("n") - F.col("s.at")).alias("weight")).filter("weight != 0 or ns = 'style'")
+    return rows.select("user_id", "ns", "key", faded(F.col("ns"), F.col("s.w"), F.col("n") - F.col("s.at")).alias("weight")).filter("weight != 0 or ns = 'style'")

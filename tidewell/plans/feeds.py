@@ -65,7 +65,7 @@ def listed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TITLE = r"trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
 
 
-def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with descriptions of themselves put before their markup."""
     head = """CASE page_id % 5 WHEN 0 THEN concat('<meta property="og:title" content="T ', page_id, ' &amp; co"><meta content="a description of page ', page_id, '" name="description"><meta property="og:image" content="/i/', page_id, '.png">')
       WHEN 1 THEN concat('<meta name="twitter:image" content="https://x.example/banner/a.png"><img src="logo.png"><img width="90" src="/s.jpg"><img data-src="/big/', page_id, '.jpg" width="600">')
@@ -84,7 +84,7 @@ def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM pages WHERE url LIKE 'http%://_%'"""
 )
 def open_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _described(spark, sf_dir).filter("url like 'http%://_%'")
+    rows = described(spark, sf_dir).filter("url like 'http%://_%'")
     told = S.open_graph(F.col("html"), F.col("url"))
     return rows.select("page_id", *[c.alias(n) for n, c in told.items()], S.page_image(F.col("html"), F.col("url")).alias("picture"), S.page_excerpt(F.col("html")).alias("excerpt"))
 

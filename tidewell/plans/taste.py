@@ -253,9 +253,27 @@ def learning_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("user_id", "id", "ord", step.alias("step"))
 
 
-@query()
+#: Every weight's own steps with their places among the reader's events, folded; the fold's state is {w, pos}.
+LEARNT_SQL = """WITH k AS (SELECT event_id, user_id, event_id % 200 AS id, CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'complete' WHEN 'error' THEN 'skip' WHEN 'signup' THEN 'dwell' END AS kind, value FROM events),
+e AS (SELECT user_id, k.event_id, category, source, tags, words, CASE k.kind WHEN 'open' THEN 0.12 * 0.3 WHEN 'complete' THEN 0.12 WHEN 'skip' THEN -0.12 * 0.6
+    WHEN 'dwell' THEN 0.12 * greatest(-1, least(1, (value * 1000 / greatest(4000, least(60000, greatest(20, coalesce(words, 40)) * 180.0)) - 0.4) / 0.6)) ELSE CASE WHEN value >= 50 THEN 0.35 ELSE -0.35 END END AS step
+  FROM k JOIN tagged t ON k.id = t.id),
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM e WHERE step <> 0),
+m AS (SELECT user_id, 'category' AS ns, category AS key, pos, n, step * 0.25 AS step FROM p
+  UNION ALL SELECT user_id, 'source', source, pos, n, step * 0.7 FROM p WHERE source IS NOT NULL
+  UNION ALL SELECT user_id, 'tag', unnest(tags), pos, n, step FROM p
+  UNION ALL SELECT user_id, 'style', 'longform', pos, n, step * 0.3 * CASE WHEN words >= 400 THEN 1 ELSE -1 END FROM p WHERE words >= 400 OR words <= 120),
+l AS (SELECT user_id, ns, key, any_value(n) AS n, list({'w': CAST(step AS DOUBLE), 'pos': pos} ORDER BY pos) AS s FROM m GROUP BY 1, 2, 3),
+f AS (SELECT user_id, ns, key, n, list_reduce(list_prepend({'w': CAST(0 AS DOUBLE), 'pos': CAST(0 AS BIGINT)}, s), lambda a, b: {
+    'w': greatest(CASE ns WHEN 'style' THEN -2.0 ELSE -6.0 END, least(CASE ns WHEN 'style' THEN 2.0 ELSE 6.0 END,
+      b.w + CASE WHEN ns = 'style' THEN a.w WHEN abs(a.w * pow(0.995, b.pos - a.pos)) < 0.02 THEN 0 ELSE a.w * pow(0.995, b.pos - a.pos) END)), 'pos': b.pos}) AS r FROM l),
+o AS (SELECT user_id, ns, key, CASE WHEN ns = 'style' OR n = r.pos THEN r.w WHEN abs(r.w * pow(0.995, n - r.pos)) < 0.02 THEN 0 ELSE r.w * pow(0.995, n - r.pos) END AS weight FROM f)
+SELECT user_id, ns, key, round(weight, 6) AS weight FROM o WHERE weight <> 0 OR ns = 'style'"""
+
+
+@query(LEARNT_SQL, "tagged")
 def online_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights after all events of each reader; a step depends on those before, which the tests fold one by one."""
+    """Weights after all events of each reader; the tests fold them one by one too."""
     return U.learned_weights(learning_events(spark, sf_dir), tagged_items(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 

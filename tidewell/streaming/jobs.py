@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewell.streaming.store import Files, Parts, scratch
+
 #: The calendar day of the Korean clock begins at 15 hours of universal time.
 DAY_START = "15 hours"
 KEPT_HOURS = 48
@@ -20,13 +21,56 @@ def file_stream(spark: SparkSession, path: str, schema: str, per_batch: int | No
     return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(path)
 
 
+#: The store that processors with several states need, and the setting that names it.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_batches(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Call ``each`` with every batch of what is there and its number; batches that ``checkpoint`` knows as done don't come again."""
+    spark = stream.sparkSession
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        writer.start().awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+
+
+def rewind(spark: SparkSession, checkpoint: str, sound: int | None) -> None:
+    """Have a stream that starts from ``checkpoint`` run again every batch after ``sound``, the last one whose output is whole (None: all).
+
+    The offsets of the first of them are kept and sources know what they had listed
+    for the others, so the same rows come again, none of them twice or left out; the
+    others may be cut into fewer batches than before.
+    """
+    files, last = Files(spark, checkpoint), -1 if sound is None else sound
+    for log, kept in (("commits", last), ("offsets", last + 1)):
+        for name in files.names(log):
+            if name.isdigit() and int(name) > kept:
+                files.remove(f"{log}/{name}")
+
+
 def drained(spark: SparkSession, stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """What a stream puts out by the end of the files that are there, from a table in memory: for tests and reports, not for production sinks."""
-    name = f"s{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """What a stream has put out by the end of the files that are there, from Parquet in the shared folder.
+
+    Each batch replaces its own folder, so one that runs again after a failure adds
+    nothing. In complete mode only the last batch counts.
+    """
+    folder = scratch(spark, "drained")
+    parts = Parts(spark, f"{folder}/out", stream.schema)
+    last: list[int] = []
+
+    def each(df: DataFrame, batch: int) -> None:
+        parts.put(df, batch)
+        last.append(batch)
+
+    run_batches(stream, mode, each, checkpoint or f"{folder}/checkpoint")
+    rows = parts.rows()
+    if mode == "complete" and last:
+        rows = rows.filter(F.col("batch") == max(last))
+    return rows.drop("batch")
 
 
 def day_counts(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -70,12 +114,13 @@ def limited_requests(events: DataFrame, most: int = 50) -> DataFrame:
 _POOL = "id long, score double, image string, first_seen timestamp, last_seen timestamp, alive boolean"
 
 
-def rolling_pool(ticks: DataFrame, kept_hours: int = KEPT_HOURS, inertia: float = 0.7) -> DataFrame:
+def rolling_pool(ticks: DataFrame, kept_hours: int = KEPT_HOURS, inertia: float = 0.7, exempt: tuple[str, ...] = ()) -> DataFrame:
     """The pool after each batch of ``ticks`` (id, score, image, ts), in update mode: a row for every item that changed.
 
     An item keeps when it was first seen, and its image where a tick has none. A
     score rises at once and falls to 0.7 of the old and 0.3 of the new. An item that
     no tick has met for ``kept_hours`` of event time goes: a row with alive false.
+    Items of ``exempt`` sources never go; ``ticks`` then has a source too.
     """
     kept = kept_hours * 3_600_000
 
@@ -92,9 +137,10 @@ def rolling_pool(ticks: DataFrame, kept_hours: int = KEPT_HOURS, inertia: float
             return
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
         held = state.get if state.exists else None
+        stays = bool(exempt) and bool(rows["source"].isin(exempt).any())
         for score, image, ts in zip(rows["score"], rows["image"], rows["ts"], strict=True):
             at = int(pd.Timestamp(ts).timestamp() * 1000)
-            if held is not None and at - held[3] > kept:
+            if held is not None and at - held[3] > kept and not stays:
                 held = None
             if held is None:
                 held = (float(score), image, at, at)
@@ -102,7 +148,8 @@ def rolling_pool(ticks: DataFrame, kept_hours: int = KEPT_HOURS, inertia: float
                 fallen = inertia * held[0] + (1 - inertia) * float(score)
                 held = (float(score) if score >= held[0] else fallen, image if image is not None else held[1], held[2], max(at, held[3]))
         state.update(held)
-        state.setTimeoutTimestamp(max(held[3] + kept, state.getCurrentWatermarkMs() + 1))
+        if not stays:
+            state.setTimeoutTimestamp(max(held[3] + kept, state.getCurrentWatermarkMs() + 1))
         yield row(key, held, True)
 
     stamped = ticks.withWatermark("ts", "1 hour")
