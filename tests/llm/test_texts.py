@@ -44,6 +44,12 @@ def test_packing(odd, none, plain, limits):
     assert packing.pack(none).count() == 0
 
 
+def test_ids_of_very_long_blanks():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 1_500_000, "a" + " " * 1_500_000 + "b <|endoftext|>", "x" + "\n" * 1_000_000 + "y"):
+        assert tokens.token_ids(tokens.default_path(), text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_ids_of_added_tokens():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     end = "<|endoftext|>"

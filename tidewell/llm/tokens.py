@@ -38,6 +38,22 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.cache
+def whole_encoder(path: str):
+    """The `tokenizers` file beside the rank file, for texts that the faster encoder can't take."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(str(Path(path).with_suffix(".json")))
+
+
 def token_ids(path: str, text: str | None) -> np.ndarray:
-    """Ids of one text as unsigned 32-bit little-endian; none for a null or empty text."""
-    return np.array(encoder(path).encode(text or "", allowed_special="all"), "<u4")
+    """Ids of one text as unsigned 32-bit little-endian; none for a null or empty text.
+
+    Runs of some 700,000 blanks and more overflow the faster encoder's stack, which
+    it says; such texts go through the `tokenizers` library.
+    """
+    try:
+        ids = encoder(path).encode(text or "", allowed_special="all")
+    except ValueError:
+        ids = whole_encoder(path).encode(text, add_special_tokens=False).ids
+    return np.array(ids, "<u4")
