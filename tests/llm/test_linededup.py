@@ -29,6 +29,37 @@ def test_runs_match_all_pairs(spark):
         assert got - blank == repeated_lines(rows) and all(r["words"] >= 50 for r in runs)
 
 
+def test_stretches_of_equal_lines_match_all_pairs(spark):
+    """Stretches of heavy and light lines, shorter and longer than what is kept of them, alone and between other lines."""
+    rng = random.Random(11)
+    stock = [" ".join(words(rng, n)) for n in (1, 2, 13, 20, 60)]
+    sides = [" ".join(words(rng, n)) for n in (3, 8, 12, 14)]
+    texts = []
+    for _ in range(22):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            lines += [rng.choice(sides) for _ in range(rng.randrange(3))]
+            lines += [rng.choice(stock)] * rng.choice((1, 2, 3, 4, 5, 7, 12, 60, 120))
+            lines += [""] * rng.randrange(2)
+        texts.append("\n".join(lines + [rng.choice(sides) for _ in range(rng.randrange(3))]))
+    rows = list(enumerate(texts))
+    runs = linededup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], x) for r in runs for x in range(r["first_line"], r["last_line"] + 1)}
+    blank = {(d, i) for d, t in rows for i, x in enumerate(t.split("\n")) if not x.strip()}
+    assert got - blank == repeated_lines(rows)
+    for r in runs:
+        assert r["words"] == sum(len(x.split()) for x in texts[r["doc_id"]].split("\n")[r["first_line"] : r["last_line"] + 1]) >= 50
+
+
+def test_a_log_of_equal_lines_is_one_run(spark):
+    heavy, light = " ".join(f"w{i}" for i in range(14)), "x y"
+    rows = [(1, "\n".join([heavy] * 20_000)), (2, "\n".join([light] * 100_000)), (3, "\n".join(["a", *[light] * 50_000, "b"]))]
+    runs = {tuple(r) for r in linededup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {r for r in runs if r[0] < 3} == {(1, 1, 19_999, 14 * 19_999, 1, 0), (2, 1, 99_999, 2 * 99_999, 2, 0)}
+    # the third repeats the second wherever the ends of both stretches can lie
+    assert {r[4] for r in runs if r[0] == 3} == {2} and {(min(r[1] for r in runs if r[0] == 3), max(r[2] for r in runs if r[0] == 3))} == {(1, 50_000)} and len(runs) < 60
+
+
 def test_native_plan(spark):
     docs = spark.createDataFrame(_rows(1), "doc_id long, text string")
     plan = linededup.dedup_lines(docs)._jdf.queryExecution().toString()

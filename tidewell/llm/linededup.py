@@ -12,6 +12,12 @@ fingerprint's later occurrences are joined to its first one (by doc_id, then
 line), the match is extended both ways while lines are equal, and runs of at
 least MIN_WORDS words are deleted where they come later.
 
+A line that repeats at once, again and again, would match itself at every shift. Of
+a stretch of equal lines only as many at both ends are kept for matching as hold
+MIN_WORDS words, which lose no match: what a match needs of a stretch it finds at
+one of its ends. Within a stretch the lines after the first match those before
+them, and no other shift is tried.
+
 A fingerprint may come first in a document that shares less around it than
 another does. Documents that the fingerprints join are therefore joined once
 more, by the hashes of their shortest runs of MIN_WORDS words from each line on
@@ -80,14 +86,14 @@ def _named(runs: DataFrame) -> DataFrame:
 def _runs(docs: DataFrame, min_words: int) -> DataFrame:
     """repeated_runs of documents whose doc_id is a key that doesn't repeat."""
     parsed = docs.filter("text is not null").select("doc_id", _parsed(F.col("text")).alias("x"))
-    table = cut(parsed.select("doc_id", F.col("x.h").alias("h"), F.col("x.w").alias("w"), F.col("x.at").alias("line")))
+    table = cut(_shortened(parsed.select("doc_id", F.col("x.h").alias("h"), F.col("x.w").alias("w"), F.col("x.at").alias("line")), min_words))
     none = "cast(array() as array<bigint>)"
     pairs = table.withColumn("p", F.expr(f"if(size(h) > 1, transform(sequence(0, size(h) - 2), i -> xxhash64(h[i], h[i + 1])), {none})"))
     lowest = f"int(array_position(slice(p, i + 1, {WINDOW}), array_min(slice(p, i + 1, {WINDOW})))) + i - 1"
     chosen = f"array_distinct(transform(sequence(0, greatest(size(p) - {WINDOW}, 0)), i -> {lowest}))"
-    light = F.expr(f"if(size(p) > 0, transform({chosen}, i -> struct(p[i] as f, i as at)), cast(array() as array<struct<f: bigint, at: int>>))")
-    heavy = F.expr(f"filter(transform(h, (x, i) -> struct(xxhash64(x, 1) as f, i as at)), x -> w[x.at] >= {HEAVY})")
-    prints = pairs.select("doc_id", F.explode(F.concat(light, heavy)).alias("x")).select("doc_id", "x.f", "x.at")
+    light = F.expr(f"if(size(p) > 0, transform({chosen}, i -> struct(p[i] as f, i as at, s[i] as s)), cast(array() as array<struct<f: bigint, at: int, s: int>>))")
+    heavy = F.expr(f"filter(transform(h, (x, i) -> struct(xxhash64(x, 1) as f, i as at, s[i] as s)), x -> w[x.at] >= {HEAVY})")
+    prints = pairs.select("doc_id", F.explode(F.concat(light, heavy)).alias("x")).select("doc_id", "x.f", "x.at", "x.s")
     met = cut(_extended(table, _joined(prints)))
     again = met.select("doc_id").union(met.select("of_doc")).distinct()
     # the lines of the shortest run from line i on, and of the shortest up to it; 0 where there is none
@@ -99,9 +105,10 @@ def _runs(docs: DataFrame, min_words: int) -> DataFrame:
         f"filter(array_distinct(concat({each.format(f'struct(i as at, {onward} as n)')}, "
         f"transform({each.format(f'struct(i as at, {upward} as n)')}, x -> struct(x.at - x.n + 1 as at, x.n as n)))), x -> x.n > 0)"
     )
-    runs = table.filter("size(w) > 0").join(again, "doc_id", "left_semi").withColumn("s", spans)
-    whole = F.explode(F.expr("transform(s, x -> struct(xxhash64(slice(h, x.at + 1, x.n)) as f, x.at as at))"))
-    second = _joined(runs.select("doc_id", whole.alias("x")).select("doc_id", "x.f", "x.at"))
+    runs = table.filter("size(w) > 0").join(again, "doc_id", "left_semi").withColumn("spans", spans)
+    # a run that lies in one stretch is told by it, so that such runs don't meet at every shift
+    whole = F.explode(F.expr("transform(spans, x -> struct(xxhash64(slice(h, x.at + 1, x.n)) as f, x.at as at, if(s[x.at] = s[x.at + x.n - 1], s[x.at], -1 - x.at) as s))"))
+    second = _joined(runs.select("doc_id", whole.alias("x")).select("doc_id", "x.f", "x.at", "x.s"))
     second = second.join(met, ["doc_id", "of_doc", "shift"], "left_anti")
     both = met.unionByName(_extended(table, second)).select("doc_id", "of_doc", F.explode("runs").alias("run"))
     return both.filter(F.col("run.words") >= min_words).select(
@@ -109,12 +116,36 @@ def _runs(docs: DataFrame, min_words: int) -> DataFrame:
     )
 
 
+def _shortened(table: DataFrame, min_words: int) -> DataFrame:
+    """``table`` (doc_id, h, w, line) with the middle of long stretches of equal lines left out.
+
+    Adds s, where each line's stretch begins, and all_w, the words of each line
+    with those of lines left out before it. At each end stay as many lines as
+    have ``min_words`` words, at the first end one more: that which repeats first.
+    """
+    # each step is bound to a name once: an array taken from another in a lambda is made again for every element
+    steps = [
+        ("t", "struct(h, w, line)"),
+        ("b", "filter(sequence(0, size(t.h)), i -> i = 0 or i = size(t.h) or t.h[i] != t.h[i - 1])"),
+        ("r", f"transform(slice(b, 1, greatest(size(b) - 1, 0)), (x, j) -> struct(x as lo, b[j + 1] as hi, int(ceil({min_words} / t.w[x])) as e))"),
+        ("k", "flatten(transform(r, x -> if(x.hi - x.lo > 2 * x.e + 1, concat(sequence(x.lo, x.lo + x.e), sequence(x.hi - x.e, x.hi - 1)), sequence(x.lo, x.hi - 1))))"),
+    ]
+    told = "struct(" + ", ".join(f"transform(k, x -> t.{c}[x]) as {c}" for c in ("h", "w", "line"))
+    told += ", flatten(transform(r, x -> array_repeat(x.lo, int(least(x.hi - x.lo, 2 * x.e + 1))))) as s"
+    told += ", transform(k, (x, i) -> if(i = 0, t.w[x], t.w[x] * (x - k[i - 1]))) as all_w)"
+    for name, value in reversed(steps):
+        told = f"transform(array({value}), {name} -> {told})[0]"
+    some = table.filter("size(h) > 0").select("doc_id", F.expr(told).alias("z"))
+    return some.select("doc_id", "z.h", "z.w", "z.line", "z.s", "z.all_w")
+
+
 def _joined(prints: DataFrame) -> DataFrame:
-    """(doc_id, of_doc, shift): alignments of later occurrences of fingerprints (doc_id, f, at) to the first one."""
-    firsts = prints.groupBy("f").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    """(doc_id, of_doc, shift): alignments of later occurrences of fingerprints (doc_id, f, at, s) to the first one, within a stretch those of neighbours alone."""
+    firsts = prints.groupBy("f").agg(F.min(F.struct("doc_id", "at", "s")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    met = prints.join(firsts.select("f", "first"), "f")
+    inside = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("s") == F.col("first.s"))
     return (
-        prints.join(firsts.select("f", "first"), "f")
-        .select("doc_id", F.col("first.doc_id").alias("of_doc"), (F.col("first.at") - F.col("at")).alias("shift"))
+        met.select("doc_id", F.col("first.doc_id").alias("of_doc"), F.when(inside, F.sign(F.col("first.at") - F.col("at")).cast("int")).otherwise(F.col("first.at") - F.col("at")).alias("shift"))
         .filter("doc_id > of_doc or (doc_id = of_doc and shift < 0)")
         .distinct()
     )
@@ -133,7 +164,7 @@ def _extended(table: DataFrame, shifts: DataFrame) -> DataFrame:
     ends = F.expr("filter(m, (x, i) -> i = size(m) - 1 or m[i + 1] != x + 1)")
     runs = F.expr(
         "transform(r, x -> struct(line[x.s] as first_line, line[x.e] as last_line, "
-        "aggregate(slice(w, x.s + 1, x.e - x.s + 1), 0L, (a, b) -> a + b) as words, of_line[x.s + shift] as of_line))"
+        "aggregate(slice(all_w, x.s + 2, x.e - x.s), bigint(w[x.s]), (a, b) -> a + b) as words, of_line[x.s + shift] as of_line))"
     )
     return met.withColumn("r", F.arrays_zip(starts.alias("s"), ends.alias("e"))).select(*shifts.columns, runs.alias("runs"))
 
