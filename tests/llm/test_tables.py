@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from helpers import components, repeated_lines
 from pyspark.sql import functions as F
 
@@ -68,3 +69,30 @@ def test_pipeline_stages(spark, sf, tmp_path):
             assert set(kept) == {d for d, (_, c) in components(before).items() if d == c}
         docs = after
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    """Beyond 53 bits scores stay exact; what 64 can't hold is refused."""
+    rng = np.random.default_rng(6)
+    for most in (2**20, 2**23):
+        vectors = [(i, [float(x) for x in rng.integers(-most, most, 12)]) for i in range(400)]
+        vectors += [(1000 + i, [x + float(i % 2) for x in vectors[0][1]]) for i in range(40)]
+        table = topk.quantised(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(table.filter("vec_id % 20 = 0"), table, block=16, chunk_bytes=16 * 12 * 8 * 3).collect()}
+        whole = {i: [int(x) * 64 for x in v] for i, v in vectors}
+        want = {}
+        for q in (i for i in whole if i % 20 == 0):
+            best = sorted((-sum(x * y for x, y in zip(whole[q], v, strict=True)), d) for d, v in whole.items() if d != q)[:20]
+            want |= {(q, n): (d, -s) for n, (s, d) in enumerate(best, 1)}
+        assert got == want and max(s for _, s in got.values()) > 2**53
+    huge = topk.quantised(spark.createDataFrame([(0, [1e9] * 12), (1, [1e9] * 12)], "vec_id long, embedding array<double>"))
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(huge, huge)
+
+
+def test_warc_of_rows_without_key(spark, tmp_path):
+    long = "x" * 2000
+    rows = [(None, "http://a/", long), (5, "http://b/", long), (None, "http://c/", "y" * 1500), (None, None, "z"), (5, "http://b/", long), (4, "d", long)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    index = sorted((str(r["record_no"]), r["payload_bytes"], r["record_type"], str(r["refers_to"])) for r in warc.read_index(spark, str(tmp_path / "w")).collect())
+    assert index == [("4", 2000, "revisit", "5"), ("5", 2000, "response", "None"), ("5", 2000, "response", "None"), ("None", 1, "response", "None"), ("None", 1500, "response", "None"), ("None", 2000, "revisit", "5")]

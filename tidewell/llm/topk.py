@@ -29,6 +29,10 @@ CHUNK_BYTES = 8 << 20
 #: Queries that meet a chunk in one group at most, about.
 MAX_GROUP = 20_000
 
+#: Below every score: squared lengths stay under 2^62, and so do inner products.
+NONE = -(2**63) + 1
+MOST_NORM = 2.0**62
+
 _ROWS = "chunk long, ids binary, weights binary, least binary, most binary, query_id long, q array<double>"
 _FOUND = "query_id long, vec_id long, score long"
 
@@ -102,23 +106,25 @@ def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> n
 
 
 def _products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles while every sum fits 53 bits, else in 64-bit integers."""
+    """Exact inner products as 64-bit integers: summed in doubles while every sum fits 53 bits."""
     if np.abs(q).max(initial=0) * np.abs(m).max(initial=0) * q.shape[1] < 2**53:
-        return q @ m.T
-    return (q.astype(np.int64) @ m.astype(np.int64).T).astype(np.float64)
+        return (q @ m.T).astype(np.int64)
+    return q.astype(np.int64) @ m.astype(np.int64).T
 
 
 def through_chunk(asked: np.ndarray, q: np.ndarray, floor: np.ndarray, blocks: list, k: int):
     """(query, vec_id, score) of up to k vectors a query, ``asked`` (q, floor), from ``blocks`` (ids, weights, least, most).
 
     Block by block in the order of each query's bounds, until they fall below its
-    k-th score so far or ``floor``. Scores below that are left out.
+    k-th score so far or ``floor``. Scores below that are left out. Bounds are sums
+    of doubles and are raised by more than their rounding.
     """
     high, low = np.array([b[3] for b in blocks]), np.array([b[2] for b in blocks])
     bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    bound += np.abs(q) @ np.maximum(np.abs(high), np.abs(low)).T * (q.shape[1] * 2.0**-50)
     order = np.argsort(-bound, axis=1, kind="stable")
-    floor, best = floor.copy(), np.full((len(q), k), -np.inf)
-    found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    floor, best = floor.astype(np.int64), np.full((len(q), k), NONE)
+    found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
     for turn in range(len(blocks)):
         at = order[:, turn]
         live = bound[np.arange(len(q)), at] >= floor
@@ -128,8 +134,8 @@ def through_chunk(asked: np.ndarray, q: np.ndarray, floor: np.ndarray, blocks: l
             rows = np.flatnonzero(live & (at == block))
             ids, m = blocks[block][:2]
             scores = _products(q[rows], m)
-            scores[asked[rows, None] == ids] = -np.inf
-            r, c = np.nonzero((scores >= floor[rows, None]) & np.isfinite(scores))
+            scores[asked[rows, None] == ids] = NONE
+            r, c = np.nonzero((scores >= floor[rows, None]) & (scores > NONE))
             for to, x in zip(found, (rows[r], ids[c], scores[r, c]), strict=True):
                 to.append(x)
             best[rows] = -np.partition(-np.concatenate([best[rows], scores], axis=1), k - 1, axis=1)[:, :k]
@@ -179,12 +185,17 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = BLOC
     the shorter ended in zeros. Of rows of ``queries`` with equal ids one asks; a
     repeated vector is a row of its own. No queries or vectors give no rows.
     ``block``, ``chunk_bytes`` and ``group`` bound what a task holds and change no result.
+    Scores are exact 64-bit integers; vectors whose inner products may pass these,
+    by their lengths, are refused.
     """
     spark = queries.sparkSession
     queries = cut(queries.groupBy("vec_id").agg(F.max("v").alias("v")))
     vectors = cut(vectors.select("vec_id", "v"))
-    shape = vectors.agg(F.max(F.size("v")).alias("d"), F.count("*").alias("n")).first()
-    asked = queries.agg(F.max(F.size("v")).alias("d"), F.count("*").alias("n")).first()
+    square = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")
+    shape = vectors.agg(F.max(F.size("v")).alias("d"), F.count("*").alias("n"), square).first()
+    asked = queries.agg(F.max(F.size("v")).alias("d"), F.count("*").alias("n"), square).first()
+    if (longest := float(np.sqrt((shape["norm"] or 0.0) * (asked["norm"] or 0.0)))) >= MOST_NORM:
+        raise ValueError(f"scores may pass 64 bits: lengths multiply to {longest}")
     dims = max(shape["d"] or 1, asked["d"] or 1, 1)
     width = max(1, chunk_bytes // (8 * dims * block))
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -196,9 +207,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = BLOC
     rows = cut(_chunks(both, dims, block, width, parts))
     blocks = rows.filter("query_id is null").select("chunk", "ids", "weights", "least", "most")
     wide = rows.filter("query_id is not null").select(F.col("chunk").alias("home"), "query_id", "q")
-    lowest = F.lit(float("-inf"))
+    lowest = F.lit(NONE)
     near = cut(_score(wide.select(F.col("home").alias("chunk"), "query_id", "q", lowest.alias("floor")), blocks, dims, k, salts))
-    floor = _top(near, k).filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("known"))
+    floor = _top(near, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("known"))
     chunks = blocks.select("chunk").distinct()
     # a stated query set against all blocks: each query is dealt to every other chunk, by key and not as pairs of rows
     all_chunks = F.broadcast(chunks.agg(F.collect_list("chunk").alias("chunks")))

@@ -23,7 +23,8 @@ CRLF = "\r\n"
 def record_header(kind: Column, number: Column, target: Column, sha1: Column, refers: Column, length: Column) -> Column:
     """A WARC/1.1 header with its blank line; a revisit carries no block and names its response.
 
-    A header line can't hold line ends, so those of a target are percent-encoded.
+    A header line can't hold line ends, so those of a target are percent-encoded. A
+    record without number has the id ``urn:page:none``.
     """
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
@@ -36,7 +37,7 @@ def record_header(kind: Column, number: Column, target: Column, sha1: Column, re
     return F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), number.cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(number.cast("string"), F.lit("none")), F.lit(">"))),
         date,
         line("WARC-Target-URI", F.regexp_replace(F.regexp_replace(F.coalesce(target, F.lit("")), "\r", "%0D"), "\n", "%0A")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
@@ -51,7 +52,8 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     """Write one record per row of ``pages``; a null body is an empty payload, a null url an empty target.
 
     Of equal payloads of at least ``least`` bytes the row with the largest key is
-    the response. Rows with equal keys and payloads write equal records. Copies
+    the response; rows without key revisit it, and are responses where no row of
+    the payload has one. Rows with equal keys and payloads write equal records. Copies
     are combined before the shuffle, so a payload with very many takes one row a
     task.
     """
@@ -63,7 +65,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     light = rows.drop("payload")
     leaders = light.filter(F.col("length") >= least).groupBy("digest").agg(F.max("record_no").alias("leader"))
     said = light.join(leaders, "digest", "left")
-    follows = F.coalesce(F.col("record_no") < F.col("leader"), F.lit(False))
+    follows = F.coalesce(F.col("record_no") < F.col("leader"), F.col("leader").isNotNull())
     kind = F.when(follows, F.lit("revisit")).otherwise(F.lit("response"))
     header = record_header(kind, F.col("record_no"), F.col("target"), F.col("sha1"), F.col("leader"), F.col("length"))
     said.select("record_no", header.alias("header"), "digest", (~follows).alias("stored")).write.parquet(f"{path}/headers")
