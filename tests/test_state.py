@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.plans import streams, taste
 from tidewell.streaming import jobs as J
 from tidewell.streaming import stateful as P
+from tidewell.streaming.delivery import DigestSweep, Editions
 from tidewell.streaming.store import Damaged, Files, Parts, Snapshots, in_batches
 from tidewell.streaming.tables import BoundedTable, CountLedger, DayCounts, EnrichmentQueue, newest
 
@@ -204,3 +205,45 @@ def test_parts_replace_themselves(spark, tmp_path):
         parts.put(spark.range(3).select(F.col("id").alias("x")), 4)
     parts.put(spark.range(1).select(F.col("id").alias("x")), 5)
     assert parts.rows().count() == 4 and parts.rows(before=5).count() == 3
+
+
+def test_editions_are_built_once(spark, tmp_path):
+    built = []
+
+    def build(due):
+        rows = due.groupBy("day", "slot").agg(F.count("*").alias("n"))
+        built.append(rows.count())
+        return rows
+
+    editions = Editions(spark, str(tmp_path / "e"), "id long, ts timestamp", build)
+    # hours of universal time; 7, 12 and 19 o'clock in Korea are 22 of the day before, 3 and 10
+    batches = [[(1, _hours(1)), (2, _hours(2))], [(3, _hours(11))], [(4, _hours(11.5))], [(5, _hours(60))]]
+    frames = [spark.createDataFrame(b, "id long, ts timestamp") for b in batches]
+    for n in (0, 1, 1, 2, 3, 2):
+        editions.tick(frames[n], n)
+    got = {(str(r["day"]), r["slot"]): r["n"] for r in editions.editions().collect()}
+    # the first batch ends before any slot; the second passes two at once, the last all in which anything lies
+    assert got == {("2024-01-01", "lunch"): 2, ("2024-01-01", "evening"): 2, ("2024-01-02", "morning"): 4, ("2024-01-02", "lunch"): 2, ("2024-01-02", "evening"): 2}
+    assert built == [0, 2, 2, 0, 3, 0]
+
+
+def test_a_digest_is_sent_once(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def send(endpoint, body):
+        with open(f"{log}/{endpoint}", "a") as f:
+            f.write(body + "\n")
+        return 410 if endpoint == "bad" else 201
+
+    sweep = DigestSweep(spark, str(tmp_path / "s"), send, attempts=2)
+    people = spark.createDataFrame([(1, "one"), (2, "bad"), (3, None), (4, ""), (5, "five"), (1, "one")], "user_id long, endpoint string")
+    first = [(1, "a", 2, "t" * 40, False, 9), (2, "a", 1, "x", False, 8), (3, "a", 1, "x", False, 8), (5, "a", 0, None, None, None)]
+    later = [*first, (1, "b", 1, "grown", True, 7), (5, "b", 3, None, None, None)]
+    frames = [spark.createDataFrame(x, "user_id long, digest string, count long, title string, adult boolean, top_id long") for x in (first, later)]
+    for n, k in ((0, 0), (0, 0), (1, 1), (1, 1), (2, 0)):
+        sweep.sweep(frames[k], people, n)
+    told = {p.name: p.read_text().splitlines() for p in log.iterdir()}
+    assert told == {"one": ["관심글 2개가 올라왔어요 · " + "t" * 30, "관심글 1개가 올라왔어요"], "bad": ["관심글 1개가 올라왔어요 · x"] * 2, "five": ["관심글 3개가 올라왔어요"]}
+    urls = {(r["user_id"], r["digest"]): r["url"] for r in sweep.payload(frames[1]).collect()}
+    assert urls[1, "a"] == "/#post-9" and urls[1, "b"] == "/" == urls[5, "b"]

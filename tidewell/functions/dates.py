@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Hours from which an edition is due.
+SLOT_HOURS = {"morning": 7, "lunch": 12, "evening": 19}
+
+
 def kst_day(ts: Column) -> Column:
     return F.to_date(ts + F.expr("interval 9 hours"))
 

@@ -17,6 +17,7 @@ from tidewell.sources import feeds as S
 from tidewell.sources.adapters import NOW, items, table, tagged_items
 from tidewell.streaming import jobs as J
 from tidewell.streaming import stateful as P
+from tidewell.streaming.delivery import DigestSweep, Editions
 from tidewell.streaming.store import in_batches, scratch
 from tidewell.streaming.tables import BoundedTable, CountLedger, DayCounts, EnrichmentQueue
 
@@ -241,3 +242,53 @@ def stream_pool_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = J.drained(spark, J.rolling_pool(in_batches(ticks, "ts", BATCHES, f"{folder}/in"), exempt=("me",)), "update")
     last = changes.groupBy("id").agg(F.max_by(F.struct("score", "first_seen", "last_seen", "alive"), F.struct("last_seen", ~F.col("alive"))).alias("s"))
     return last.filter("s.alive").select("id", F.round("s.score", 6).alias("score"), _stamp("s.first_seen").alias("first_seen"), _stamp("s.last_seen").alias("last_seen"))
+
+
+@query(
+    """WITH s AS (SELECT day, slot, CAST(day AS TIMESTAMP) + to_hours(h - 9) AS due FROM (SELECT CAST(unnest(generate_series(DATE '2023-12-31', DATE '2024-02-02', INTERVAL 1 DAY)) AS DATE) AS day), (VALUES ('morning', 7), ('lunch', 12), ('evening', 19)) v(slot, h)),
+c AS (SELECT day, slot, user_id, count(*) AS n FROM events JOIN s ON ts <= due AND ts > due - INTERVAL 24 HOUR WHERE due <= (SELECT max(ts) FROM events) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY day, slot ORDER BY n DESC, user_id) AS place FROM c)
+SELECT CAST(day AS VARCHAR) AS day, slot, place, user_id, n FROM r WHERE place <= 5"""
+)
+def due_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five busiest readers of the day before each edition, built when the stream's clock passes its hour; each batch comes twice."""
+    from pyspark.sql import Window
+
+    folder = scratch(spark, "editions")
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "cast(ts AS timestamp) AS ts")
+
+    def build(due: DataFrame) -> DataFrame:
+        counts = due.groupBy("day", "slot", "user_id").agg(F.count("*").alias("n"))
+        place = F.row_number().over(Window.partitionBy("day", "slot").orderBy(F.desc("n"), "user_id"))
+        return counts.withColumn("place", place.cast("long")).filter("place <= 5")
+
+    editions = Editions(spark, folder, "event_id long, user_id long, ts timestamp", build)
+
+    def twice(batch: DataFrame, number: int) -> None:
+        editions.tick(batch, number)
+        editions.tick(batch, number)
+
+    J.run_batches(in_batches(rows, "ts", BATCHES, f"{folder}/in"), "append", twice, f"{folder}/checkpoint")
+    return editions.editions().select(F.col("day").cast("string").alias("day"), "slot", "place", "user_id", "n")
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT user_id, CAST(CAST(ts + INTERVAL 9 HOUR AS DATE) AS VARCHAR) AS digest FROM events WHERE value >= 50 AND user_id % 5 > 0)
+SELECT user_id, digest, CASE WHEN user_id % 7 = 0 THEN 3 ELSE 1 END AS tries, user_id % 7 > 0 AS delivered FROM d"""
+)
+def digest_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's liked items told to each subscriber once, though every batch comes four times; one address in seven always fails and is given up after three."""
+    folder = scratch(spark, "sweep")
+    rows = table(spark, sf_dir, "events").filter("value >= 50").selectExpr("event_id", "user_id", "cast(ts AS timestamp) AS ts")
+    subscriptions = rows.select("user_id").distinct().select("user_id", F.when(F.col("user_id") % 5 > 0, F.concat(F.lit("push/"), (F.col("user_id") % 7).cast("string"))).alias("endpoint"))
+    sweep = DigestSweep(spark, f"{folder}/sent", lambda endpoint, body: 500 if endpoint == "push/0" else 201)
+
+    def each(batch: DataFrame, number: int) -> None:
+        day = F.to_date(F.col("ts") + F.expr("interval 9 hours")).cast("string")
+        digests = batch.groupBy("user_id", day.alias("digest")).agg(F.count("*").alias("count"), F.min("event_id").alias("top_id"), F.lit("title").alias("title"), F.lit(False).alias("adult"))
+        for _ in range(4):
+            sweep.sweep(digests, subscriptions, number)
+
+    J.run_batches(in_batches(rows, "event_id", BATCHES, f"{folder}/in"), "append", each, f"{folder}/checkpoint")
+    sent = sweep.sent().groupBy("user_id", "digest").agg(F.count("*").alias("tries"), F.max(F.col("status") < 300).alias("delivered"))
+    return sent.select("user_id", "digest", "tries", "delivered")

@@ -14,9 +14,9 @@ from tidewell.sources.adapters import NOW, items, preferences, registry, signals
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
-_PAIRS = "pairs AS (SELECT DISTINCT user_id, item_id AS id FROM signals)"
+_PAIRS = "pairs AS MATERIALIZED (SELECT DISTINCT user_id, item_id AS id FROM signals)"
 _TASTE = f"""{_PAIRS},
-sums AS (SELECT p.user_id, p.id, sum(coef * weight) AS t, sum(CASE f.ns WHEN 'tag' THEN coef / 1.3 WHEN 'category' THEN 1 ELSE 0 END * abs(weight)) AS known
+sums AS MATERIALIZED (SELECT p.user_id, p.id, sum(coef * weight) AS t, sum(CASE f.ns WHEN 'tag' THEN coef / 1.3 WHEN 'category' THEN 1 ELSE 0 END * abs(weight)) AS known
   FROM pairs p JOIN feats f ON f.id = p.id JOIN prefs q ON q.user_id = p.user_id AND q.ns = f.ns AND q.key = f.key GROUP BY ALL),
 taste AS (SELECT p.user_id, p.id, coalesce(t, 0) + coalesce(l.weight, 0) * CASE WHEN words >= 400 THEN 1 WHEN words <= 120 THEN -1 ELSE 0 END * 0.4 AS taste,
     round(coalesce(known, 0), 9) AS known, i.score, i.comment_count, i.coverage, i.source, i.category, i.kind, i.ord,

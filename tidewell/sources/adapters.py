@@ -151,7 +151,9 @@ def oracle(body: str, *views: str) -> str:
     wanted = list(views)
     for v in wanted:
         wanted += [x for x in _NEEDS.get(v, []) if x not in wanted]
-    with_ = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in wanted)
+    # what several parts of a query join is made once, so that no plan makes it again for every row
+    made = {n: "AS MATERIALIZED" if n in ("tagged", "feats", "prefs") else "AS" for n in VIEWS}
+    with_ = ",\n".join(f"{n} {made[n]} ({VIEWS[n]})" for n in VIEWS if n in wanted)
     body = body.strip()
     if not with_:
         return body
