@@ -76,3 +76,30 @@ def test_subjects_fall_back_to_the_first_phrase(spark):
     rows = [(1, 0, "삼성 반도체 실적"), (1, 1, "반도체 삼성 전망"), (2, 0, "[속보] 혼자 나온 제목 … 부제")]
     got = {r["issue"]: r["subject"] for r in issue_subjects(spark.createDataFrame(rows, "issue long, place long, title string"), ["issue"]).collect()}
     assert got == {1: "삼성 반도체", 2: "혼자 나온 제목"}
+
+
+def test_times_as_list_pages_print_them(spark):
+    from tidewell.functions.dates import list_time
+
+    want = {
+        "07:30": "2024-01-30 07:30:00", "23:59": "2024-01-30 23:59:00", "12:34:56": "2024-01-30 12:34:56", "00:01": "2024-01-31 00:01:00", "1-30 22:10": "2024-01-30 22:10:00", "02/03 04:05": "2023-02-03 04:05:00",
+        "3시간 전": "2024-01-30 21:00:00", "15 분 전": "2024-01-30 23:45:00", "2일": "2024-01-29 00:00:00", "24.01.15": "2024-01-15 00:00:00", "24/01/30": "2024-01-30 00:00:00",
+        "2024-01-02 03:04:05": "2024-01-02 03:04:05", "25.06.01": None, "nonsense": None, "": None,
+    }
+    rows = spark.createDataFrame([(x,) for x in want], "label string")
+    now = F.expr("timestamp '2024-01-31 00:00:00'")
+    assert {r["label"]: r["at"] for r in rows.select("label", F.date_format(list_time(F.col("label"), now), "yyyy-MM-dd HH:mm:ss").alias("at")).collect()} == want
+
+
+def test_answers_of_all_kinds(spark):
+    """Cut answers and lists without patterns tell so, unknown adapters and empty answers give nothing."""
+    from tidewell.sources.feeds import dispatched
+
+    hits = '{"hits": [{"objectID": "7", "title": "a", "points": 3}, {"objectID": "8", "title": "b", "num_comments": 2}]}'
+    rows = [
+        (1, "s", "hn", hits), (2, "s", "hn", hits[:20]), (3, "s", "hn", None), (4, "s", "hn", '{"hits": []}'), (5, "s", "gopher", hits), (6, "l", "list", "<a href='/1'> x </a><a href='/2'> </a>"), (7, "m", "list", "<a href='/1'>x</a>"),
+        (8, None, "list", ""), (9, "s", "rss", "<rss><item><title>t</title><link>http://x/1</link></item></rss>"), (10, "s", "rss", "nothing"), (11, "s", None, "x"),
+    ]
+    table = spark.createDataFrame(rows, "page_id long, source string, adapter string, body string")
+    got = sorted((r["page_id"], r["place"] if r["place"] is not None else -1, r["title"] or "", r["comments"], r["problem"] or "") for r in dispatched(table, {"l": {"title": r"<a href='([^']+)'>([^<]*)</a>"}}).collect())
+    assert got == [(1, 0, "a", 0, ""), (1, 1, "b", 2, ""), (2, -1, "", 0, "unreadable"), (3, -1, "", 0, "unreadable"), (6, 0, "x", 0, ""), (7, -1, "", 0, "no patterns"), (8, -1, "", 0, "no patterns"), (9, 0, "t", 0, "")]

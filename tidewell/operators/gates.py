@@ -73,7 +73,7 @@ def routed(work: DataFrame) -> DataFrame:
         | F.coalesce(F.lower("title").rlike("|".join(verbs)), F.lit(False))
     )
     ready = F.col("status") == "ready"
-    queue = F.when(needs, "decision_queue").when(~ready | F.col("status").isNull(), "backlog").otherwise(F.concat(F.coalesce("target", F.lit("general")), F.lit("_dispatch")))
+    queue = F.when(needs, "decision_queue").when(~ready | F.col("status").isNull(), "backlog").otherwise(F.concat(F.coalesce(F.nullif("target", F.lit("")), F.lit("general")), F.lit("_dispatch")))
     reason = F.when(needs, "human_approval_required").when(~ready | F.col("status").isNull(), "not_ready").otherwise("ready_for_dispatch")
     return work.withColumns({"next_queue": queue, "reason": reason})
 

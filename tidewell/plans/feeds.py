@@ -55,7 +55,16 @@ def listed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query()
+_LINK = '<li><a href="(/[^"]+)">([^<]+)</a></li>'
+#: Matches of a list page with the text after each, whose place follows from the lengths of all before it.
+_LISTED = f"""p AS (SELECT page_id, html, regexp_extract_all(html, '{_LINK}') AS m, regexp_extract_all(html, '{_LINK}', 1) AS u, regexp_extract_all(html, '{_LINK}', 2) AS t, regexp_split_to_array(html, '{_LINK}') AS s FROM pages),
+x AS (SELECT page_id, k, m[k] AS m, u[k] AS url, trim(t[k]) AS title, substring(html, CAST(list_sum(list_transform(s[1:k], lambda a: length(a))) + list_sum(list_transform(m[1:k], lambda a: length(a))) AS BIGINT) + 1, 200) AS after FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM p))"""
+
+
+@query(
+    f"""WITH {_LISTED}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS place FROM x WHERE NOT contains(m, 'href="/the') AND title <> '')
+SELECT page_id, place, title, url, CAST(NULL AS VARCHAR) AS "at", CAST(nullif(regexp_extract(after, '<a href="/(\\d+)"', 1), '') AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS comments, CAST(NULL AS DOUBLE) AS views, CAST(NULL AS VARCHAR) AS thumb FROM r WHERE place < 60"""
+)
 def listed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of list pages with what stands around them."""
     config = {"title": r'<li><a href="(/[^"]+)">([^<]+)</a></li>', "exclude": r'href="/the', "score": r'<a href="/(\d+)"', "after": 200}
@@ -192,3 +201,25 @@ def registry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, enabled, country FROM registry WHERE enabled AND NOT adult AND country = 'us'", "registry")
 def registry_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry(spark, sf_dir).filter("enabled and not adult and country = 'us'").select("source", "enabled", "country")
+
+
+@query(
+    f"""WITH {_LISTED}, k AS (SELECT page_id, 'src' || (page_id % 5) AS source, ['hn', 'json', 'reddit', 'rss', 'list', 'gopher'][page_id % 6 + 1] AS adapter, page_id % 7 = 0 AS bad FROM pages),
+l AS (SELECT page_id, k, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS place, title, url FROM x WHERE title <> '')
+SELECT page_id, source, adapter, 0 AS place, 'T' || page_id AS title, CASE adapter WHEN 'hn' THEN 'https://news.ycombinator.com/item?id=' || page_id WHEN 'json' THEN 'https://dev.to/p/' || page_id WHEN 'reddit' THEN 'https://reddit.com/r/' || page_id ELSE 'http://x.example/' || page_id END AS url,
+  CASE WHEN adapter = 'rss' THEN 0 ELSE page_id % 50 END AS score, CASE adapter WHEN 'hn' THEN 0 WHEN 'rss' THEN page_id % 9 ELSE 3 END AS comments, NULL AS problem FROM k WHERE adapter IN ('hn', 'json', 'reddit', 'rss') AND NOT (bad AND adapter <> 'rss')
+UNION ALL SELECT page_id, source, adapter, NULL, NULL, NULL, 0, 0, 'unreadable' FROM k WHERE bad AND adapter IN ('hn', 'json', 'reddit')
+UNION ALL SELECT page_id, source, adapter, NULL, NULL, NULL, 0, 0, 'no patterns' FROM k WHERE adapter = 'list' AND source = 'src1'
+UNION ALL SELECT page_id, source, adapter, place, title, url, 0, 0, NULL FROM l JOIN k USING (page_id) WHERE adapter = 'list' AND source <> 'src1' AND place < 60"""
+)
+def source_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved answers of all kinds, one in seven of them cut short, each by its source's adapter."""
+    name = "string(page_id)"
+    body = f"""CASE page_id % 6
+      WHEN 0 THEN to_json(named_struct('hits', array(named_struct('objectID', {name}, 'title', concat('T', page_id), 'points', page_id % 50))))
+      WHEN 1 THEN to_json(array(named_struct('id', page_id, 'title', concat('T', page_id), 'path', concat('/p/', page_id), 'positive_reactions_count', page_id % 50, 'comments_count', 3)))
+      WHEN 2 THEN to_json(named_struct('data', named_struct('children', array(named_struct('data', named_struct('id', {name}, 'title', concat('T', page_id), 'permalink', concat('/r/', page_id), 'score', page_id % 50, 'num_comments', 3))))))
+      WHEN 3 THEN concat('<rss><item><title>T', page_id, '</title><link>http://x.example/', page_id, '</link><slash:comments>', page_id % 9, '</slash:comments></item></rss>') ELSE html END"""
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id", "concat('src', page_id % 5) AS source", "array('hn', 'json', 'reddit', 'rss', 'list', 'gopher')[page_id % 6] AS adapter", f"{body} AS body")
+    rows = rows.withColumn("body", F.when((F.col("page_id") % 7 == 0) & (F.col("page_id") % 6 < 3), F.expr("substring(body, 1, length(body) - 2)")).otherwise(F.col("body")))
+    return S.dispatched(rows, {f"src{i}": {"title": _LINK} for i in (0, 2, 3, 4)})

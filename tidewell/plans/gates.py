@@ -173,7 +173,7 @@ _WORK = "SELECT o_orderkey AS id, ['review', 'Pay the invoice', 'update payload'
 
 @query(
     f"""WITH w AS ({_WORK}), n AS (SELECT *, needs OR risk IN ('high', 'critical') OR regexp_matches(lower(title), 'publish|delete|pay|buy') AS ask FROM w)
-SELECT id, CASE WHEN ask THEN 'decision_queue' WHEN status IS NULL OR status <> 'ready' THEN 'backlog' ELSE coalesce(target, 'general') || '_dispatch' END AS next_queue,
+SELECT id, CASE WHEN ask THEN 'decision_queue' WHEN status IS NULL OR status <> 'ready' THEN 'backlog' ELSE coalesce(nullif(target, ''), 'general') || '_dispatch' END AS next_queue,
   CASE WHEN ask THEN 'human_approval_required' WHEN status IS NULL OR status <> 'ready' THEN 'not_ready' ELSE 'ready_for_dispatch' END AS reason FROM n"""
 )
 def router(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,13 +297,19 @@ def archive_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT CAST(range AS DATE) AS day FROM range(DATE '2024-01-01', DATE '2024-01-20', INTERVAL 1 DAY)), e AS (SELECT day, s AS slot, day || '/' || s AS edition FROM d, (VALUES ('morning'), ('lunch')) t(s) WHERE day(day) % 4 > 1)
+    """WITH t AS (SELECT CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, CASE WHEN hour(ts + INTERVAL 9 HOUR) >= 19 THEN 'evening' WHEN hour(ts + INTERVAL 9 HOUR) >= 12 THEN 'lunch' WHEN hour(ts + INTERVAL 9 HOUR) >= 7 THEN 'morning' END AS slot, event_type FROM events),
+d AS (SELECT DISTINCT day FROM t), e AS (SELECT day, slot, day || '/' || slot || '/' || count(*) AS edition FROM t WHERE event_type = 'signup' AND slot IN ('morning', 'lunch') AND day(day) % 4 > 1 GROUP BY day, slot)
 SELECT CAST(d.day AS VARCHAR) AS day, s AS slot, coalesce(a.edition, b.edition, 'live') AS edition FROM d CROSS JOIN (VALUES ('morning'), ('lunch'), ('evening')) t(s) LEFT JOIN e a ON a.day = d.day AND a.slot = s LEFT JOIN e b ON b.day = d.day - 1 AND b.slot = s"""
 )
 def edition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = spark.sql("SELECT explode(sequence(date '2024-01-01', date '2024-01-19')) AS day")
-    asked = days.select("day", F.explode(F.array(*map(F.lit, ("morning", "lunch", "evening")))).alias("slot"))
-    kept = asked.filter("slot != 'evening' and day(day) % 4 > 1").select("day", "slot", F.concat_ws("/", F.col("day").cast("string"), "slot").alias("edition"))
+    """Editions that hold the signups of a slot, kept on some days alone, asked for on every day that has events."""
+    from tidewell.functions.dates import due_slot, kst_day
+
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    rows = rows.select(kst_day(F.col("ts")).alias("day"), due_slot(F.hour(F.col("ts") + F.expr("interval 9 hours"))).alias("slot"), "event_type")
+    asked = rows.select("day").distinct().select("day", F.explode(F.array(*map(F.lit, ("morning", "lunch", "evening")))).alias("slot"))
+    held = rows.filter("event_type = 'signup' and slot in ('morning', 'lunch') and day(day) % 4 > 1").groupBy("day", "slot").agg(F.count("*").alias("n"))
+    kept = held.select("day", "slot", F.concat_ws("/", F.col("day").cast("string"), "slot", F.col("n").cast("string")).alias("edition"))
     return G.edition_for(asked, kept).withColumn("day", F.col("day").cast("string"))
 
 

@@ -62,7 +62,7 @@ def feed_image(block: Column, description: Column, content: Column, base: Column
 
 def related_count(description: Column, feed_url: Column) -> Column:
     """List items of a description that the news service bundles; 0 from elsewhere."""
-    bundled = F.coalesce(feed_url.rlike("(?i)news\\.google\\.com"), F.lit(False)) | description.rlike("(?i)news\\.google\\.com")
+    bundled = F.coalesce(feed_url.cast("string").rlike("(?i)news\\.google\\.com"), F.lit(False)) | description.rlike("(?i)news\\.google\\.com")
     return F.when(bundled, F.regexp_count(description, F.lit(r"(?i)&lt;li&gt;|<li[\s>]"))).otherwise(0)
 
 
@@ -275,6 +275,45 @@ def _item(id_: Column, title: Column, summary: Column, url: Column, score: Colum
     )
 
 
+#: Interfaces whose answers one expression reads, by the adapter that a source names.
+INTERFACES = {"hn": hacker_rows, "json": article_rows, "reddit": board_rows}
+
+
+def dispatched(bodies: DataFrame, lists: dict[str, dict]) -> DataFrame:
+    """(page_id, source, adapter, place, title, url, score, comments, problem) of saved answers (page_id, source, adapter, body).
+
+    Each is read by its source's adapter: ``rss``, ``list`` with the source's
+    patterns of ``lists`` ('' for those without), or one of INTERFACES. An answer
+    that an interface can't read and a list without patterns give one row that
+    tells so, an adapter that nobody knows gives none, and neither stops the others.
+    """
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+
+    def rows(df: DataFrame, title: str, url: str, score: Column = zero, comments: Column = zero) -> DataFrame:
+        return df.select("page_id", "source", "adapter", F.col("place").cast("long").alias("place"), F.col(title).alias("title"), F.col(url).alias("url"), score.cast("long").alias("score"), F.coalesce(comments.cast("long"), zero).alias("comments"), none.alias("problem"))
+
+    def failed(df: DataFrame, why: str) -> DataFrame:
+        return df.select("page_id", "source", "adapter", F.lit(None).cast("long").alias("place"), none.alias("title"), none.alias("url"), zero.alias("score"), zero.alias("comments"), F.lit(why).alias("problem"))
+
+    read = F.when(F.lit(False), hacker_rows(F.col("body")))
+    for name, reader in INTERFACES.items():
+        read = read.when(F.col("adapter") == name, reader(F.col("body")))
+    answers = bodies.filter(F.col("adapter").isin(*INTERFACES)).withColumn("items", read)
+    met = answers.select("page_id", "source", "adapter", F.posexplode("items").alias("place", "i"))
+    out = rows(met, "i.title", "i.url", F.col("i.score"), F.col("i.comments")).unionByName(failed(answers.filter("items is null"), "unreadable"))
+    keys = bodies.select("page_id", "source", "adapter")
+    feeds = feed_items(bodies.filter("adapter = 'rss'").select(F.col("page_id").alias("feed_url"), F.col("body").alias("xml")))
+    out = out.unionByName(rows(feeds.withColumnRenamed("feed_url", "page_id").join(keys, "page_id"), "title", "url", zero, F.col("comments")))
+    pages = bodies.filter("adapter = 'list'")
+    for source, config in lists.items():
+        own = pages.filter(F.col("source") == source) if source else pages.filter(~F.coalesce("source", F.lit("")).isin(*[s for s in lists if s]))
+        found = listed_items(own.select("page_id", F.col("body").alias("html")), config).join(keys, "page_id")
+        out = out.unionByName(rows(found, "title", "url", F.coalesce("score", F.lit(0.0)), F.col("comments")))
+    if "" not in lists:
+        out = out.unionByName(failed(pages.filter(~F.coalesce("source", F.lit("")).isin(*lists)), "no patterns"))
+    return out
+
+
 @F.pandas_udf(StringType())
 def decode_cp949(raw: pd.Series) -> pd.Series:
     """Text of bytes in the extended Korean code page, which SQL's decode doesn't know; bad bytes as replacement characters."""
