@@ -167,3 +167,32 @@ def test_top_of_events_is_the_plain_one(spark):
                 n, told = n + 1, told | {key}
                 taken[source] += 1
     assert {(r["category"], r["id"], r["place"]) for r in S.top_of_events(frame, "category", 3, 1).collect()} == want
+
+
+def test_arranged_puts_out_whole_lists(spark):
+    """Through Spark as by the kernel alone, for lists longer than any page; a limit leaves out what is beyond it and nothing else."""
+    rng = random.Random(9)
+    rows = [(u, u * 10_000 + i, f"s{rng.randrange(9)}", round(rng.random() * 40, 2), rng.randrange(2), i) for u, n in ((1, 900), (2, 3), (3, 1)) for i in range(n)]
+    table = spark.createDataFrame(rows, "user_id long, id long, source string, age double, prefer int, ord long").repartition(4)
+    for most in (None, 700):
+        got = {}
+        for r in S.arranged(table, "user_id", S.latest(), ["age", "ord"], most).orderBy("user_id", "place").collect():
+            got.setdefault(r["user_id"], []).append(r["id"])
+        for u in (1, 2, 3):
+            mine = pd.DataFrame(sorted((r for r in rows if r[0] == u), key=lambda r: (r[3], r[5])), columns=table.columns)[:most]
+            assert got[u] == mine["id"].iloc[S.latest()(mine)].tolist()
+            assert sorted(got[u]) == sorted(mine["id"])
+
+
+def test_clusters_of_long_editions(spark):
+    rng = random.Random(4)
+    rows = [("e", i, f"k{rng.randrange(200)}" if i % 3 else None, [f"t{rng.randrange(60)}" for _ in range(3)], i) for i in range(450)]
+    got = {r["id"]: (r["issue"], r["place"]) for r in S.clustered(spark.createDataFrame(rows, "edition string, id long, key string, tags array<string>, ord long"), "edition", ["ord"]).collect()}
+    issues: list[list] = []
+    for _, i, key, tags, _ in rows:
+        at = next((n for n, m in enumerate(issues) if any((key and key == k) or len(set(tags) & set(t)) >= 2 for k, t in m)), len(issues))
+        issues += [[]] if at == len(issues) else []
+        issues[at].append((key, tags))
+        assert got[i] == (at, len(issues[at]) - 1)
+    few = S.clustered(spark.createDataFrame(rows, "edition string, id long, key string, tags array<string>, ord long"), "edition", ["ord"], most=50).collect()
+    assert {r["id"]: (r["issue"], r["place"]) for r in few} == {i: got[i] for i in range(50)}

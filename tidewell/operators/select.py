@@ -1,8 +1,9 @@
 """Order-dependent selection: pages, interleaves, shares and caps, where each choice depends on those before.
 
-Spark cuts every reader's candidates to a bounded number by windows; what is
-greedy then runs on one reader's list (or one edition's) at a time. A kernel takes
-that list as a pandas frame in order and gives the positions it puts out.
+What is greedy runs on one reader's list (or one edition's) at a time, which a
+task holds whole: it is as long as what that reader was offered. Where only the
+first so many of a list count, Spark cuts it by a window before. A kernel takes a
+list as a pandas frame in order and gives the positions it puts out.
 """
 
 from __future__ import annotations
@@ -21,10 +22,15 @@ def _order(by: str) -> Column:
     return F.desc(by.removesuffix(" desc")) if by.endswith(" desc") else F.asc(by)
 
 
-def arranged(rows: DataFrame, by: str, kernel: Callable[[pd.DataFrame], list[int]], order: list[str], most: int = 500) -> DataFrame:
-    """(by, id, place): each group's first ``most`` rows by ``order``, put out as ``kernel`` has them; place from 0."""
+def arranged(rows: DataFrame, by: str, kernel: Callable[[pd.DataFrame], list[int]], order: list[str], most: int | None = None) -> DataFrame:
+    """(by, id, place): each group's rows by ``order``, put out as ``kernel`` has them; place from 0.
+
+    All rows count, or with ``most`` each group's first ones alone: what is beyond
+    them is left out of the result, so it is for pages that never get there.
+    """
     w = Window.partitionBy(by).orderBy(*map(_order, order))
-    cut = rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most)
+    cut = rows.withColumn("__r", F.row_number().over(w))
+    cut = cut if most is None else cut.filter(F.col("__r") <= most)
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("__r", kind="stable").reset_index(drop=True)
@@ -299,13 +305,17 @@ def top_of_events(rows: DataFrame, by: str, n: int, per_source: int, value: str
             told.add(key)
         return out
 
-    return arranged(few_rows.select(by, "id", "source", "key", value, "ord"), by, kernel, [f"{value} desc", "ord"], 1 << 30)
+    return arranged(few_rows.select(by, "id", "source", "key", value, "ord"), by, kernel, [f"{value} desc", "ord"])
 
 
-def clustered(rows: DataFrame, by: str, order: list[str], shared: int = 2, most: int = 200) -> DataFrame:
-    """(by, id, issue, place): rows (id, key, tags) of each group in order join the first issue that has their event key or a row with ``shared`` equal tags."""
+def clustered(rows: DataFrame, by: str, order: list[str], shared: int = 2, most: int | None = None) -> DataFrame:
+    """(by, id, issue, place): rows (id, key, tags) of each group in order join the first issue that has their event key or a row with ``shared`` equal tags.
+
+    All rows of a group count, or with ``most`` its first ones alone.
+    """
     w = Window.partitionBy(by).orderBy(*map(_order, order))
-    few = rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).select(by, "id", "key", "tags", "__r")
+    few = rows.withColumn("__r", F.row_number().over(w)).select(by, "id", "key", "tags", "__r")
+    few = few if most is None else few.filter(F.col("__r") <= most)
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("__r")

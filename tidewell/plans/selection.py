@@ -51,21 +51,21 @@ def select_diverse_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def diversify_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.arranged(_ranked(candidates(spark, sf_dir)), "user_id", S.diversified(), ["score desc", "ord"], 60)
+    return S.arranged(_ranked(candidates(spark, sf_dir)), "user_id", S.diversified(), ["score desc", "ord"])
 
 
 @query()
 def recycled_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second ten of what a reader has seen already: by hotness, made diverse, then cut from an offset."""
     rows = candidates(spark, sf_dir).drop("score").withColumn("score", F.col("hot"))
-    out = S.arranged(rows, "user_id", S.diversified(), ["hot desc", "ord"], 60)
+    out = S.arranged(rows, "user_id", S.diversified(), ["hot desc", "ord"])
     return out.filter("place >= 10 and place < 20")
 
 
 @query()
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = candidates(spark, sf_dir).withColumn("weight", F.lit(1.0))
-    return S.arranged(rows, "user_id", S.round_robin(), ["hot desc", "ord"], 120)
+    return S.arranged(rows, "user_id", S.round_robin(), ["hot desc", "ord"])
 
 
 @query()
