@@ -207,6 +207,34 @@ def sound_paragraph(text: Column, source: Column, least: int = 40, most: int = 7
     return F.coalesce(fit, F.lit(False))
 
 
+# Words that advertise more than is known, claims of having used what is sold, and claims without ground.
+BANNED_COPY = "최저가|최저 가|역대급|지금만|오늘만|마감임박|한정|초특가|공짜|무료 증정|폭탄|떨이"
+CLAIMED_USE = r"이거\s*(진짜|정말|완전)|써\s*보니|먹어\s*보니|입어\s*보니|읽어\s*보니|받아\s*보니|후기|내돈내산|재구매"
+BANNED_CLAIMS = [
+    r"업계\s*1위", r"판매\s*1위", "최저가", "무조건", r"100%\s*(보장|확실|만족)", "보장(합니다|돼요|됩니다|해요)", r"\d+(\.\d+)?%\s*(덜|줄어|감소|늘어|증가)",
+    r"\d+\s*(명|개)\s*(이|가)?\s*(구매|판매|주문|샀)", r"후기\s*\d+(\.\d+)?\s*점", r"리뷰\s*\d+",
+]
+#: Lengths of the parts of an advert's card.
+CARD = {"hook": (6, 30), "line": (10, 46), "cta": (3, 12)}
+
+
+def sound_copy(text: Column, least: int, most: int) -> Column:
+    """Whether an advert's words have a fit length and no digit, percent sign, markup, banned word or claim of use; null isn't sound."""
+    t = F.trim(text)
+    return F.coalesce(F.length(t).between(least, most) & ~t.rlike("[0-9%％]") & ~t.rlike(BANNED_COPY) & ~t.rlike(CLAIMED_USE) & ~t.rlike("<[^>]+>"), F.lit(False))
+
+
+def sound_card(hook: Column, line: Column, cta: Column) -> Column:
+    """Whether all three parts of a card are sound; one that isn't spoils it."""
+    parts = {"hook": hook, "line": line, "cta": cta}
+    return sound_copy(parts["hook"], *CARD["hook"]) & sound_copy(parts["line"], *CARD["line"]) & sound_copy(parts["cta"], *CARD["cta"])
+
+
+def banned_claim(text: Column) -> Column:
+    """Whether words claim a rank, a certainty, an effect or a number of buyers or reviews that nobody has measured."""
+    return F.coalesce(text.rlike("|".join(f"(?:{p})" for p in BANNED_CLAIMS)), F.lit(False))
+
+
 # --- joins ---
 
 

@@ -127,3 +127,29 @@ def url_winners(rows: DataFrame, url: Column, value: Column) -> DataFrame:
 def hotness(now: Column) -> Column:
     """The older score: reactions by logarithm and freshness of two days, a half of it for unknown ages."""
     return half_up(0.7 * F.log10(1 + raw_engagement()) + 0.6 * freshness(hours_between(now, F.col("published_at"))), 3)
+
+
+#: Items that a source may hold at once, by its kind.
+CAPS = {"news": 20, "community": 100}
+
+
+def resolved_cap(kind: Column, everywhere: int | None = None, by_kind: dict[str, int] | None = None, set_by_kind: dict[str, int] | None = None, shared: int | None = None) -> Column:
+    """A source's cap: one set for everywhere, else the caller's for its kind, else that of the settings, else the settings' shared one, else CAPS. Kinds but news count as community."""
+    if everywhere is not None:
+        return F.lit(everywhere)
+
+    def of(name: str) -> int:
+        for told in (by_kind or {}, set_by_kind or {}):
+            if told.get(name) is not None:
+                return int(told[name])
+        return CAPS[name] if shared is None else int(shared)
+
+    return F.when(kind == "news", of("news")).otherwise(of("community"))
+
+
+def per_source(rows: DataFrame, cap: Column, exempt: tuple[str, ...] = ("seed", "me"), order: tuple[Column, ...] = ()) -> DataFrame:
+    """``rows`` (source, published_at, ord) of each source within its ``cap``, the newest; a cap of 0 is none, and ``exempt`` sources keep all."""
+    order = order or (F.desc("published_at"), F.asc("ord"))
+    free = F.coalesce(F.col("source").isin(*exempt), F.lit(False)) | (cap <= 0)
+    place = F.row_number().over(Window.partitionBy("source").orderBy(*order))
+    return rows.withColumns({"__cap": cap, "__free": free}).withColumn("__place", F.when(~F.col("__free"), place)).filter("__free or __place <= __cap").drop("__cap", "__free", "__place")

@@ -187,3 +187,15 @@ def issue_subjects(members: DataFrame, by: list[str], least: int = 2, most: int
     shared = top.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]), " ").alias("s"))
     lead = members.filter("place = 0").select(*by, lead_phrase(F.col("title")).alias("lead"))
     return lead.join(shared, by, "left").select(*by, F.coalesce("s", "lead").alias("subject"))
+
+
+#: How excerpts begin that say nothing of their page.
+FILLER = "^(직접 눌러|자세한 내용은|내용을 확인|클릭하여|더 보기)"
+
+
+def own_summaries(rows: DataFrame, least: int = 20, most: int = 200) -> DataFrame:
+    """A published list with ``summary`` cut at ``most`` and blank where it isn't the item's own: under ``least`` characters, met twice in the list, or filler."""
+    rows = rows.withColumn("summary", F.substring(F.coalesce("summary", F.lit("")), 1, most)).withColumn("__k", F.trim("summary"))
+    times = rows.filter("__k != ''").groupBy("__k").agg(F.count("*").alias("__times"))
+    own = (F.length("__k") >= least) & (F.coalesce("__times", F.lit(1)) == 1) & ~F.col("__k").rlike(FILLER)
+    return rows.join(times, "__k", "left").withColumn("summary", F.when(own, F.col("summary")).otherwise("")).drop("__k", "__times")

@@ -24,7 +24,8 @@ def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(feed_url, xml): feeds of ten documents each, every third of Atom, every fourth of the news service."""
     item = f"""CASE WHEN doc_id div 10 % 3 = 0 THEN concat('<entry><title>', {_bare('text', 60)}, '</title><link href="http://x.example/', doc_id, '"/><summary>&lt;p&gt;', {_bare('text', 60)}, ' more &amp;amp; more&lt;/p&gt;</summary><updated>2024-01-0', doc_id % 9 + 1, 'T08:00:00Z</updated></entry>')
       ELSE concat('<item><title><![CDATA[', {_bare('text', 60)}, ']]></title><link>http://x.example/', doc_id, '</link><description>&lt;ol&gt;', repeat('&lt;li&gt;a&lt;/li&gt;', int(doc_id % 4)), '&lt;/ol&gt;note &amp;hellip; ', doc_id, '</description><pubDate>Tue, 0', doc_id % 9 + 1, ' Jan 2024 08:00:00 GMT</pubDate><slash:comments>', doc_id % 5, '</slash:comments>',
-        CASE doc_id % 4 WHEN 0 THEN concat('<media:thumbnail url="//cdn.example/', doc_id, '.jpg"/>') WHEN 1 THEN concat('<enclosure type="audio/mp3" url="http://x/a.mp3"/><enclosure type="image/png" url="/p/', doc_id, '.png"/>') ELSE '' END, '</item>') END"""
+        CASE doc_id % 4 WHEN 0 THEN concat('<media:thumbnail url="//cdn.example/', doc_id, '.jpg"/>') WHEN 1 THEN concat('<enclosure type="audio/mp3" url="http://x/a.mp3"/><enclosure type="image/png" url="/p/', doc_id, '.png"/>')
+          WHEN 2 THEN concat('<media:content type="video/mp4" url="http://x/v.mp4"/><media:content medium="audio" url="http://x/b.mp3"/><media:content medium="image" url="//m.example/', doc_id, '.jpg"/>') ELSE '' END, '</item>') END"""
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id div 10 AS feed", f"{item} AS item")
     made = rows.groupBy("feed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))), lambda x: x["item"]), "").alias("body"))
     url = "if(feed % 4 = 1, concat('https://news.google.com/rss/', feed), concat('http://feed.example/', feed))"
@@ -36,7 +37,7 @@ def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE WHEN feed % 4 = 1 THEN 'https://news.google.com/rss/' ELSE 'http://feed.example/' END || feed AS feed_url, title,
   CASE WHEN feed % 3 = 0 THEN 'more & more' ELSE repeat('a ', CAST(doc_id % 4 AS INTEGER)) || 'note … ' || doc_id END AS summary,
   'http://x.example/' || doc_id AS url, CASE WHEN feed % 3 > 0 AND doc_id % 5 > 0 THEN doc_id % 5 END AS comments,
-  CASE WHEN feed % 3 > 0 THEN CASE doc_id % 4 WHEN 0 THEN 'http://cdn.example/' || doc_id || '.jpg' WHEN 1 THEN 'http://x.example/p/' || doc_id || '.png' END END AS image,
+  CASE WHEN feed % 3 > 0 THEN CASE doc_id % 4 WHEN 0 THEN 'http://cdn.example/' || doc_id || '.jpg' WHEN 1 THEN 'http://x.example/p/' || doc_id || '.png' WHEN 2 THEN 'http://m.example/' || doc_id || '.jpg' END END AS image,
   CASE WHEN feed % 3 > 0 AND feed % 4 = 1 THEN doc_id % 4 ELSE 0 END AS coverage, '2024-01-0' || (doc_id % 9 + 1) || ' 08:00' AS at
 FROM d WHERE title <> ''"""
 )
@@ -200,7 +201,7 @@ def registry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, enabled, country FROM registry WHERE enabled AND NOT adult AND country = 'us'", "registry")
 def registry_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry(spark, sf_dir).filter("enabled and not adult and country = 'us'").select("source", "enabled", "country")
+    return S.registry_query(registry(spark, sf_dir), enabled=True, adult=False, country="us", feed_group=None).select("source", "enabled", "country")
 
 
 @query(

@@ -206,6 +206,21 @@ def sound_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", G.sound_paragraph(F.col("t"), F.lit("of 17 and 300")).alias("sound"))
 
 
+_COPY = ["' 써 보니'", "' 100% 만족'", "' 후기 4.5점'", "' 판매 1위'", "' 30명이 구매'", "' 오늘만'", "'％'", "' 보장해요'"]
+_SUFFIX = "CASE {0} % 11 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(_COPY)) + " ELSE '' END"
+
+
+@query(
+    f"""WITH t AS (SELECT event_id, substring('a word of copy that runs on', 1, 2 + CAST(event_id % 26 AS INTEGER)) || {_SUFFIX.format('event_id')} AS hook, repeat('line ', CAST(event_id % 12 AS INTEGER)) AS line, CASE WHEN event_id % 13 = 0 THEN '<b>' ELSE 'go on' END AS cta FROM events)
+SELECT event_id, length(trim(hook, ' ')) BETWEEN 6 AND 30 AND event_id % 11 NOT IN (0, 1, 2, 3, 4, 5, 6) AND length(trim(line, ' ')) BETWEEN 10 AND 46 AND event_id % 13 > 0 AS sound, event_id % 11 IN (1, 2, 3, 4, 7) AS claims FROM t"""
+)
+def sound_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of advert copy with all kinds of claims, and whether they may stand."""
+    hook = f"concat(substring('a word of copy that runs on', 1, 2 + int(event_id % 26)), {_SUFFIX.format('event_id')})"
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", f"{hook} AS hook", "repeat('line ', int(event_id % 12)) AS line", "if(event_id % 13 = 0, '<b>', 'go on') AS cta")
+    return rows.select("event_id", G.sound_card(F.col("hook"), F.col("line"), F.col("cta")).alias("sound"), G.banned_claim(F.col("hook")).alias("claims"))
+
+
 # --- joins ---
 
 

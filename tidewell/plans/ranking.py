@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.maths import probit
 from tidewell.operators import hot
+from tidewell.operators import publish as P
 from tidewell.plans.base import Catalogue
 from tidewell.sources.adapters import NOW, items, registry, table
 
@@ -128,6 +129,24 @@ def ranking_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("id", "source", F.round("value", 4).alias("value"))
 
 
+@query(
+    _HOT
+    + """, e AS (SELECT * FROM hot WHERE raw >= 30 OR coverage >= 3),
+v AS (SELECT id, source, ord, hot + least(coverage, 5) * 0.05 AS value FROM e),
+c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY value DESC, ord) AS r FROM v),
+t AS (SELECT id FROM c WHERE r <= 2 ORDER BY c.value DESC, ord LIMIT 30),
+told AS (SELECT id, CASE id % 5 WHEN 0 THEN '자세한 내용은 ' || coalesce(summary, '') WHEN 1 THEN 'the same words on every page of a site' WHEN 2 THEN 'short' ELSE coalesce(summary, '') END AS s FROM items JOIN t USING (id)),
+blank AS (SELECT id, substring(s, 1, 200) AS summary, trim(substring(s, 1, 200), ' ') AS k FROM told)
+SELECT id, CASE WHEN length(k) < 20 OR count(*) OVER (PARTITION BY k) > 1 OR k LIKE '자세한 내용은%' THEN '' ELSE summary END AS summary FROM blank""",
+    "items",
+)
+def ranking_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of the ranking page, blank where they are filler, too short or their site's own on every page."""
+    told = "CASE id % 5 WHEN 0 THEN concat('자세한 내용은 ', coalesce(summary, '')) WHEN 1 THEN 'the same words on every page of a site' WHEN 2 THEN 'short' ELSE summary END"
+    rows = ranking_top(spark, sf_dir).select("id").join(items(spark, sf_dir).selectExpr("id", f"{told} AS summary"), "id")
+    return P.own_summaries(rows).select("id", "summary")
+
+
 @query(
     """
 WITH e AS (SELECT CAST(published_at AS DATE) AS day, id % 97 AS story, source, score + 2 * comment_count AS hot, ord FROM items),
@@ -158,6 +177,19 @@ def per_source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("r <= 100").filter("r <= if(kind = 'news', 20, 100)").select("id", "source")
 
 
+@query(
+    """WITH i AS (SELECT id, CASE WHEN id % 50 = 0 THEN 'me' ELSE source END AS source, kind, published_at, ord FROM items),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published_at DESC, ord) AS r FROM i)
+SELECT id, source FROM r WHERE source = 'me' OR kind <> 'news' OR r <= 7""",
+    "items",
+)
+def per_source_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caps by settings: seven for news, by the caller over the settings, none for communities, and a reader's own posts exempt."""
+    rows = items(spark, sf_dir).select("id", F.when(F.col("id") % 50 == 0, "me").otherwise(F.col("source")).alias("source"), "kind", "published_at", "ord")
+    cap = hot.resolved_cap(F.col("kind"), by_kind={"news": 7}, set_by_kind={"news": 3, "community": 0}, shared=5)
+    return hot.per_source(rows, cap).select("id", "source")
+
+
 _CANON = r"""p AS (SELECT page_id AS id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)) AS base,
   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS path, string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&') AS parts FROM pages),
 k AS (SELECT id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p),

@@ -350,3 +350,11 @@ def registry_summary(registry: DataFrame) -> DataFrame:
         F.struct(F.when(F.col("adult"), "adult").alias("what"), F.lit("").alias("key")), F.struct(F.lit("country").alias("what"), F.col("country").alias("key")),
     )
     return registry.select(F.explode(pairs).alias("p")).filter("p.what is not null").groupBy("p.what", "p.key").agg(F.count("*").alias("n"))
+
+
+def registry_query(registry: DataFrame, **wanted) -> DataFrame:
+    """Rows of a registry whose columns have the values ``wanted``; None is no constraint, and a row without a value meets none."""
+    for column, value in wanted.items():
+        if value is not None:
+            registry = registry.filter(F.col(column) == F.lit(value))
+    return registry
