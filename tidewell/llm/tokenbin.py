@@ -27,6 +27,9 @@ TYPES = {2: "<u2", 4: "<u4"}
 #: Pieces packed together, about: this many bounds a task's memory to some 16 MB of ids.
 GROUP = 4096
 
+#: Bytes that a writer buffers before it writes a row group.
+ROW_GROUP = 16 << 20
+
 _ROWS = "row_id long, n_segments int, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<bigint>, doc_nos array<bigint>, starts array<bigint>"
 
 
@@ -137,7 +140,7 @@ def packed_rows(
 
 def write_matrices(packed: DataFrame, path: str) -> None:
     """Write packed rows as Parquet: the ids of a file's rows joined are a matrix of rows times capacity, and so are the positions."""
-    packed.write.option("compression", "zstd").parquet(path)
+    packed.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 def read_matrices(spark: SparkSession, path: str) -> DataFrame:
