@@ -106,7 +106,21 @@ def classification_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", settled.alias("category"))
 
 
-@query()
+def _tags_sql(words: list[str], short: list[str], most: int = 8) -> str:
+    """Words of a list claim their first places, longest first; then tokens that none of them is."""
+    ordered = sorted({w for w in words if len(w) > 1}, key=lambda w: (-len(w), w))
+    places = ", ".join(f"{{'w': '{w}', 's': instr(t, '{w.lower()}'), 'n': {len(w)}}}" for w in ordered)
+    stop, few = (", ".join(f"'{w}'" for w in ws) for ws in (STOP, short))
+    return f"""WITH l AS (SELECT id, lower(coalesce(title, '')) AS t FROM items),
+m AS (SELECT id, t, list_filter([{places}], lambda x: x.s > 0) AS met FROM l),
+c AS (SELECT id, t, list_transform(list_reduce(list_prepend(list_filter(met, lambda x: false), list_transform(met, lambda x: [x])),
+    lambda held, x: CASE WHEN len(held) >= {most} OR len(list_filter(held, lambda h: x[1].s < h.s + h.n AND x[1].s + x[1].n > h.s)) > 0 THEN held ELSE list_concat(held, x) END), lambda x: x.w) AS claimed FROM m),
+k AS (SELECT id, claimed, list_filter(regexp_extract_all(t, '[a-z][a-z0-9]{{1,15}}'), lambda w: w NOT IN ({stop}) AND (length(w) > 2 OR w IN ({few})) AND NOT list_contains(list_transform(claimed, lambda c: lower(c)), w)) AS mine FROM c),
+n AS (SELECT id, claimed, list_transform(list_filter(list_transform(range(1, len(mine) + 1), lambda i: {{'w': mine[i], 'first': list_position(mine, mine[i]) = i}}), lambda x: x.first), lambda x: x.w) AS mine FROM k)
+SELECT id, coalesce(array_to_string(list_concat(claimed, mine)[1:{most}], ','), '') AS tags FROM n"""
+
+
+@query(_tags_sql([w for ws in LISTS.values() for w in ws], ["ai", "is"]), "items")
 def dictionary_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of titles by a dictionary, longest words first, then latin tokens; each claim depends on those before."""
     words = [w for ws in LISTS.values() for w in ws]
@@ -129,6 +143,17 @@ def decoded_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.decode_entities(F.expr(f"concat({raw}, page_id)")).alias("t"))
 
 
-@query()
+@query(
+    r"""WITH a AS (SELECT id, trim(coalesce('[first] ' || title, ''), ' ') AS x FROM items),
+m AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(x, '^\s*[\[【(<][^\]】)>]{0,12}[\]】)>]\s*', ''), '^\s*[\[【(<][^\]】)>]{0,12}[\]】)>]\s*', ''), '^\s*[\[【(<][^\]】)>]{0,12}[\]】)>]\s*', '') AS x FROM a),
+p AS (SELECT id, coalesce(list_filter(list_transform(regexp_split_to_array(x, '[…·|]|—|\.\.\.|\s-\s'), lambda y: trim(y, ' ')), lambda y: y <> '')[1], '') AS x FROM m),
+q AS (SELECT id, regexp_replace(regexp_replace(x, '^["“''‘\s]+', ''), '["”''’\s]+$', '') AS x FROM p),
+c AS (SELECT id, x, substring(x, 1, 20) AS cut, 20 - instr(reverse(substring(x, 1, 20)), ' ') AS blank FROM q),
+s AS (SELECT id, CASE WHEN length(x) <= 20 THEN x ELSE trim(CASE WHEN contains(cut, ' ') AND blank >= 8 THEN left(cut, CAST(blank AS BIGINT)) ELSE cut END, ' ') END AS x FROM c),
+t AS (SELECT id, CASE WHEN len(regexp_extract_all(x, '[“‘]')) <> len(regexp_extract_all(x, '[”’]')) THEN regexp_replace(x, '[“”‘’]', '', 'g') ELSE x END AS x FROM s),
+u AS (SELECT id, CASE WHEN len(regexp_extract_all(x, '["'']')) % 2 = 1 THEN regexp_replace(x, '["'']', '', 'g') ELSE x END AS x FROM t)
+SELECT id, trim(regexp_replace(x, '[\s,·、:;–—-]+$', ''), ' ') AS phrase FROM u""",
+    "items",
+)
 def lead_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("id", T.lead_phrase(F.concat(F.lit("[first] "), F.col("title"))).alias("phrase"))

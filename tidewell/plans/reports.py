@@ -13,7 +13,7 @@ from tidewell.operators import publish as P
 from tidewell.plans.audience import _ADS, _METRICS, _ads, source_health
 from tidewell.plans.audience import CATALOGUE as AUDIENCE
 from tidewell.plans.base import Catalogue
-from tidewell.sources.adapters import NOW, items, signals, table, track_events
+from tidewell.sources.adapters import NOW, items, met_items, signals, table, track_events
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -149,7 +149,7 @@ def admin_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SHOWN = """shown AS (SELECT 'p' || (e.user_id % 6) AS persona, e.user_id // 6 AS session, e.event_id % 3 AS page, e.event_id AS ord, i.source, i.title, e.event_type = 'click' AS clicked, i.category IN ('c1', 'c2') AS wanted,
-  CASE WHEN i.id % 9 > 0 THEN epoch(TIMESTAMP '2024-01-31 00:00:00' - i.published_at) / 3600.0 END AS age FROM events e JOIN items i ON i.id = e.event_id % 200)"""
+  CASE WHEN i.id % 9 > 0 THEN epoch(TIMESTAMP '2024-01-31 00:00:00' - i.published_at) / 3600.0 END AS age FROM events e JOIN items i ON i.id = e.event_id % (SELECT count(*) FROM documents))"""
 
 
 @query(
@@ -164,7 +164,7 @@ FROM w JOIN t USING (persona) JOIN d USING (persona) LEFT JOIN a ON a.persona =
     "items",
 )
 def feed_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").selectExpr("concat('p', user_id % 6) AS persona", "user_id div 6 AS session", "event_id % 3 AS page", "event_id AS ord", "event_type = 'click' AS clicked", "event_id % 200 AS id")
+    events = met_items(spark, sf_dir).selectExpr("concat('p', user_id % 6) AS persona", "user_id div 6 AS session", "event_id % 3 AS page", "event_id AS ord", "event_type = 'click' AS clicked", "item_id AS id")
     age = F.when(F.col("id") % 9 > 0, hot.hours_between(F.expr(NOW), F.col("published_at")))
     shown = events.join(items(spark, sf_dir).select("id", "source", "title", F.col("category").isin("c1", "c2").alias("wanted"), age.alias("age")), "id")
     out = A.feed_quality(shown)

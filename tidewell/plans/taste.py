@@ -9,7 +9,7 @@ from tidewell.operators import hot
 from tidewell.operators import taste as U
 from tidewell.plans.base import Catalogue
 from tidewell.plans.ranking import _HOT
-from tidewell.sources.adapters import NOW, items, preferences, registry, signals, table, tagged_items
+from tidewell.sources.adapters import NOW, items, met_items, preferences, registry, signals, table, tagged_items
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -29,7 +29,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals(spark, sf_dir).select("user_id", F.col("item_id").alias("id")).distinct()
 
 
-@query(f"WITH {_TASTE} SELECT user_id, id, round(taste, 9) AS taste, round(known, 9) AS known FROM taste", "prefs")
+@query(f"WITH {_TASTE} SELECT user_id, id, round(taste, 9) + 0.0 AS taste, round(known, 9) AS known FROM taste", "prefs")
 def taste_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = U.taste_scores(_pairs(spark, sf_dir), tagged_items(spark, sf_dir), preferences(spark, sf_dir))
     return rows.select("user_id", "id", F.round("taste", 9).alias("taste"), F.round("known", 9).alias("known"))
@@ -247,14 +247,14 @@ def source_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def learning_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likes and dislikes, and what other events tell without a word, with the steps they make."""
     kind = "CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'complete' WHEN 'error' THEN 'skip' WHEN 'signup' THEN 'dwell' END"
-    rows = table(spark, sf_dir, "events").selectExpr("user_id", "event_id % 200 AS id", "event_id AS ord", f"{kind} AS kind", "if(value >= 50, 1, -1) AS signal", "value * 1000 AS dwell_ms")
+    rows = met_items(spark, sf_dir).selectExpr("user_id", "item_id AS id", "event_id AS ord", f"{kind} AS kind", "if(value >= 50, 1, -1) AS signal", "value * 1000 AS dwell_ms")
     met = rows.join(items(spark, sf_dir).select("id", "words"), "id")
     step = F.when(F.col("kind").isNull(), U.feedback_step(F.col("signal"))).otherwise(U.implicit_step(F.col("kind"), F.col("dwell_ms"), F.col("words")))
     return met.select("user_id", "id", "ord", step.alias("step"))
 
 
 #: Every weight's own steps with their places among the reader's events, folded; the fold's state is {w, pos}.
-LEARNT_SQL = """WITH k AS (SELECT event_id, user_id, event_id % 200 AS id, CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'complete' WHEN 'error' THEN 'skip' WHEN 'signup' THEN 'dwell' END AS kind, value FROM events),
+LEARNT_SQL = """WITH k AS (SELECT event_id, user_id, event_id % (SELECT count(*) FROM documents) AS id, CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'complete' WHEN 'error' THEN 'skip' WHEN 'signup' THEN 'dwell' END AS kind, value FROM events),
 e AS (SELECT user_id, k.event_id, category, source, tags, words, CASE k.kind WHEN 'open' THEN 0.12 * 0.3 WHEN 'complete' THEN 0.12 WHEN 'skip' THEN -0.12 * 0.6
     WHEN 'dwell' THEN 0.12 * greatest(-1, least(1, (value * 1000 / greatest(4000, least(60000, greatest(20, coalesce(words, 40)) * 180.0)) - 0.4) / 0.6)) ELSE CASE WHEN value >= 50 THEN 0.35 ELSE -0.35 END END AS step
   FROM k JOIN tagged t ON k.id = t.id),

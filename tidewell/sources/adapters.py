@@ -50,11 +50,16 @@ def track_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def met_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with item_id: the document that each meets, by its id's place among as many as there are."""
+    there = table(spark, sf_dir, "documents").agg(F.count("*").alias("__n"))
+    rows = table(spark, sf_dir, "events").crossJoin(F.broadcast(there))
+    return rows.withColumn("item_id", F.expr("event_id % nullif(__n, 0)")).drop("__n")
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, item_id, signal, ts, event_id): a like for values from 50 on, else a dislike."""
-    return table(spark, sf_dir, "events").selectExpr(
-        "user_id", "event_id % 200 AS item_id", "if(value >= 50, 1, -1) AS signal", "cast(ts AS timestamp) AS ts", "event_id"
-    )
+    return met_items(spark, sf_dir).selectExpr("user_id", "item_id", "if(value >= 50, 1, -1) AS signal", "cast(ts AS timestamp) AS ts", "event_id")
 
 
 #: Words that name no subject in the test texts.
@@ -120,7 +125,7 @@ VIEWS = {
              CAST(floor(value * 1000) AS BIGINT) AS dwell_ms
       FROM events""",
     "signals": """
-      SELECT user_id, event_id % 200 AS item_id, CASE WHEN value >= 50 THEN 1 ELSE -1 END AS signal, ts, event_id FROM events""",
+      SELECT user_id, event_id % (SELECT count(*) FROM documents) AS item_id, CASE WHEN value >= 50 THEN 1 ELSE -1 END AS signal, ts, event_id FROM events""",
     "tagged": f"""
       SELECT *, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z][a-z0-9]{{1,15}}'), lambda t: length(t) > 2 AND t NOT IN ({", ".join(f"'{w}'" for w in STOP)}))) AS tags
       FROM items""",
