@@ -181,6 +181,7 @@ def josa(word: Column, closed: str, open_: str) -> Column:
 
 def classifier_title(title: Column) -> Column:
     """A title for learning: outlet tail, then one lead tag off; lower case; letters, digits and single blanks."""
+    # fixed values
     out = F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+-\s+[^-]{1,30}$", ""), LEAD_TAG, "")
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(out), "[^0-9a-z가-힣 ]", " "), " +", " "))
 
@@ -261,6 +262,7 @@ def long_words(text: Column) -> Column:
 def lead_phrase(title: Column, most: int = 20) -> Column:
     """The first phrase of a title: up to three lead marks off, cut where a subtitle begins, then at a blank if too long; no loose marks at its ends."""
     out = F.trim(F.coalesce(title, F.lit("")))
+    # fixed values
     for _ in range(3):
         out = F.regexp_replace(out, r"^\s*[\[【(<][^\]】)>]{0,12}[\]】)>]\s*", "")
     parts = F.filter(F.transform(F.split(out, r"[…·|]|—|\.\.\.|\s-\s"), F.trim), lambda p: p != "")
@@ -301,6 +303,7 @@ def excerpt(text: Column, most: int, mark: str = "") -> Column:
 def deal_parts(title: Column) -> Column:
     """struct<mall, name, price> of a title like [mall] name (price): null where not told; the whole title where no name is left."""
     t = F.trim(title)
+    # fixed values
     mall = F.nullif(F.regexp_extract(t, r"^\[([^\]]{1,20})\]", 1), F.lit(""))
     price = F.nullif(F.trim(F.regexp_extract(t, r"\(([^()]*?[\d,]+\s*원[^()]*)\)\s*$", 1)), F.lit(""))
     name = F.trim(F.regexp_replace(F.regexp_replace(t, r"^\[[^\]]{1,20}\]\s*", ""), r"\s*\([^()]*[\d,]+\s*원[^()]*\)\s*$", ""))

@@ -154,6 +154,7 @@ def image_url(url: Column, sound: Column) -> Column:
 def junk_image(url: Column) -> Column:
     """Whether an image url is a banner's or a placeholder's, or a video thumbnail without a proper id."""
     host, path = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#:]*)", 1)), F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
+    # fixed values
     video = host.rlike(r"(^|\.)(youtube|ytimg)\.com$") & ~path.rlike(r"^/vi/[A-Za-z0-9_-]{11}/")
     return path.rlike(r"(?i)(?:^|/)(?:banner|banners|ad|ads|adimg)/") | path.rlike(r"(?i)(?:^|/)(?:test|sample|noimage|no_image|noimg|default|dummy|thumb_default)\.(?:png|jpe?g|gif|webp)$") | video
 

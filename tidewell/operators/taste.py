@@ -213,6 +213,7 @@ def survey_weights(answers: DataFrame) -> DataFrame:
 
     q, c = F.col("question"), F.col("choice")
     humor, meme, longform = F.lit("humor"), F.lit("meme"), F.lit("longform")
+    # fixed values
     adds = (
         F.when(q == "categories", F.array(gives("category", c, 1.0)))
         .when(q == "communities", F.array(gives("source", c, 1.5)))

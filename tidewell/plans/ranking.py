@@ -18,6 +18,7 @@ def now():
     return F.expr(NOW)
 
 
+# fixed values: the approximation's coefficients
 _PROBIT = """
 CASE WHEN q < 0.02425 THEN
   (((((-7.784894002430293e-03*sqrt(-2*ln(q))-3.223964580411365e-01)*sqrt(-2*ln(q))-2.400758277161838e+00)*sqrt(-2*ln(q))-2.549732539343734e+00)*sqrt(-2*ln(q))+4.374664141464968e+00)*sqrt(-2*ln(q))+2.938163982698783e+00)

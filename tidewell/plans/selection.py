@@ -10,6 +10,7 @@ from tidewell.operators import hot
 from tidewell.operators import select as S
 from tidewell.operators import taste as U
 from tidewell.plans.base import Catalogue
+from tidewell.plans.pages import _KEY
 from tidewell.sources.adapters import NOW, items, preferences, registry, signals, table, tagged_items
 
 CATALOGUE = Catalogue()
@@ -119,7 +120,19 @@ def cap_one_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.one_category_capped(rows, "user_id", [F.asc("ord")], 0.6).select("user_id", "id", F.col("place").cast("long").alias("place"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE i AS (SELECT category, id, source, ord, score + 2 * comment_count + 50 * coverage AS value, {_KEY} AS k FROM items),
+o AS (SELECT category, id, source, CASE WHEN length(k) >= 10 THEN k END AS key, row_number() OVER (PARTITION BY category ORDER BY value DESC, ord) AS n FROM i),
+s(category, n, ids, sources, keys) AS (
+  SELECT category, n, [id], [coalesce(source, '')], [coalesce(key, '')] FROM o WHERE n = 1
+  UNION ALL SELECT category, n, CASE WHEN fits THEN list_append(ids, id) ELSE ids END, CASE WHEN fits THEN list_append(sources, source) ELSE sources END, CASE WHEN fits THEN list_append(keys, key) ELSE keys END
+  FROM (SELECT o.category, o.n, ids, sources, keys, o.id, coalesce(o.source, '') AS source, coalesce(o.key, '') AS key,
+      len(list_filter(sources, lambda x: x = coalesce(o.source, ''))) < 2 AND NOT (o.key IS NOT NULL AND list_contains(keys, o.key)) AS fits
+    FROM s JOIN o ON o.category = s.category AND o.n = s.n + 1 WHERE len(ids) < 3)),
+e AS (SELECT category, arg_max(ids, n) AS ids FROM s GROUP BY 1)
+SELECT category, unnest(ids) AS id, unnest(range(len(ids))) AS place FROM e""",
+    "items",
+)
 def category_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three items of each category, two an outlet, no event twice."""
     rows = items(spark, sf_dir).select("category", "id", "source", "ord", F.expr("score + 2 * comment_count + 50 * coverage").alias("value"), T.event_key(F.col("title")).alias("key"))

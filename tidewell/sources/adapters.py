@@ -162,4 +162,7 @@ def oracle(body: str, *views: str) -> str:
     body = body.strip()
     if not with_:
         return body
-    return f"WITH {with_}, {body[4:].lstrip()}" if body.upper().startswith("WITH") else f"WITH {with_}\n{body}"
+    for opening in ("WITH RECURSIVE", "WITH"):
+        if body.upper().startswith(opening):
+            return f"{opening} {with_}, {body[len(opening) :].lstrip()}"
+    return f"WITH {with_}\n{body}"

@@ -178,6 +178,7 @@ def page_image(html: Column, url: Column) -> Column:
         src = F.coalesce(_attribute(tag, "src"), _attribute(tag, "data-src"))
         sides = [F.coalesce(F.nullif(F.regexp_extract(tag, rf"(?i)\b{s}=[\"']?(\d+)", 1), F.lit("")).cast("int"), F.lit(0)) for s in ("width", "height")]
         small = ((sides[0] > 0) & (sides[0] < 150)) | ((sides[1] > 0) & (sides[1] < 150))
+        # fixed values
         ornament = src.startswith("data:") | src.rlike("(?i)(logo|icon|sprite|avatar|profile|blank|spacer|pixel|1x1|banner_|btn_|emoticon)")
         return F.when(~small & ~ornament, F.trim(decode_entities(src)))
 
@@ -213,6 +214,7 @@ def trend_rows(html: Column) -> Column:
 
 def useful_term(term: Column) -> Column:
     t = F.trim(term)
+    # fixed values
     return F.length(t).between(2, 40) & ~t.rlike(r"[^가-힣ㄱ-ㆎa-zA-Z0-9·\-.&'’\s]")
 
 
