@@ -45,7 +45,9 @@ def test_merkle_matches_plain_trees(spark, height):
     rows += [rows[0], rows[0], ("a", None, _digest("none"), None), ("hot", None, _digest("none"), None)]
     rng.shuffle(rows)
     table = spark.createDataFrame(rows, "grp string, o long, hexed string, path string").repartition(3)
-    met = merkle.manifest(table.select("grp", "o", F.unhex("hexed").alias("digest")), "grp", "o", height=height)
+    clashing = {"n": F.lit(1), "g": F.lit("x"), "level": F.lit(2), "up": F.lit("y"), "kept": F.lit(0.5), "odd name": F.lit(True)}
+    met = merkle.manifest(table.select("grp", "o", "path", F.unhex("hexed").alias("digest")).withColumns(clashing), "grp", "o", height=height)
+    assert set(met.columns) == {"grp", "o", "digest", "subroot", "root", "path", *clashing}
     got = [(r["grp"], r["o"], r["digest"].hex(), r["subroot"], r["root"], [(s["l"].hex(), s["r"].hex()) for s in r["path"]]) for r in met.collect()]
     assert sorted(map(str, got)) == _plain_manifest([r[:3] for r in rows])
     folded = met.select(merkle.fold(F.col("digest")).alias("folded"), "root").collect()

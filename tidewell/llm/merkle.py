@@ -17,6 +17,7 @@ import hashlib
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewell.llm.common import cut, read, shared_dir
 
@@ -134,7 +135,6 @@ def _offsets(ordered: DataFrame) -> tuple[dict[int, tuple[int, int]], int]:
 def _local(ordered: DataFrame, offsets: dict, arity: int, height: int) -> DataFrame:
     """``ordered`` (g, digest, ...) with the top of each row's local subtree (level, idx), its path there and, once a top, that node's digest and n."""
     block = arity**height
-    names = ordered.columns
 
     def build(batches):
         import pyarrow as pa
@@ -179,8 +179,8 @@ def _local(ordered: DataFrame, offsets: dict, arity: int, height: int) -> DataFr
             n = at + len(held)
             yield from segment(held, at, n if n == last_total else None)
 
-    schema = ", ".join(f"`{c}` {ordered.schema[c].dataType.simpleString()}" for c in names)
-    return ordered.mapInArrow(build, f"{schema}, level int, idx long, up {_PATH}, top binary, n long")
+    added = ordered.sparkSession.createDataFrame([], f"level int, idx long, up {_PATH}, top binary, n long").schema
+    return ordered.mapInArrow(build, StructType([*ordered.schema.fields, *added.fields]))
 
 
 def _finish(nodes: DataFrame, top: int, arity: int) -> DataFrame:
@@ -277,13 +277,15 @@ def manifest(rows: DataFrame, group: str, order: str, height: int = HEIGHT) -> D
 
     Leaves of a group ascend by ``order``, nulls first and equal ones by digest;
     groups ascend by name, null first, as UTF-8 bytes. The only leaf of the only
-    group is the root, with no path.
+    group is the root, with no path. Other columns stay, but for those of the
+    results' names.
     """
-    tree = Tree(rows.withColumn("g", F.col(group).cast("string")).withColumnRenamed(order, "o"), ["o"], height=height)
+    others = [c for c in rows.columns if c not in (order, "digest", "subroot", "root", "path")]
+    tree = Tree(rows.select(F.col(group).cast("string").alias("g"), F.col(order).alias("o"), "digest", F.struct(*others).alias("kept")), ["o"], height=height)
     above = Tree(tree.roots.select(F.lit(None).cast("string").alias("g"), F.col("g").alias("name"), "digest"), ["name"], height=height)
     tops = above.with_paths(above.roots.select("g", F.array().cast(_PATH).alias("path"), hex_text(F.col("digest")).alias("root")))
     tops = tops.select(F.col("name").alias("g"), "path", hex_text(F.col("digest")).alias("subroot"), "root")
-    return tree.with_paths(tops).drop("g").withColumnRenamed("o", order)
+    return tree.with_paths(tops).select(F.col("o").alias(order), "digest", "kept.*", "subroot", "root", "path")
 
 
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
