@@ -107,6 +107,25 @@ def test_hard_negatives_of_few_rows(spark):
         hardneg.mine(huge, huge)
 
 
+def test_anchors_are_not_broadcast(spark):
+    """What is sent to every executor has a row a chunk; anchors' rings, pivots times as many, stay where they are."""
+    rng = np.random.default_rng(5)
+    prepared = hardneg.prepared(_vectors(spark, [(i, [float(x) for x in rng.normal(size=6)], i % 3, "x") for i in range(400)]))
+    index = hardneg.Index(prepared, max_chunk=40, per_pivot=60, rings=7)
+    asked = prepared.withColumnRenamed("vec_id", "query_id").withColumn("floor", F.lit(-1e30))
+    lines = index._intervals(asked, False)._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [n for n, line in enumerate(lines) if "BroadcastExchange" in line]
+    assert at
+    for n in at:
+        depth = lines[n].index("BroadcastExchange")
+        below = []
+        for line in lines[n + 1 :]:
+            if len(line) - len(line.lstrip(" :+-")) <= depth:
+                break
+            below.append(line)
+        assert not any("MapInArrow" in line for line in below)
+
+
 def _plain_links(rows, least=0.95):
     known = {k: np.array(v, float) for k, (i, v, _, _) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     root, links = list(range(len(rows))), [0] * len(rows)

@@ -11,6 +11,9 @@ key; the k-th score found there bounds how wide the scan of the other chunks mus
 be, and within a task it goes outwards chunk by chunk, until the distance bound of
 what remains certifies the k best.
 
+Files of anchors say little of what their annuli become in memory, so tables with a
+row an anchor or more are joined by shuffles; the headings of chunks are broadcast.
+
 Scores are exact integers; distances only say what needs no look and are widened
 by more than their rounding.
 """
@@ -184,7 +187,8 @@ class Index:
         ring = lambda c: F.least(F.floor(F.col(c) / space.width), F.lit(space.rings - 1)).cast("int")
         chunks = self.chunks.select("chunk", F.col("pivot").alias("own"), "low", "high", ring("low").alias("c0"), ring("high").alias("c1"))
         spans = spans.withColumn("ring", F.explode(F.sequence("r0", "r1")))
-        chunks = chunks.withColumn("ring2", F.explode(F.sequence("c0", "c1")))
+        # what is broadcast are the headings of chunks, a row for thousands of vectors, never the anchors' rings
+        chunks = F.broadcast(chunks.withColumn("ring2", F.explode(F.sequence("c0", "c1"))))
         met = spans.join(chunks, (F.col("pivot") == F.col("own")) & (F.col("ring") == F.col("ring2")))
         if home:
             gap = F.greatest(F.lit(0.0), F.col("low") - F.col("at"), F.col("at") - F.col("high"))
@@ -214,7 +218,7 @@ class Index:
         count = asked.count()
         salts = max(1, -(-count // GROUP))
         salt = F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int")
-        dealt = pairs.join(asked, "query_id").withColumn("salt", salt)
+        dealt = pairs.join(asked.hint("merge"), "query_id").withColumn("salt", salt)
         chunks = self.chunks.select(*[F.col(c).alias(c) for c in self.chunks.columns]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         return dealt.groupBy("chunk", "salt").cogroup(chunks.groupBy("chunk", "salt")).applyInArrow(work, "query_id long, window long, vec_id long, score long")
 
@@ -236,10 +240,10 @@ class Index:
         raised = kth.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("window", "kth"))).alias("known"))
         place = F.transform("windows", lambda w, i: F.struct(F.greatest(w["least"], F.element_at("known", i.cast("long"))).alias("least"), w["most"].alias("most")))
         home = self._intervals(asked, True).select("query_id", F.col("chunk").alias("home"))
-        again = asked.join(raised, "query_id", "left").withColumn("windows", place).drop("known", "floor")
+        again = asked.join(raised.hint("merge"), "query_id", "left").withColumn("windows", place).drop("known", "floor")
         floor = F.array_min(F.transform("windows", lambda w: F.coalesce(w["least"].cast("double"), anything)))
         again = cut(again.withColumn("floor", floor))
-        rest = self._intervals(again, False).join(home, "query_id", "left").filter("home is null or home != chunk").drop("home")
+        rest = self._intervals(again, False).join(home.hint("merge"), "query_id", "left").filter("home is null or home != chunk").drop("home")
         return _best(near.drop("rank").union(self._scan(again, rest, k, same)), k)
 
 
@@ -323,10 +327,10 @@ def mine(anchors: DataFrame, vectors: DataFrame, positives: int = POSITIVES, neg
     whole = asked.withColumn("windows", F.array(window(F.lit(None), F.lit(None))))
     found = cut(index.search(whole, positives, True).select("query_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"), "rank").filter("positive_score >= 0"))
     listed = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "positive_id", "positive_score"))).alias("p"))
-    ready = asked.join(listed, "query_id").withColumn("windows", F.transform("p", lambda p: window(_share(p["positive_score"], lowest), p["positive_score"])))
+    ready = asked.join(listed.hint("merge"), "query_id").withColumn("windows", F.transform("p", lambda p: window(_share(p["positive_score"], lowest), p["positive_score"])))
     met = index.search(ready.select("query_id", "label", "v", "windows"), negatives, False)
     place = listed.select("query_id", F.posexplode("p").alias("window", "p"))
-    return met.join(place.withColumn("window", F.col("window").cast("long")), ["query_id", "window"]).select(
+    return met.join(place.withColumn("window", F.col("window").cast("long")).hint("merge"), ["query_id", "window"]).select(
         F.col("query_id").alias("anchor_id"), "p.positive_id", "rank", F.col("vec_id").alias("negative_id"), "p.positive_score", F.col("score").alias("negative_score")
     )
 
