@@ -52,6 +52,9 @@ def test_text_functions(spark):
     assert one(T.title_features(F.col("c0")), "반도체 ai 가") == ["반도", "도체", "반도체", "ai", "가"]
     assert one(T.dictionary_tags(F.col("c0"), ["전기차", "전기차 충전", "충전"], ["the"], ["ai"]), "전기차 충전 the AI xx chatgpt") == ["전기차 충전", "ai", "chatgpt"]
     assert one(T.lead_phrase(F.col("c0")), "[단독](종합) 여러 낱말로 된 아주 긴 제목이 여기 있다 … 부제") == "여러 낱말로 된 아주 긴 제목이"
+    # digits at the ends of parts stay; blanks with a mark on them, vertical tabs and line separators are no white space
+    for title, phrase in [("00 jours 0 - 11", "00 jours 0"), (" … a", "a"), ("abc\x0b - d", "abc\x0b"), ("abc\"\u2028", "abc\u2028"), ("abcdefghij k \u0301lmnopqrs", "abcdefghij k")]:
+        assert one(T.lead_phrase(F.col("c0")), title) == phrase
     assert one(T.tidy_phrase(F.col("c0")), "이 대통령 “북한과 대결, ") == "이 대통령 북한과 대결"
     assert one(T.mentions(F.col("c0"), F.lit("ai")), "he said so") is False and one(T.mentions(F.col("c0"), F.lit("ai")), "AI, now") is True
     assert one(T.mentions(F.col("c0"), F.lit("재건축")), "재건축이 온다") is True and one(T.mentions(F.col("c0"), F.lit("법")), "방법") is False
