@@ -106,3 +106,23 @@ def test_answers_of_all_kinds(spark):
     table = spark.createDataFrame(rows, "page_id long, source string, adapter string, body string")
     got = sorted((r["page_id"], r["place"] if r["place"] is not None else -1, r["title"] or "", r["comments"], r["problem"] or "") for r in dispatched(table, {"l": {"title": r"<a href='([^']+)'>([^<]*)</a>"}}).collect())
     assert got == [(1, 0, "a", 0, ""), (1, 1, "b", 2, ""), (2, -1, "", 0, "unreadable"), (3, -1, "", 0, "unreadable"), (6, 0, "x", 0, ""), (7, -1, "", 0, "no patterns"), (8, -1, "", 0, "no patterns"), (9, 0, "t", 0, "")]
+
+
+def test_cosines_of_blocks_are_those_of_all_pairs(spark):
+    """Readers in blocks of a few: weights that cancel out or are 0 are shared, readers without a category or a norm are left out."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(u, "tag", f"t{k}", rng.choice([-0.5, 0.0, 0.5, 1.25])) for u in range(60) for k in rng.sample(range(40), 6)]
+    rows += [(u, "category", f"c{u % 3}", 0.5 if u % 2 else -0.5) for u in range(55)] + [(u, "style", "longform", 9.0) for u in range(60)]
+    rows += [(70, "category", "c1", 0.0), (71, "category", "t1", 1.0)]
+    table = spark.createDataFrame(rows, "user_id long, ns string, key string, weight double")
+    own = {}
+    for u, ns, key, w in rows:
+        if ns != "style":
+            own.setdefault(u, {})[ns, key] = w
+    norm = {u: sum(w * w for w in x.values()) ** 0.5 for u, x in own.items() if any(ns == "category" for ns, _ in x)}
+    want = {(a, b): round(sum(own[a][k] * own[b][k] for k in own[a] if k in own[b]) / (norm[a] * norm[b]), 9) for a in norm for b in norm if a < b and norm[a] and norm[b] and set(own[a]) & set(own[b])}
+    got = [{(r["a"], r["b"]): round(r["sim"], 9) for r in U.cosines(table, size).collect()} for size in (None, 7)]
+    assert got[0] == got[1] == want
+    assert 0.0 in want.values() and 71 in norm and not any(71 in pair for pair in want)
