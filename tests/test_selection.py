@@ -196,3 +196,13 @@ def test_clusters_of_long_editions(spark):
         assert got[i] == (at, len(issues[at]) - 1)
     few = S.clustered(spark.createDataFrame(rows, "edition string, id long, key string, tags array<string>, ord long"), "edition", ["ord"], most=50).collect()
     assert {r["id"]: (r["issue"], r["place"]) for r in few} == {i: got[i] for i in range(50)}
+
+
+def test_clusters_need_no_comparison_with_all_rows_before(spark):
+    """Pairs of tags kept for a few rows at a time give the same issues; thousands of issues take no time that grows with their square."""
+    rng = random.Random(6)
+    rows = [("e", i, None, [f"t{rng.randrange(30)}" for _ in range(rng.randrange(5))], i) for i in range(200)]
+    rows += [("f", 1000 + i, None, [f"x{i}", f"y{i}", f"z{i % 7}"], i) for i in range(9000)]
+    frame = spark.createDataFrame(rows, "edition string, id long, key string, tags array<string>, ord long")
+    got = [{r["id"]: (r["issue"], r["place"]) for r in S.clustered(frame, "edition", ["ord"], step=step).collect()} for step in (1 << 14, 17)]
+    assert got[0] == got[1] and all(got[0][1000 + i] == (i, 0) for i in range(9000))

@@ -308,27 +308,79 @@ def top_of_events(rows: DataFrame, by: str, n: int, per_source: int, value: str
     return arranged(few_rows.select(by, "id", "source", "key", value, "ord"), by, kernel, [f"{value} desc", "ord"])
 
 
-def clustered(rows: DataFrame, by: str, order: list[str], shared: int = 2, most: int | None = None) -> DataFrame:
+def clustered(rows: DataFrame, by: str, order: list[str], shared: int = 2, most: int | None = None, step: int = 1 << 14) -> DataFrame:
     """(by, id, issue, place): rows (id, key, tags) of each group in order join the first issue that has their event key or a row with ``shared`` equal tags.
 
-    All rows of a group count, or with ``most`` its first ones alone.
+    All rows of a group count, or with ``most`` its first ones alone. Pairs of
+    tags are indexed for ``step`` rows at a time; another number of ``shared`` tags
+    has rows compared with all before them.
     """
     w = Window.partitionBy(by).orderBy(*map(_order, order))
     few = rows.withColumn("__r", F.row_number().over(w)).select(by, "id", "key", "tags", "__r")
     few = few if most is None else few.filter(F.col("__r") <= most)
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__r")
+    def first_sharing(tags: list, keys: list) -> list[int]:
+        """Each row's issue: of every pair of tags the first issue that has it is kept, so no row is compared with those before it."""
+        lengths = np.array([len(t) for t in tags])
+        row = np.repeat(np.arange(len(tags)), lengths)
+        tag, names = pd.factorize(np.array([t for x in tags for t in x], dtype=object))
+        whole = np.unique(row * max(1, len(names)) + tag)
+        row, tag = whole // max(1, len(names)), whole % max(1, len(names))
+        common = np.bincount(tag, minlength=len(names))[tag] > 1  # a tag of one row is shared with none
+        row, tag = row[common], tag[common]
+        # every pair of a row's tags is its later one with each before it
+        before = np.arange(len(row)) - np.searchsorted(row, row)
+        known, issue, none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.iinfo(np.int64).max
+        of_key: dict = {}
+        out: list[int] = []
+        count = 0
+        for r in range(0, len(tags), step):
+            lo, hi = np.searchsorted(row, [r, r + step])
+            n = before[lo:hi]
+            later = np.repeat(np.arange(lo, hi), n)
+            back = np.arange(len(later)) - np.repeat(np.cumsum(n) - n, n) + 1
+            pairs, at = np.unique(tag[later - back] * len(names) + tag[later], return_inverse=True)
+            ends = np.searchsorted(row[later], np.arange(r, min(r + step, len(tags)) + 1))
+            place = np.searchsorted(known, pairs)
+            met = np.zeros(len(pairs), bool) if not len(known) else known[np.minimum(place, len(known) - 1)] == pairs
+            first = np.full(len(pairs), none)
+            first[met] = issue[place[met]]
+            for i in range(len(ends) - 1):
+                mine, key = at[ends[i] : ends[i + 1]], keys[r + i]
+                found = int(first[mine].min()) if len(mine) else none
+                if key is not None:
+                    found = min(found, of_key.get(key, none))
+                if found == none:
+                    found, count = count, count + 1
+                first[mine] = found
+                if key is not None:
+                    of_key[key] = found
+                out.append(found)
+            issue[place[met]] = first[met]
+            known, issue = np.concatenate([known, pairs[~met]]), np.concatenate([issue, first[~met]])
+            order = np.argsort(known, kind="stable")
+            known, issue = known[order], issue[order]
+        return out
+
+    def first_compared(tags: list, keys: list) -> list[int]:
         issues: list[list[tuple]] = []
-        at = []
-        for key, tags in zip(group["key"], group["tags"], strict=True):
-            mine = (key, set(tags))
-            found = next((n for n, members in enumerate(issues) if any((k is not None and k == key) or len(t & mine[1]) >= shared for k, t in members)), len(issues))
+        out = []
+        for key, own in zip(keys, map(set, tags), strict=True):
+            found = next((n for n, members in enumerate(issues) if any((k is not None and k == key) or len(t & own) >= shared for k, t in members)), len(issues))
             if found == len(issues):
                 issues.append([])
-            issues[found].append(mine)
-            at.append((found, len(issues[found]) - 1))
-        issue, place = zip(*at, strict=True)
+            issues[found].append((key, own))
+            out.append(found)
+        return out
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("__r")
+        issue = (first_sharing if shared == 2 else first_compared)(group["tags"].tolist(), group["key"].tolist())
+        taken: Counter = Counter()
+        place = []
+        for n in issue:
+            place.append(taken[n])
+            taken[n] += 1
         return pd.DataFrame({by: group[by], "id": group["id"], "issue": issue, "place": place})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
