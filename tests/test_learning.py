@@ -126,3 +126,17 @@ def test_cosines_of_blocks_are_those_of_all_pairs(spark):
     got = [{(r["a"], r["b"]): round(r["sim"], 9) for r in U.cosines(table, size).collect()} for size in (None, 7)]
     assert got[0] == got[1] == want
     assert 0.0 in want.values() and 71 in norm and not any(71 in pair for pair in want)
+
+
+def test_features_of_pairs_are_not_shuffled(spark):
+    """Pairs and weights meet at their reader; only the reader is a key of an exchange, and odd rows count as a join would have them."""
+    import re
+
+    items = spark.createDataFrame([(1, "c1", None, ["a", "b"], 500), (2, None, "s", [], 50), (3, "c1", "s", ["a"], None)], "id long, category string, source string, tags array<string>, words int")
+    prefs = spark.createDataFrame([(7, "category", "c1", 1.0), (7, "tag", "a", -0.5), (7, "style", "longform", 2.0), (None, "tag", "a", 9.0), (7, None, "a", 9.0), (7, "tag", None, 9.0)], "user_id long, ns string, key string, weight double")
+    pairs = spark.createDataFrame([(7, 1), (7, 2), (7, 9), (8, 3), (None, 1)], "user_id long, id long")
+    scored = U.taste_scores(pairs, items, prefs)
+    got = {(r["user_id"], r["id"]): (round(r["taste"], 9), r["known"]) for r in scored.collect()}
+    assert got == {(7, 1): (1 - 0.325 + 0.8, 1.25), (7, 2): (-0.8, 0.0), (8, 3): (0.0, 0.0), (None, 1): (0.0, 0.0)}
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(user_id#\d+L,? *\d*\)", plan) and not re.search(r"hashpartitioning\(user_id#\d+L, (ns|id)#", plan)
