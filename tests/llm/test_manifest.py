@@ -110,9 +110,10 @@ def test_hard_negatives_of_few_rows(spark):
 def test_anchors_are_not_broadcast(spark):
     """What is sent to every executor has a row a chunk; anchors' rings, pivots times as many, stay where they are."""
     rng = np.random.default_rng(5)
-    prepared = hardneg.prepared(_vectors(spark, [(i, [float(x) for x in rng.normal(size=6)], i % 3, "x") for i in range(400)]))
-    index = hardneg.Index(prepared, max_chunk=40, per_pivot=60, rings=7)
-    asked = prepared.withColumnRenamed("vec_id", "query_id").withColumn("floor", F.lit(-1e30))
+    prepared = hardneg.prepared(_vectors(spark, [(i, [float(x) for x in rng.normal(size=6)], i % 3, "x") for i in range(4000)]))
+    index = hardneg.Index(prepared, max_chunk=400, per_pivot=600, rings=7)
+    # from a small file, as the search has them
+    asked = hardneg.cut(prepared.filter("vec_id % 1000 = 0").coalesce(1).withColumnRenamed("vec_id", "query_id").withColumn("floor", F.lit(-1e30)))
     lines = index._intervals(asked, False)._jdf.queryExecution().executedPlan().toString().splitlines()
     at = [n for n, line in enumerate(lines) if "BroadcastExchange" in line]
     assert at
