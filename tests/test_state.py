@@ -134,6 +134,35 @@ def test_streamed_preferences_are_those_of_the_batch(spark):
     assert set(got) == set(want) and all(abs(got[k] - w) < 2e-6 for k, w in want.items())
 
 
+def test_a_readers_weights_are_one_row_of_state():
+    """However many weights the events of a batch name, the store is asked once and told once; state goes on where it ended."""
+    import pandas as pd
+
+    class Store:
+        calls, row = 0, None
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.row
+
+        def update(self, row):
+            self.calls, self.row = self.calls + 1, row
+
+    store, named = Store(), [f"tag\0t{i}" for i in range(500)]
+    told = P.Preferences()
+    told.init(store)
+    batch = lambda *rows: iter([pd.DataFrame([(o, pd.Series(n).to_numpy(), pd.Series(s, dtype=float).to_numpy()) for o, n, s in rows], columns=["ord", "names", "steps"])])
+    (first,) = told.handleInputRows((7,), batch((2, named[:1], [0.5]), (1, [*named, "style\0longform"], [1.0] * 501)), None)
+    (second,) = told.handleInputRows((7,), batch((3, ["tag\0t0", "style\0longform"], [9.0, 3.0])), None)
+    assert store.calls == 4 and len(first) == len(second) == 1
+    got = dict(zip(first["names"][0], zip(first["weights"][0], first["at"][0], strict=True), strict=True))
+    assert len(got) == 501 and got["tag\0t0"] == (pytest.approx(0.995 + 0.5), 2) and got["tag\0t1"] == (1.0, 1) and first["n"][0] == 2
+    assert second.iloc[0].tolist() == [7, ["tag\0t0", "style\0longform"], [6.0, 2.0], [3, 3], 3]
+
+
 def test_first_screens_keep_their_time(spark, tmp_path):
     m = 60_000
     rows = [

@@ -1,89 +1,103 @@
 """Processors with state of their own for each key: preferences that fade as they are learnt, pinned first screens, day visitors.
 
-They run under transformWithState; ``with_state`` starts a stream with the store
-that it needs. State is one small row or map a reader and lives on executors.
+They run under transformWithState; ``run_batches`` starts a stream with the store
+that it needs. State is one row a reader and lives on executors.
 """
 
 from __future__ import annotations
 
+import json
+from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewell.operators import taste as U
 
-WEIGHTS = "user_id long, ns string, key string, weight double, at long, n long"
+UPDATES = "user_id long, names array<string>, weights array<double>, at array<long>, n long"
+NUL = "\0"
+#: The one weight that doesn't fade.
+LENGTH = f"style{NUL}longform"
 
 
 def moves(events: DataFrame, items: DataFrame) -> DataFrame:
-    """(user_id, ord, moves) of events (user_id, id, ord, step): what each moves, an array of (ns, key, step), by a join with the items.
+    """(user_id, ord, names, steps) of events (user_id, id, ord, step): the weights that each moves, as ns, a NUL and key, and how far, by a join with the items.
 
     Events of step 0 and of unknown items move nothing and are left out.
     """
     def part(ns: str, key: Column, share: float | Column) -> Column:
-        return F.struct(F.lit(ns).alias("ns"), key.alias("key"), (F.col("step") * share).cast("double").alias("step"))
+        return F.struct(F.concat(F.lit(ns + NUL), key).alias("name"), (F.col("step") * share).cast("double").alias("step"))
 
     tags = F.transform("tags", lambda t: part("tag", t, 1.0))
-    rest = F.array(part("category", F.col("category"), 0.25), part("source", F.col("source"), 0.7), part("style", F.lit("longform"), U.style(F.col("words")) * 0.3))
-    kept = F.filter(F.concat(rest, tags), lambda m: m["key"].isNotNull() & ((m["ns"] != "style") | (m["step"] != 0)))
-    return events.filter("step != 0").join(items.select("id", "category", "source", "tags", "words"), "id").select("user_id", "ord", kept.alias("moves"))
+    length = U.style(F.col("words")) * 0.3
+    rest = F.array(part("category", F.col("category"), 0.25), part("source", F.col("source"), 0.7), part("style", F.when(length != 0, F.lit("longform")), length))
+    kept = F.filter(F.concat(rest, tags), lambda m: m["name"].isNotNull())
+    met = events.filter("step != 0").join(items.select("id", "category", "source", "tags", "words"), "id").select("user_id", "ord", kept.alias("m"))
+    return met.select("user_id", "ord", F.col("m.name").alias("names"), F.col("m.step").alias("steps"))
 
 
 class Preferences(StatefulProcessor):
     """A reader's weights, moved by each event in order and faded only when they are met.
 
-    The map holds (weight, the reader's event at which it was last moved), so an
-    event touches the weights that it names and no others, whatever a reader has.
-    Puts out every weight that a batch moved, with the reader's number of events.
+    State holds (weight, the reader's event at which it was last moved) of all of a
+    reader's weights in one packed row, which a batch reads and writes once, whatever
+    its events name: a call to the store for each weight would take far longer than
+    the moves. Puts out a row with every weight that a batch moved and the reader's
+    number of events.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getValueState("events", "n long")
-        self.weights = handle.getMapState("weights", "ns string, key string", "weight double, at long")
+        self.kept = handle.getValueState("kept", "n long, names string, weights binary, at binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.events.get()[0] if self.events.exists() else 0
-        met = pd.concat(list(rows)).sort_values("ord", kind="stable")
-        here: dict[tuple, tuple[float, int]] = {}
-        for moved in met["moves"]:
+        kept = self.kept.get()
+        before = n = kept[0] if kept else 0
+        held = dict(zip(json.loads(kept[1]), zip(array("d", kept[2]), array("q", kept[3]), strict=True), strict=True)) if kept else {}
+        frames = list(rows)
+        met = sorted((x for f in frames for x in zip(f["ord"], f["names"], f["steps"], strict=True)), key=itemgetter(0))
+        for _, named, steps in met:
             n += 1
-            for m in moved:
-                name = (m["ns"], m["key"])
-                if name not in here:
-                    here[name] = tuple(self.weights.getValue(name)) if self.weights.containsKey(name) else (0.0, n)
-                weight, at = here[name]
-                limit = U.STYLE_LIMIT if m["ns"] == "style" else U.LIMIT
-                here[name] = max(-limit, min(limit, self.faded(m["ns"], weight, n - at) + m["step"])), n
-        for name, value in here.items():
-            self.weights.updateValue(name, value)
-        self.events.update((n,))
-        yield pd.DataFrame([(key[0], *name, *value, n) for name, value in here.items()], columns=[c.split()[0] for c in WEIGHTS.split(", ")])
-
-    @staticmethod
-    def faded(ns: str, weight: float, times: int) -> float:
-        if ns == "style" or not times:
-            return weight
-        left = weight * U.DECAY**times
-        return left if abs(left) >= U.NOISE else 0.0
+            for name, step in zip(named, steps.tolist(), strict=True):
+                weight, at = held.get(name, (0.0, n))
+                if name == LENGTH:
+                    limit = U.STYLE_LIMIT
+                else:
+                    limit, weight = U.LIMIT, weight * U.DECAY ** (n - at)
+                    if at < n and -U.NOISE < weight < U.NOISE:
+                        weight = 0.0
+                held[name] = max(-limit, min(limit, weight + step)), n
+        weights, ats = zip(*held.values(), strict=True)
+        self.kept.update((n, json.dumps(list(held)), array("d", weights).tobytes(), array("q", ats).tobytes()))
+        moved = [(name, *x) for name, x in held.items() if x[1] > before]
+        names, weights, ats = (list(x) for x in zip(*moved, strict=True))
+        yield pd.DataFrame({"user_id": [key[0]], "names": [names], "weights": [weights], "at": [ats], "n": [n]})
 
     def close(self) -> None:
         pass
 
 
 def preference_updates(moved: DataFrame) -> DataFrame:
-    """The stream of weights that change as readers' ``moves`` come in, in update mode."""
-    return moved.groupBy("user_id").transformWithStateInPandas(Preferences(), WEIGHTS, "Update", "None")
+    """The stream of weights that change as readers' ``moves`` come in, in update mode: a row for each reader that a batch meets."""
+    return moved.groupBy("user_id").transformWithStateInPandas(Preferences(), UPDATES, "Update", "None")
 
 
 def current_weights(updates: DataFrame) -> DataFrame:
-    """(user_id, ns, key, weight) now, from all ``updates`` so far: the last of each weight, faded to its reader's last event."""
-    last = updates.groupBy("user_id", "ns", "key").agg(F.max_by(F.struct("weight", "at"), "at").alias("s"))
-    total = updates.groupBy("user_id").agg(F.max("n").alias("n"))
-    weight = U.faded(F.col("ns"), F.col("s.weight"), F.col("n") - F.col("s.at"))
-    return last.join(total, "user_id").select("user_id", "ns", "key", weight.alias("weight")).filter("weight != 0 or ns = 'style'")
+    """(user_id, ns, key, weight) now, from all ``updates`` so far: the last of each weight, faded to its reader's last event.
+
+    Updates meet at their reader whole and are only taken apart there.
+    """
+    whole = Window.partitionBy("user_id")
+    rows = updates.repartition("user_id").withColumn("last", F.max("n").over(whole))
+    own = rows.select("user_id", "last", F.explode(F.arrays_zip("names", "weights", "at")).alias("w"))
+    kept = own.groupBy("user_id", F.col("w.names").alias("name")).agg(F.max_by("w.weights", "w.at").alias("weight"), F.max("w.at").alias("at"), F.max("last").alias("last"))
+    name = F.split("name", NUL, 2)
+    kept = kept.select("user_id", name[0].alias("ns"), name[1].alias("key"), "weight", "at", "last")
+    weight = U.faded(F.col("ns"), F.col("weight"), F.col("last") - F.col("at"))
+    return kept.select("user_id", "ns", "key", weight.alias("weight")).filter("weight != 0 or ns = 'style'")
 
 
 PINS, PIN_MILLIS = 3, 15 * 60_000
