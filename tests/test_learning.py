@@ -140,3 +140,10 @@ def test_features_of_pairs_are_not_shuffled(spark):
     assert got == {(7, 1): (1 - 0.325 + 0.8, 1.25), (7, 2): (-0.8, 0.0), (8, 3): (0.0, 0.0), (None, 1): (0.0, 0.0)}
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(user_id#\d+L,? *\d*\)", plan) and not re.search(r"hashpartitioning\(user_id#\d+L, (ns|id)#", plan)
+
+
+def test_survey_answers_are_summed_where_their_reader_is(spark):
+    """Readers are spread before their answers are taken apart, so no task sums a whole file and no answer is shuffled."""
+    plan = taste.survey_vector(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(user_id") == plan.count("Exchange") == 1
+    assert "Generate" in plan and plan.index("Generate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange") :]
