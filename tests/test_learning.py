@@ -147,3 +147,17 @@ def test_survey_answers_are_summed_where_their_reader_is(spark):
     plan = taste.survey_vector(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(user_id") == plan.count("Exchange") == 1
     assert "Generate" in plan and plan.index("Generate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange") :]
+
+
+def test_steps_of_events_are_not_gathered(spark):
+    """Events are shuffled whole to their reader and folded as they come; no list of a weight's steps is collected, and events of unknown items fade too."""
+    items = spark.createDataFrame([(1, "c1", None, ["a"], 500), (2, "c1", "s", [], 200)], "id long, category string, source string, tags array<string>, words int")
+    rows = [(7, 1, 2, 1.0), (7, 9, 3, 1.0), (7, 2, 4, 1.0), (7, 1, 1, -0.5), (7, 1, 5, 0.0), (8, 2, 1, 0.05), (None, 1, 1, 1.0)]
+    learnt = U.learned_weights(spark.createDataFrame(rows, "user_id long, id long, ord long, step double"), items)
+    got = {(r["user_id"], r["ns"], r["key"]): round(r["weight"], 9) for r in learnt.collect()}
+    a, c = -0.5 * 0.995 + 1, -0.125 * 0.995 + 0.25
+    assert got == {k: round(w, 9) for k, w in {
+        (7, "tag", "a"): a * 0.995**2, (7, "category", "c1"): c * 0.995**2 + 0.25, (7, "source", "s"): 0.7, (7, "style", "longform"): 0.15, (8, "category", "c1"): 0.0125, (8, "source", "s"): 0.035,
+    }.items()}
+    plan = learnt._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "ns#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)

@@ -19,9 +19,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidewell.operators import taste as U
 
 UPDATES = "user_id long, names array<string>, weights array<double>, at array<long>, n long"
-NUL = "\0"
-#: The one weight that doesn't fade.
-LENGTH = f"style{NUL}longform"
 
 
 def moves(events: DataFrame, items: DataFrame) -> DataFrame:
@@ -30,7 +27,7 @@ def moves(events: DataFrame, items: DataFrame) -> DataFrame:
     Events of step 0 and of unknown items move nothing and are left out.
     """
     def part(ns: str, key: Column, share: float | Column) -> Column:
-        return F.struct(F.concat(F.lit(ns + NUL), key).alias("name"), (F.col("step") * share).cast("double").alias("step"))
+        return F.struct(F.concat(F.lit(ns + U.NUL), key).alias("name"), (F.col("step") * share).cast("double").alias("step"))
 
     tags = F.transform("tags", lambda t: part("tag", t, 1.0))
     length = U.style(F.col("words")) * 0.3
@@ -52,6 +49,7 @@ class Preferences(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("kept", "n long, names string, weights binary, at binary")
+        self.move, _ = U.fold_steps()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = self.kept.get()
@@ -61,15 +59,7 @@ class Preferences(StatefulProcessor):
         met = sorted((x for f in frames for x in zip(f["ord"], f["names"], f["steps"], strict=True)), key=itemgetter(0))
         for _, named, steps in met:
             n += 1
-            for name, step in zip(named, steps.tolist(), strict=True):
-                weight, at = held.get(name, (0.0, n))
-                if name == LENGTH:
-                    limit = U.STYLE_LIMIT
-                else:
-                    limit, weight = U.LIMIT, weight * U.DECAY ** (n - at)
-                    if at < n and -U.NOISE < weight < U.NOISE:
-                        weight = 0.0
-                held[name] = max(-limit, min(limit, weight + step)), n
+            self.move(held, named, steps.tolist(), n)
         weights, ats = zip(*held.values(), strict=True)
         self.kept.update((n, json.dumps(list(held)), array("d", weights).tobytes(), array("q", ats).tobytes()))
         moved = [(name, *x) for name, x in held.items() if x[1] > before]
@@ -94,7 +84,7 @@ def current_weights(updates: DataFrame) -> DataFrame:
     rows = updates.repartition("user_id").withColumn("last", F.max("n").over(whole))
     own = rows.select("user_id", "last", F.explode(F.arrays_zip("names", "weights", "at")).alias("w"))
     kept = own.groupBy("user_id", F.col("w.names").alias("name")).agg(F.max_by("w.weights", "w.at").alias("weight"), F.max("w.at").alias("at"), F.max("last").alias("last"))
-    name = F.split("name", NUL, 2)
+    name = F.split("name", U.NUL, 2)
     kept = kept.select("user_id", name[0].alias("ns"), name[1].alias("key"), "weight", "at", "last")
     weight = U.faded(F.col("ns"), F.col("weight"), F.col("last") - F.col("at"))
     return kept.select("user_id", "ns", "key", weight.alias("weight")).filter("weight != 0 or ns = 'style'")
