@@ -206,3 +206,19 @@ def test_clusters_need_no_comparison_with_all_rows_before(spark):
     frame = spark.createDataFrame(rows, "edition string, id long, key string, tags array<string>, ord long")
     got = [{r["id"]: (r["issue"], r["place"]) for r in S.clustered(frame, "edition", ["ord"], step=step).collect()} for step in (1 << 14, 17)]
     assert got[0] == got[1] and all(got[0][1000 + i] == (i, 0) for i in range(9000))
+
+
+def test_groups_come_to_a_task_many_at_a_time(spark):
+    """No call a group; groups that end within, at the end of and beyond an Arrow batch are whole, and those without a key are one."""
+    sizes = {None: 7, 1: 10, 2: 35, 3: 1, 4: 9, 5: 10}
+    table = spark.createDataFrame([(u, 100 * (u or 0) + i, -i) for u, n in sizes.items() for i in range(n)], "user_id long, id long, at long").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        out = S.arranged(table, "user_id", lambda c: list(range(len(c)))[::-1], ["at"])
+        got = {(r["user_id"], r["id"]): r["place"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(u, 100 * (u or 0) + i): i for u, n in sizes.items() for i in range(n)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroups" not in plan

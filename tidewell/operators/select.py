@@ -26,19 +26,43 @@ def arranged(rows: DataFrame, by: str, kernel: Callable[[pd.DataFrame], list[int
     """(by, id, place): each group's rows by ``order``, put out as ``kernel`` has them; place from 0.
 
     All rows count, or with ``most`` each group's first ones alone: what is beyond
-    them is left out of the result, so it is for pages that never get there.
+    them is left out of the result, so it is for pages that never get there. Sorted
+    groups come to a task many at a time, since one call a group takes longer than
+    most kernels do.
     """
-    w = Window.partitionBy(by).orderBy(*map(_order, order))
-    cut = rows.withColumn("__r", F.row_number().over(w))
-    cut = cut if most is None else cut.filter(F.col("__r") <= most)
-
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__r", kind="stable").reset_index(drop=True)
-        at = kernel(group)
-        return pd.DataFrame({by: group[by].iloc[at].to_numpy(), "id": group["id"].iloc[at].to_numpy(), "place": np.arange(len(at))})
+    cut = rows
+    if most is not None:
+        w = Window.partitionBy(by).orderBy(*map(_order, order))
+        cut = rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).drop("__r")
+
+    def work(frames):
+        held: list[pd.DataFrame] = []  # of the group that may go on in the next frame
+
+        def put(frame: pd.DataFrame, ends: list[int]) -> pd.DataFrame:
+            at = [np.asarray(kernel(frame.iloc[a:b].reset_index(drop=True)), dtype=np.int64) + a for a, b in zip([0, *ends], ends, strict=False)]
+            place = np.concatenate([np.arange(len(x)) for x in at])
+            at = np.concatenate(at)
+            return pd.DataFrame({by: frame[by].iloc[at].to_numpy(), "id": frame["id"].iloc[at].to_numpy(), "place": place})
+
+        for frame in frames:
+            if not len(frame):
+                continue
+            group = frame[by] if not held else pd.concat([held[-1][by].iloc[-1:], frame[by]])
+            code = pd.factorize(group, use_na_sentinel=False)[0]
+            starts = np.flatnonzero(code[1:] != code[:-1]) + (0 if held else 1)
+            if not len(starts):
+                held.append(frame)
+                continue
+            whole = pd.concat([*held, frame], ignore_index=True)
+            ends = (starts + len(whole) - len(frame)).tolist()
+            yield put(whole, ends)
+            held = [whole.iloc[ends[-1] :].reset_index(drop=True)]
+        if held:
+            whole = pd.concat(held, ignore_index=True)
+            yield put(whole, [len(whole)])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return cut.groupBy(by).applyInPandas(work, f"{by} {kinds[by]}, id {kinds['id']}, place long")
+    return cut.repartition(by).sortWithinPartitions(by, *map(_order, order)).mapInPandas(work, f"{by} {kinds[by]}, id {kinds['id']}, place long")
 
 
 def diverse_page(limit: int = 10, first_page: bool = True, min_gap: int = 1, mix: float = 0.0) -> Callable[[pd.DataFrame], list[int]]:
