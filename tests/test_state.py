@@ -227,6 +227,37 @@ def test_exempt_items_stay_in_the_pool(spark, tmp_path):
     assert max((r["last_seen"], r["score"], r["first_seen"]) for r in out if r["id"] == 1) == (_hours(62), pytest.approx(4.7), AT)
 
 
+def test_the_pool_shares_state_in_groups(spark, tmp_path):
+    big = 2**53 + 1
+    rows = [(i, float(i), f"i{i}" if i % 2 else None, _hours(0)) for i in range(600)] + [(big, 1.0, None, _hours(0)), (None, 2.0, "n", _hours(0))]
+    rows += [(7, 100.0, None, _hours(40)), (None, 1.0, None, _hours(40)), (9, 1.0, None, _hours(60)), (9, 1.0, None, _hours(61))]
+    df = spark.createDataFrame(rows, "id long, score double, image string, ts timestamp")
+    stream = J.rolling_pool(in_batches(df, "ts", 3, str(tmp_path / "in")))
+    out = J.drained(spark, stream, "update", str(tmp_path / "c")).collect()
+    last = {}
+    for r in sorted(out, key=lambda r: (r["last_seen"], not r["alive"])):
+        last[r["id"]] = (round(r["score"], 6), r["image"], r["first_seen"], r["last_seen"], r["alive"])
+    assert len(last) == 602 and {i for i, x in last.items() if x[4]} == {7, 9, None}
+    assert last[7] == (100.0, "i7", AT, _hours(40), True) and last[None] == (1.7, "n", AT, _hours(40), True)
+    assert last[9][2:4] == (_hours(60), _hours(61)) and last[big] == (1.0, None, AT, AT, False)
+    # a row of state for a group, not for an item: a call to Python costs far more than an item's ticks
+    first = spark.read.format("statestore").option("batchId", 0).load(str(tmp_path / "c")).count()
+    assert 0 < first <= 257
+
+
+def test_ticks_of_one_time_count_by_their_ids(spark, tmp_path):
+    rows = [(e, _hours(e // 40), 100.0 - e % 7 * 9) for e in range(120)]
+    spark.createDataFrame([(d,) for d in range(10)], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(rows[::-1], "event_id long, ts timestamp_ntz, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    want = {i: [x for e, _, x in rows if e * 7 % 10 == i] for i in range(0, 10, 3)}
+    for i, (score, *values) in want.items():
+        for x in values:
+            score = x if x >= score else 0.7 * score + 0.3 * x
+        want[i] = round(score, 6)
+    got = {r["id"]: r["score"] for r in streams.stream_pool_kept(spark, str(tmp_path)).collect()}
+    assert {i: got[i] for i in want} == want
+
+
 def test_parts_replace_themselves(spark, tmp_path):
     parts = Parts(spark, str(tmp_path / "p"), "x long")
     assert parts.rows().count() == 0
