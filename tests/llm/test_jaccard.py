@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from helpers import components, documents, shingles
+from pyspark.sql import functions as F
 
-from tidewell.llm import jaccard
+from tidewell.llm import common, jaccard
 
 
 def test_components_match_all_pairs(odd):
@@ -98,3 +101,38 @@ def test_ids_near_both_ends_of_long(spark):
     rows = [(i, " ".join([*text[:30], f"x{i}", *text[30:]])) for i in (top, top - 1, top - 2, -top, -top - 1, 0)]
     got = {r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {-top - 1}
+
+
+def test_vectors_of_large_sets_are_short(spark):
+    # a vector goes to every bucket of its set, and large sets have most
+    for n in (300, 1000, 4000, 20_000):
+        assert 8 * len(jaccard.count_vector(np.arange(n, dtype=np.uint64))) <= 2 * n
+    sizes = [1, 3, 4, 63, 64, 65, 128, 129, 256, 257, 512, 513, 1024, 1025, 2049, 40_000]
+    shown = spark.createDataFrame([(n,) for n in sizes], "top long").select(F.expr(jaccard._packed_sql("top"))).collect()
+    assert [r[0] for r in shown] == [len(jaccard.count_vector(np.arange(n, dtype=np.uint64))) for n in sizes]
+
+
+def test_group_hashes_move_twice_and_are_kept_once(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 99_999, 400))) for i in range(2400)]
+    rows += [(3000 + i, rows[i][1] + " more") for i in range(50)]
+    common.ship(spark)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    paths, store = [], spark._jsc.sc().statusStore()
+
+    def scratch(_, name):
+        paths.append(f"{tmp_path}/{name}-{len(paths)}")
+        return paths[-1]
+
+    def stages():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        listed = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(listed.apply, range(listed.size()))}
+
+    monkeypatch.setattr(common, "scratch", scratch)
+    before = stages()
+    found = jaccard.jaccard_components(spark.read.parquet(f"{tmp_path}/docs")).filter("doc_id != component_id").collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(3000 + i, i) for i in range(50)}
+    hashes = 8 * sum(len(jaccard.signatures(u)) for _, u in jaccard.shingle_sets(pa.array([r[1] for r in rows])))
+    assert 0 < sum(moved for k, moved in stages().items() if k not in before) < 4 * hashes
+    assert sum(f.stat().st_size for p in paths for f in Path(p).rglob("*.parquet")) < 1.8 * hashes

@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import (
@@ -37,6 +37,7 @@ from tidewell.llm.common import (
     mix,
     odd_constants,
     read,
+    uncut,
     utf8_batches,
     word_hashes,
     word_spans,
@@ -117,21 +118,34 @@ def signatures(u: np.ndarray) -> np.ndarray:
 
 
 def count_vector(u: np.ndarray) -> bytes:
-    """Counts of a set's shingles by hash group, one a group at most on average, in two bits each: 3 stands for 3 and more.
+    """Counts of a set's shingles by hash group in four bits each: 15 stands for 15 and more.
 
-    Larger classes have more groups, each a refinement. What counts above 3 leave
-    out is the set's excess, which bounds add: two sets share no more of it than
-    the smaller excess.
+    Groups hold two shingles on average at most in small sets and eight in large
+    ones, whose bounds vary less: a vector goes to every bucket of its set, and
+    large sets have most. Larger classes have as many groups or more, each a
+    refinement. What counts above 15 leave out is the set's excess, which bounds
+    add: two sets share no more of it than the smaller excess.
     """
-    dims = 64 << _class(len(u))
+    dims = 2 * _packed(_class(len(u)))
     counts = np.bincount((mix(u ^ _MIXERS[63]) % np.uint64(dims)).astype(np.int64), minlength=dims)
-    four = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
-    return (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
+    two = np.minimum(counts, 15).astype(np.uint8).reshape(-1, 2)
+    return (two[:, 0] | two[:, 1] << 4).tobytes()
 
 
-#: The four counts of a packed byte, and their sum.
-_QUARTERS = (np.arange(256, dtype=np.uint8)[:, None] >> np.arange(0, 8, 2, dtype=np.uint8)) & np.uint8(3)
-_SUMS = _QUARTERS.sum(axis=1).astype(np.uint8)
+def _packed(c: int) -> int:
+    """Bytes of the count vectors of class ``c``."""
+    return min(16 << c, max(64, 4 << c))
+
+
+def _packed_sql(n: str) -> str:
+    """The same, as SQL, of sets of ``n`` shingles."""
+    c = f"greatest(0, length(bin({n} - 1)) - {(SMALL - 1).bit_length()})"
+    return f"least(shiftleft(16L, {c}), greatest(64L, shiftleft(4L, {c})))"
+
+
+#: The two counts of a packed byte, and their sum.
+_HALVES = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 4], np.uint8)) & np.uint8(15)
+_SUMS = _HALVES.sum(axis=1).astype(np.uint8)
 
 
 def folded(counts: np.ndarray, dims: int) -> np.ndarray:
@@ -147,18 +161,18 @@ class Points:
         self.sums, self.length, self.n = _SUMS[self.data], np.diff(self.offsets), n
 
     def unpacked(self, rows: np.ndarray, length: int, dims: int) -> np.ndarray:
-        """Vectors of equal packed length over ``dims`` groups; of finer ones the sums, 3 standing for 3 and more again."""
+        """Vectors of equal packed length over ``dims`` groups; of finer ones the sums, 15 standing for 15 and more again."""
         packed = self.data[self.offsets[rows][:, None] + np.arange(length)]
-        return np.minimum(folded(_QUARTERS[packed].reshape(len(rows), 4 * length), dims), 3)
+        return np.minimum(folded(_HALVES[packed].reshape(len(rows), 2 * length), dims), 15)
 
     def coarse(self, rows: np.ndarray, length: int, bytes_: int) -> np.ndarray:
-        """The same over ``bytes_`` fours of groups."""
+        """The same over ``bytes_`` pairs of groups."""
         sums = self.sums[self.offsets[rows][:, None] + np.arange(length)]
         return sums if length == bytes_ else folded(sums, bytes_)
 
     def matrix(self, rows: np.ndarray) -> np.ndarray:
         """Vectors of any lengths over the groups of the shortest."""
-        dims = 4 * int(self.length[rows].min())
+        dims = 2 * int(self.length[rows].min())
         out = np.empty((len(rows), dims), np.uint16)
         for length in np.unique(self.length[rows]):
             at = np.flatnonzero(self.length[rows] == length)
@@ -166,7 +180,7 @@ class Points:
         return out
 
     def allowed(self, i: np.ndarray, j: np.ndarray, most: int = 1 << 22) -> np.ndarray:
-        """Whether sizes and summed coordinate minima, over fours of groups and then over all, allow rows i and j a link.
+        """Whether sizes and summed coordinate minima, over pairs of groups and then over all, allow rows i and j a link.
 
         ``most`` bounds the bytes at once.
         """
@@ -176,7 +190,7 @@ class Points:
         for kind in np.unique(kinds[keep]):
             at = np.flatnonzero(keep & (kinds == kind))
             a, b = int(kind) >> 32, int(kind) & 0xFFFFFFFF
-            for vectors, width in ((self.coarse, 1), (self.unpacked, 4)):
+            for vectors, width in ((self.coarse, 1), (self.unpacked, 2)):
                 step = max(1, most // (2 * width * max(a, b)))
                 for s in range(0, len(at), step):
                     p = at[s : s + step]
@@ -189,18 +203,14 @@ class Points:
 
 
 class CountTree:
-    """R-tree over points of equal length, packed by size; two levels of boxes of least sizes and greatest coordinates.
-
-    Boxes and leaves compare groups folded by four, and pairs that these leave all groups.
-    """
+    """R-tree over points of equal length, packed by size; two levels of boxes of least sizes and greatest coordinates."""
 
-    def __init__(self, whole: np.ndarray, sizes: np.ndarray):
-        points = folded(whole, whole.shape[-1] // 4)
+    def __init__(self, points: np.ndarray, sizes: np.ndarray):
         spread = points.astype(np.float64)
         spread -= spread.mean(axis=0)
         lead = spread[:, int(spread.var(axis=0).argmax())] if len(points) else spread
         self.order = np.lexsort((lead, sizes)) if len(points) else np.zeros(0, np.int64)
-        self.whole, self.points, self.sizes = whole[self.order], points[self.order], sizes[self.order]
+        self.points, self.sizes = points[self.order], sizes[self.order]
         self.excess = self.sizes - self.points.sum(axis=1, dtype=np.int64)
         self.begin = np.arange(0, len(points), LEAF)
 
@@ -211,7 +221,7 @@ class CountTree:
         self.low_size, self.high_size = boxed(np.minimum, self.sizes), boxed(np.maximum, self.sizes)
 
     def around(self, at: int) -> np.ndarray:
-        """Points that boxes, then folded and whole coordinates, allow a link with point ``at``."""
+        """Points that boxes, then their own coordinates, allow a link with point ``at``."""
         c = int(np.flatnonzero(self.order == at)[0])
         size = self.sizes[c]
         bound = np.minimum(self.high, self.points[c]).sum(axis=1, dtype=np.int64) + np.minimum(self.high_excess, self.excess[c])
@@ -219,10 +229,8 @@ class CountTree:
         leaves = np.flatnonzero(fits & (180 * np.minimum(bound, size) >= 80 * (size + self.low_size)))
         near = (self.begin[leaves][:, None] + np.arange(LEAF)).ravel()
         near = near[(near < len(self.points)) & (near != c)]
-        for counts in (self.points, self.whole):
-            overlap = np.minimum(counts[near], counts[c]).sum(axis=1, dtype=np.int64) + np.minimum(self.excess[near], self.excess[c])
-            near = near[180 * overlap >= 80 * (size + self.sizes[near])]
-        return self.order[near]
+        overlap = np.minimum(self.points[near], self.points[c]).sum(axis=1, dtype=np.int64) + np.minimum(self.excess[near], self.excess[c])
+        return self.order[near[180 * overlap >= 80 * (size + self.sizes[near])]]
 
     def pairs(self):
         """Yield index arrays (i, j), i before j, of points whose summed coordinate minima allow a link."""
@@ -243,11 +251,8 @@ class CountTree:
                 i, j = np.nonzero(near)
                 i, j = i + s, j + t
                 i, j = i[i < j], j[i < j]
-                overlap = np.minimum(self.whole[i], self.whole[j]).sum(axis=1, dtype=np.int64)
-                overlap += np.minimum(self.excess[i], self.excess[j])
-                keep = 180 * overlap >= 80 * (self.sizes[i] + self.sizes[j])
-                if keep.any():
-                    yield self.order[i[keep]], self.order[j[keep]]
+                if len(i):
+                    yield self.order[i], self.order[j]
 
 
 def _analyse(docs: DataFrame) -> DataFrame:
@@ -440,21 +445,21 @@ def _buckets(chosen: DataFrame, bucket: int, slice_bytes: int) -> DataFrame:
 
     Sizes fall into bands so wide that sets which link are in the same or in
     neighbouring ones; a set goes to the buckets of its own band and of the next.
-    Of buckets with the same members one is kept. All counts are combined before
-    their shuffles, and the rows themselves meet their counts in joins only. What
-    grows with the documents is joined alike at every size and never broadcast.
+    Of buckets with the same members one is kept. Most groups have one member and
+    go by a window, which moves each row once; a count that is joined back would
+    move it twice. Counts of buckets are combined before their shuffles. What grows
+    with the documents is joined alike at every size and never broadcast.
     """
     single = chosen.select("rep", "n", F.explode("sigs").alias("sig"))
-    shared = cut(single.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig"))
-    near = single.join(shared.hint("merge"), "sig", "left_semi")
+    near = single.withColumn("m", F.count("*").over(Window.partitionBy("sig"))).filter("m > 1")
     band = F.floor(F.log("n") / math.log(BAND))
     banded = cut(near.select(F.explode(F.array(F.xxhash64("sig", band), F.xxhash64("sig", band + 1))).alias("sig"), "rep", "n"))
     # sums of 32-bit hashes: unlike bit_xor they don't cancel where a member stands twice
     marks = [F.sum(F.xxhash64("rep", F.lit(i)).bitwiseAND(0xFFFFFFFF)).alias(f"x{i}") for i in range(2)]
     filled = banded.groupBy("sig").agg(F.count("*").alias("m"), F.max("n").alias("top"), F.min("rep").alias("centre"), *marks).filter("m > 1")
     kept = filled.groupBy("m", "top", "centre", "x0", "x1").agg(F.min("sig").alias("sig"))
-    # a point takes some 20 bytes for each of its packed ones: counts, folded counts and their spread
-    width = F.expr(f"20 * shiftleft(16L, greatest(0, length(bin(top - 1)) - {(SMALL - 1).bit_length()}))")
+    # a point takes some 26 bytes for each of its packed ones: counts twice, their sums and their spread
+    width = F.expr(f"26 * {_packed_sql('top')}")
     slices = F.greatest(F.ceil(F.col("m") / bucket), F.ceil(F.col("m") * width / slice_bytes)).cast("int")
     return cut(banded.join(kept.select("sig", "centre", slices.alias("slices")).hint("merge"), "sig").select("sig", "rep", "centre", "slices"))
 
@@ -473,7 +478,7 @@ def jaccard_classes(docs: DataFrame, bucket: int = BUCKET, slice_bytes: int = SL
     seen = cut(_analyse(docs))
     real = seen.filter("n > 0")
     reps = cut(real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
-    membership = (
+    membership = cut(
         real.select("doc_id", "h1", "h2", "n")
         .join(reps, ["h1", "h2", "n"])
         .select("doc_id", F.col("n").alias("n_shingles"), "rep")
@@ -485,6 +490,7 @@ def jaccard_classes(docs: DataFrame, bucket: int = BUCKET, slice_bytes: int = SL
     # written once, since every join by it would move all group hashes again
     chosen = real.join(picked.hint("merge"), "row", "left_semi").select(F.col("doc_id").alias("rep"), "n", "sigs", "counts")
     chosen = cut(chosen)
+    uncut(seen)
     points = chosen.select("rep", "n", "counts").hint("merge")
     buckets = _buckets(chosen, bucket, slice_bytes)
     first = cut(_searched(buckets.join(points, "rep"), True))
